@@ -136,3 +136,77 @@ prev_rows AS (SELECT * EXCLUDE snapshot_date FROM dated WHERE snapshot_date = '{
 cur_rows AS (SELECT * EXCLUDE snapshot_date FROM dated WHERE snapshot_date = '{HALVES[1]}'),
 """ + affinity_sql("prev_rows", "p_") + "," + affinity_sql("cur_rows", "c_")
 YEARS_SQL = dated_sql("strftime(o_orderdate, '%Y-01-01')")
+
+
+# Raw rows with defects: blank and padded slugs, texts and impossible values for counts,
+# unknown sources, dates that are none. The four ordinal columns together are unique.
+DIRTY_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+
+
+def dirty(spark: SparkSession, folder: str) -> DataFrame:
+    key, supp = F.col("l_orderkey"), F.col("l_suppkey").cast("string")
+    amount = F.col("l_quantity").cast("int").cast("string")
+
+    def every(n: int):
+        return key % n == 0
+
+    return table(spark, folder, "lineitem").select(
+        *DIRTY_ORDER,
+        F.concat(F.lit("Supplier "), supp).alias("entity_name"),
+        F.when(every(97), F.lit("  ")).when(every(89), F.concat(F.lit("\t"), supp, F.lit(" "))).otherwise(supp).alias("entity_slug"),
+        F.when(every(83), F.lit("unknown")).when(every(79), F.concat(F.lit("1,"), F.lpad(amount, 3, "0")))
+        .otherwise((F.col("l_suppkey") + 100).cast("string")).alias("total_n"),
+        F.concat(F.lit("Flag "), F.col("l_returnflag")).alias("tag_name"),
+        F.lower("l_returnflag").alias("tag_slug"),
+        F.when(every(73), F.lit("999999")).otherwise(amount).alias("tag_n"),
+        F.when(every(71), F.lit("other")).when(every(67), F.lit("cedh_filtered_json")).otherwise(F.lit("commander_json")).alias("source_type"),
+        F.when(every(61), F.lit("2026")).otherwise(F.date_format("l_shipdate", "yyyy-MM-dd")).alias("observed_at"),
+    )
+
+
+def known_index(spark: SparkSession, folder: str) -> DataFrame:
+    """Index of known entities: suppliers that are not overdrawn, their slugs padded."""
+    return table(spark, folder, "supplier").where("s_acctbal >= 0").select(
+        F.concat(F.lit(" "), F.col("s_suppkey").cast("string"), F.lit("\t")).alias("entity_slug"))
+
+
+DIRTY_RAW_SQL = r"""
+raw AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, 'Supplier ' || l_suppkey AS entity_name,
+    CASE WHEN l_orderkey % 97 = 0 THEN '  ' WHEN l_orderkey % 89 = 0 THEN chr(9) || l_suppkey || ' ' ELSE l_suppkey::VARCHAR END AS entity_slug,
+    CASE WHEN l_orderkey % 83 = 0 THEN 'unknown' WHEN l_orderkey % 79 = 0 THEN '1,' || lpad(l_quantity::INT::VARCHAR, 3, '0')
+         ELSE (100 + l_suppkey)::VARCHAR END AS total_n,
+    'Flag ' || l_returnflag AS tag_name, lower(l_returnflag) AS tag_slug,
+    CASE WHEN l_orderkey % 73 = 0 THEN '999999' ELSE l_quantity::INT::VARCHAR END AS tag_n,
+    CASE WHEN l_orderkey % 71 = 0 THEN 'other' WHEN l_orderkey % 67 = 0 THEN 'cedh_filtered_json' ELSE 'commander_json' END AS source_type,
+    CASE WHEN l_orderkey % 61 = 0 THEN '2026' ELSE strftime(l_shipdate, '%Y-%m-%d') END AS observed_at
+  FROM lineitem)
+"""
+DIRTY_SQL = DIRTY_RAW_SQL + r""",
+norm AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, entity_name,
+    trim(entity_slug, ' ' || chr(9)) AS entity_slug, TRY_CAST(replace(total_n, ',', '') AS BIGINT) AS total_n,
+    CASE WHEN source_type = 'cedh_filtered_json' THEN 'cEDH' ELSE tag_name END AS tag_name,
+    CASE WHEN source_type = 'cedh_filtered_json' THEN 'cedh' ELSE tag_slug END AS tag_slug,
+    tag_n::BIGINT AS tag_n, source_type, observed_at
+  FROM raw),
+known AS (SELECT s_suppkey::VARCHAR AS k FROM supplier WHERE s_acctbal >= 0),
+broken AS (
+  SELECT *, concat_ws(', ', CASE WHEN entity_slug = '' THEN 'entity_slug:blank' END, CASE WHEN total_n IS NULL THEN 'total_n:not_a_count' END,
+      CASE WHEN source_type = 'other' THEN 'source_type:unexpected' END, CASE WHEN observed_at = '2026' THEN 'observed_at:not_iso' END,
+      CASE WHEN tag_n > total_n THEN 'tag_n:above_total_n' END) AS broken
+  FROM norm),
+checked AS (
+  SELECT *, CASE WHEN broken <> '' THEN 'schema_validation_error' WHEN entity_slug NOT IN (SELECT k FROM known) THEN 'unknown_commander_slug' END AS reason_type,
+    CASE WHEN broken <> '' THEN broken WHEN entity_slug NOT IN (SELECT k FROM known) THEN 'entity is not in the index: ' || entity_slug END AS reason
+  FROM broken),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY entity_name, entity_slug, total_n, tag_name, tag_slug, tag_n, source_type, observed_at
+                               ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS copy_no
+  FROM checked WHERE reason_type IS NULL),
+versions AS (
+  SELECT *, row_number() OVER (PARTITION BY entity_slug, tag_slug, source_type ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS version_no,
+         count(*) OVER (PARTITION BY entity_slug, tag_slug, source_type) AS version_n
+  FROM numbered WHERE copy_no = 1),
+clean AS (SELECT entity_name, entity_slug, total_n, tag_name, tag_slug, tag_n, source_type, observed_at FROM versions WHERE version_no = 1)
+"""
