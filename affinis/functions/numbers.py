@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F, types as T
 
-from affinis.functions.text import col, strip
+from affinis.functions.text import bind, col, strip
 
 
 def count_from_text(c: Column | str) -> Column:
@@ -19,14 +19,16 @@ def truncated(c: Column | str) -> Column:
 
 def count_from_variant(v: Column | str) -> Column:
     """Count held in a variant: whole numbers, truncated decimals, text; never a boolean."""
-    v = col(v)
-    kind = F.schema_of_variant(v)
-    return (
-        F.when(kind == "BIGINT", F.try_variant_get(v, "$", "bigint"))
-        .when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"),
-              truncated(F.try_variant_get(v, "$", "double")))
-        .when(kind == "STRING", count_from_text(F.try_variant_get(v, "$", "string")))
-    )
+    def count(x: Column) -> Column:
+        kind = F.schema_of_variant(x)
+        return (
+            F.when(kind == "BIGINT", F.try_variant_get(x, "$", "bigint"))
+            .when(kind == "STRING", count_from_text(F.try_variant_get(x, "$", "string")))
+            .when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"),
+                  truncated(F.try_variant_get(x, "$", "double")))
+        )
+
+    return bind(col(v), count)
 
 
 def count_of(c: Column | str, dtype: T.DataType) -> Column:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from affinis.functions.lists import list_of
-from affinis.functions.text import col, empty_to_null, safe_slug, strip
+from affinis.functions.text import bind, col, empty_to_null, safe_slug, strip
 from affinis.functions.urls import set_code_from_uri
 
 SET_TYPE = "struct<set_code:string,set_name:string,released_at:string,set_page_uri:string,set_uri:string>"
@@ -34,11 +34,6 @@ _ELEMENT_JSON = T.StructType(
 )
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate `value` once and use it several times in `body`."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def origin_set(value: Callable[[str], Column | None], *, slug_code: bool = True) -> Column:
     """One origin set; null without a code, the name falls back to the upper-case code.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from affinis.functions.numbers import count_from_variant
-from affinis.functions.text import blank_to_null, col, name_from_slug
+from affinis.functions.text import bind, blank_to_null, col, name_from_slug
 
 # Where a payload keeps its page count, its tag list and its names.
 COUNT_PATH = "$.container.json_dict.card.num_decks"
@@ -38,23 +38,25 @@ def is_list(v: Column) -> Column:
 
 def text_at(v: Column | str, path: str) -> Column:
     """Stripped text at the path, null when it is blank or not a text."""
-    part = at(v, path)
-    return F.when(kind(part) == "STRING", blank_to_null(F.try_variant_get(part, "$", "string")))
+    return bind(at(v, path), lambda part: F.when(
+        kind(part) == "STRING", blank_to_null(F.try_variant_get(part, "$", "string"))))
 
 
 def page_count(v: Column | str) -> Column:
     """Page count: the current path when it exists, the legacy field only when it does not.
     A value that is there but bad gives null; it never falls back."""
-    new, old = at(v, COUNT_PATH), at(v, LEGACY_COUNT_PATH)
-    picked = F.when(new.isNotNull(), count_from_variant(new)).otherwise(count_from_variant(old))
-    return F.when(picked >= 0, picked)
+    found = F.coalesce(at(v, COUNT_PATH), at(v, LEGACY_COUNT_PATH))
+    return bind(count_from_variant(found), lambda n: F.when(n >= 0, n))
 
 
 def page_count_error(v: Column | str) -> Column:
     """Failure kind of the page count, null when the count is good."""
-    v = col(v)
-    absent = at(v, COUNT_PATH).isNull() & at(v, LEGACY_COUNT_PATH).isNull()
-    return F.when(v.isNull(), NOT_JSON).when(~is_object(v), WRONG_TYPE).when(absent, MISSING).when(page_count(v).isNull(), BAD_VALUE)
+    def error(x: Column) -> Column:
+        absent = at(x, COUNT_PATH).isNull() & at(x, LEGACY_COUNT_PATH).isNull()
+        return (F.when(x.isNull(), NOT_JSON).when(~is_object(x), WRONG_TYPE)
+                .when(absent, MISSING).when(page_count(x).isNull(), BAD_VALUE))
+
+    return bind(col(v), error)
 
 
 def entity_name(v: Column | str, slug: Column | str, index_name: Column | None = None) -> Column:
