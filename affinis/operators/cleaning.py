@@ -11,7 +11,7 @@ from affinis.config import (
     CLEAN_COLUMNS, CLEAN_KEY, NORMAL_SOURCE, SIGNAL_NAME, SIGNAL_SLUG, SIGNAL_SOURCE, TEXT_COLUMNS,
 )
 from affinis.functions.numbers import count_of
-from affinis.functions.text import blank_to_null, strip
+from affinis.functions.text import bind, blank_to_null, strip
 from affinis.functions.times import valid_iso
 from affinis.operators.keep_first import first_per_key, ordinal
 from affinis.operators.reports import count_rows, report
@@ -55,7 +55,8 @@ def normalise(raw: DataFrame) -> DataFrame:
 
 
 def broken_rules():
-    """Codes of the rules a normalised row breaks, in rule order."""
+    """Codes of the rules a normalised row breaks, in rule order. How the counts relate is only
+    asked of a row whose fields are all good."""
     total, tag, source = F.col("total_n"), F.col("tag_n"), F.col("source_type")
     blank = {c: F.coalesce(F.col(c), F.lit("")) == "" for c in TEXT_COLUMNS}
     rules = [(f"{c}:blank", blank[c]) for c in TEXT_COLUMNS]
@@ -66,9 +67,10 @@ def broken_rules():
         ("tag_n:negative", tag < 0),
         ("source_type:unexpected", ~blank["source_type"] & ~source.isin(NORMAL_SOURCE, SIGNAL_SOURCE)),
         ("observed_at:not_iso", ~blank["observed_at"] & ~valid_iso("observed_at")),
-        ("tag_n:above_total_n", tag > total),
     ]
-    return F.array_compact(F.array(*[F.when(test, F.lit(code)) for code, test in rules]))
+    fields = F.array_compact(F.array(*[F.when(test, F.lit(code)) for code, test in rules]))
+    above = F.array(F.lit("tag_n:above_total_n"))
+    return bind(fields, lambda f: F.when((F.size(f) == 0) & (tag > total), above).otherwise(f))
 
 
 def known_slugs(index: DataFrame) -> DataFrame:

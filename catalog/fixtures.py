@@ -191,11 +191,11 @@ norm AS (
     tag_n::BIGINT AS tag_n, source_type, observed_at
   FROM raw),
 known AS (SELECT s_suppkey::VARCHAR AS k FROM supplier WHERE s_acctbal >= 0),
-broken AS (
+field_errors AS (
   SELECT *, concat_ws(', ', CASE WHEN entity_slug = '' THEN 'entity_slug:blank' END, CASE WHEN total_n IS NULL THEN 'total_n:not_a_count' END,
-      CASE WHEN source_type = 'other' THEN 'source_type:unexpected' END, CASE WHEN observed_at = '2026' THEN 'observed_at:not_iso' END,
-      CASE WHEN tag_n > total_n THEN 'tag_n:above_total_n' END) AS broken
+      CASE WHEN source_type = 'other' THEN 'source_type:unexpected' END, CASE WHEN observed_at = '2026' THEN 'observed_at:not_iso' END) AS field_error
   FROM norm),
+broken AS (SELECT *, CASE WHEN field_error = '' AND tag_n > total_n THEN 'tag_n:above_total_n' ELSE field_error END AS broken FROM field_errors),
 checked AS (
   SELECT *, CASE WHEN broken <> '' THEN 'schema_validation_error' WHEN entity_slug NOT IN (SELECT k FROM known) THEN 'unknown_commander_slug' END AS reason_type,
     CASE WHEN broken <> '' THEN broken WHEN entity_slug NOT IN (SELECT k FROM known) THEN 'entity is not in the index: ' || entity_slug END AS reason
