@@ -10,23 +10,29 @@ _CLOCK = (
     r"(?:[01]\d|2[0-3])"
     r"(?::[0-5]\d(?::[0-5]\d(?:[.,]\d+)?)?|[0-5]\d(?:[0-5]\d(?:[.,]\d+)?)?)?"
 )
-_DATE = r"(\d{4})(-?)(\d{2})\2(\d{2})"
-_WEEK = r"(\d{4})(-?)W(\d{2})(?:\2([1-7]))?"
-_REST = rf"(?:.{_CLOCK}(?:[+-]{_CLOCK})?)?"
+_DATE = r"\d{4}-\d{2}-\d{2}|\d{8}|\d{4}-W\d{2}(?:-[1-7])?|\d{4}W\d{2}[1-7]?"
+_ISO = f"^(?:{_DATE})(?:.{_CLOCK}(?:[+-]{_CLOCK})?)?$"
 
 
 def valid_iso(c: Column | str) -> Column:
     """True where the text is an ISO date, optionally with a time and an offset.
 
     Calendar dates come with or without dashes, week dates with an optional day. A bare
-    year or year-month is no date.
+    year or year-month is no date. One pattern tells the shape; the calendar decides the rest.
     """
     text = F.replace(col(c), F.lit("Z"), F.lit("+00:00"))
 
-    def part(pattern: str, group: int) -> Column:
-        return F.regexp_extract(text, f"^{pattern}{_REST}$", group)
+    def piece(start: int, length: int) -> Column:
+        return F.substring(text, start, length)
 
-    day = F.concat_ws("-", part(_DATE, 1), part(_DATE, 3), part(_DATE, 4)).try_cast("date")
-    last_week = F.weekofyear(F.concat(part(_WEEK, 1), F.lit("-12-28")).try_cast("date"))
-    week = part(_WEEK, 3).try_cast("int")
-    return F.coalesce(day.isNotNull() | ((week >= 1) & (week <= last_week)), F.lit(False))
+    def week_exists(week: Column) -> Column:
+        last = F.weekofyear(F.concat(piece(1, 4), F.lit("-12-28")).try_cast("date"))
+        return (week.try_cast("int") >= 1) & (week.try_cast("int") <= last)
+
+    exists = (
+        F.when(piece(6, 1) == "W", week_exists(piece(7, 2)))
+        .when(piece(5, 1) == "W", week_exists(piece(6, 2)))
+        .when(piece(5, 1) == "-", piece(1, 10).try_cast("date").isNotNull())
+        .otherwise(F.concat_ws("-", piece(1, 4), piece(5, 2), piece(7, 2)).try_cast("date").isNotNull())
+    )
+    return F.coalesce(F.when(text.rlike(_ISO), exists), F.lit(False))

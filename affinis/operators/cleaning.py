@@ -15,6 +15,7 @@ from affinis.functions.text import bind, blank_to_null, strip
 from affinis.functions.times import valid_iso
 from affinis.operators.keep_first import first_per_key, ordinal
 from affinis.operators.reports import count_rows, report
+from affinis.session import spread
 
 # Reasons for which a row is set aside.
 SCHEMA_ERROR = "schema_validation_error"
@@ -82,7 +83,7 @@ def check_rows(raw: DataFrame, index: DataFrame) -> DataFrame:
 
     Whether the entity is known is only asked of rows that keep every rule.
     """
-    kept = raw.withColumn("raw_record", F.to_json(F.struct(*raw.columns)))
+    kept = spread(raw).withColumn("_raw", F.struct(*raw.columns))
     checked = normalise(kept).withColumn("_broken", broken_rules())
     known = known_slugs(index).withColumn("_known", F.lit(True))
     broken = F.size("_broken") > 0
@@ -91,7 +92,8 @@ def check_rows(raw: DataFrame, index: DataFrame) -> DataFrame:
         .withColumn("reason_type", F.when(broken, SCHEMA_ERROR).when(F.col("_known").isNull(), UNKNOWN_ENTITY))
         .withColumn("reason", F.when(broken, F.array_join("_broken", ", ")).when(
             F.col("_known").isNull(), F.concat(F.lit("entity is not in the index: "), F.col("entity_slug"))))
-        .drop("_broken", "_known")
+        .withColumn("raw_record", F.when(F.col("reason_type").isNotNull(), F.to_json("_raw")))
+        .drop("_broken", "_known", "_raw")
     )
 
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from affinis.config import AffinityConfig, PAIR_KEY
 from affinis.operators import affinity as af, aliases as al, cleaning as cl, enrich as en, explore as ex
 from affinis.operators import groups as gr, paging as pg, snapshots as sn, tiers as ti, trends as tr
-from affinis.session import materialise
+from affinis.session import materialise, scratch
 from affinis.sinks import records as rc, shards as sh
 from affinis.sources import snapshots as ss
 
@@ -27,25 +28,27 @@ def _save(tables: dict[str, DataFrame], root: str) -> None:
 
 def run_cleaning(index: DataFrame, inputs: Sequence[tuple[str, DataFrame, Sequence[str]]], root: str, status: DataFrame | None = None) -> DataFrame:
     """Clean the inputs, given as (name, rows, ordinal columns), and write seven tables. Gives the report."""
-    checked = materialise(cl.check_rows(cl.union_inputs(inputs), index))
-    result = cl.clean(checked, ["input_rank", "input_row"])
-    clean = materialise(result.clean)
-    result = cl.Cleaned(checked, clean, result.invalid, materialise(result.exact_duplicates), materialise(result.conflicts))
-    report = cl.validation_report(result, index, status)
-    _save({
-        "tags_clean": cl.in_clean_order(clean), "entities": cl.entities(clean), "tags": cl.tags(clean), "invalid_rows": result.invalid,
-        "exact_duplicates": result.exact_duplicates, "conflicts": cl.in_key_order(result.conflicts), "validation_report": report,
-    }, root)
-    return report.sparkSession.read.parquet(f"{root}/validation_report")
+    spark = index.sparkSession
+    with scratch(spark):
+        checked = materialise(cl.check_rows(cl.union_inputs(inputs), index))
+        result = cl.clean(checked, ["input_rank", "input_row"])
+        clean = materialise(result.clean)
+        result = cl.Cleaned(checked, clean, result.invalid, materialise(result.exact_duplicates), materialise(result.conflicts))
+        _save({
+            "tags_clean": cl.in_clean_order(clean), "entities": cl.entities(clean), "tags": cl.tags(clean), "invalid_rows": result.invalid,
+            "exact_duplicates": result.exact_duplicates, "conflicts": cl.in_key_order(result.conflicts),
+            "validation_report": cl.validation_report(result, index, status),
+        }, root)
+    return spark.read.parquet(f"{root}/validation_report")
 
 
 def run_analysis(clean: DataFrame, root: str, config: AffinityConfig = AffinityConfig()) -> DataFrame:
     """Score clean rows and write affinity rows, rankings, leaderboard, tag summary and run summary."""
-    affinity = materialise(af.analyse(clean, config))
-    summary = af.analysis_summary(affinity, config)
+    _save({"affinity_rows": af.analyse(clean, config)}, root)
+    affinity = clean.sparkSession.read.parquet(f"{root}/affinity_rows")
     _save({
-        "affinity_rows": affinity, "tag_rankings": af.tag_rankings(affinity), "global_leaderboard": af.global_leaderboard(affinity),
-        "tag_summary": af.tag_summary(affinity), "analysis_summary": summary,
+        "tag_rankings": af.tag_rankings(affinity), "global_leaderboard": af.global_leaderboard(affinity),
+        "tag_summary": af.tag_summary(affinity), "analysis_summary": af.analysis_summary(affinity, config),
     }, root)
     return affinity
 
@@ -55,10 +58,9 @@ def run_trends(spark: SparkSession, snapshots: str, current: str, root: str) ->
     found = sn.previous_snapshot(ss.snapshot_sizes(spark, snapshots), current).first()["previous_snapshot"]
     now = ss.read_snapshot(spark, snapshots, current)
     before = ss.read_snapshot(spark, snapshots, found) if found else None
-    rows = materialise(tr.trends(now, before, current, found, check=False))
-    _save({
-        "trend_rows": rows, "affinity_rows_with_trends": tr.attach_trends(now, rows), "trend_summary": tr.trend_summary(rows, now, before),
-    }, root)
+    _save({"trend_rows": tr.trends(now, before, current, found, check=False)}, root)
+    rows = spark.read.parquet(f"{root}/trend_rows")
+    _save({"affinity_rows_with_trends": tr.attach_trends(now, rows), "trend_summary": tr.trend_summary(rows, now, before)}, root)
     return rows
 
 
@@ -73,49 +75,51 @@ def replace_empty_snapshot(spark: SparkSession, snapshots: str, current: str) ->
     if got["current_row_count"] == 0:
         if not got["fallback_used"]:
             raise RuntimeError(f"snapshot {current} is empty and no older snapshot holds rows")
-        rows = materialise(ss.read_snapshot(spark, snapshots, got["fallback_snapshot"], check=False))
-        ss.write_snapshot(rows, snapshots, current)
+        with scratch(spark):
+            rows = materialise(ss.read_snapshot(spark, snapshots, got["fallback_snapshot"], check=False))
+            ss.write_snapshot(rows, snapshots, current)
     return report
 
 
 def run_enrichment(spark: SparkSession, entities: DataFrame, cards: DataFrame, prints: DataFrame | None, order: Sequence[str], root: str,
                    tables: Sequence[str] = ()) -> DataFrame:
     """Match entities with cards, write their metadata, and put it into the named tables of `root`."""
-    metadata = materialise(en.card_metadata(en.match_names(entities, cards, order), cards, prints))
-    _save({"entity_card_metadata": metadata, "enrichment_failures": metadata.where(~F.col("match_found")),
-           "enrichment_summary": en.enrichment_summary(metadata)}, root)
-    rc.enrich_tables(spark, root, tables, metadata)
+    _save({"entity_card_metadata": en.card_metadata(en.match_names(entities, cards, order), cards, prints)}, root)
+    metadata = spark.read.parquet(f"{root}/entity_card_metadata")
+    _save({"enrichment_failures": metadata.where(~F.col("match_found")), "enrichment_summary": en.enrichment_summary(metadata)}, root)
+    with scratch(spark):
+        rc.enrich_tables(spark, root, tables, metadata)
     return metadata
 
 
-def run_publish(rows: DataFrame, summary: DataFrame | None, root: str, config: AffinityConfig = AffinityConfig(), *,
+def run_publish(rows: DataFrame, summary: DataFrame | None, root: str, config: AffinityConfig = AffinityConfig(), *, summaries: str | None = None,
                 layout: str = "json", max_folders: int = sh.MAX_FOLDERS) -> DataFrame:
-    """Write every shard family with its index, the leaderboard pages and the manifest. Gives the manifest."""
-    order = list(PAIR_KEY)
-    ready = materialise(gr.with_origin_sets(al.fill_columns(rows)))
-    set_rows = materialise(gr.set_rows(ready, order))
-    theme_rows = materialise(ti.theme_rows(ready, config))
+    """Write every shard family with its index, the leaderboard pages, the run summaries found
+    under `summaries`, and the manifest. Gives the manifest."""
+    spark, order = rows.sparkSession, list(PAIR_KEY)
     options = {"layout": layout, "max_folders": max_folders}
-
-    sh.write_shards(sh.sharded(ready, "entity_slug"), f"{root}/entities", sh.entity_order(ready), **options)
-    sh.write_shards(sh.sharded(ready, "tag_slug"), f"{root}/tags", sh.tag_order(ready), **options)
-    sh.write_shards(sh.sharded(set_rows.drop("set_place"), "origin_set_code"), f"{root}/sets",
-                    [F.col("z").desc_nulls_last(), F.col("entity_name"), F.col("tag_name"), *[F.col(c) for c in order]], **options)
-    sh.write_shards(sh.sharded(theme_rows, "theme_tag_slug"), f"{root}/theme-brackets",
-                    [F.col("theme_z").desc_nulls_last(), F.col("entity_slug")], **options)
-    entity_index = ex.entity_index(ready, order, ENTITY_INDEX_COLUMNS)
-    _save({
-        "entities_index": entity_index, "tags_index": ex.tag_index(ready, summary, order), "sets_index": gr.set_index(set_rows),
-        "theme_brackets_index": ti.theme_index(ready, order, summary, config),
-    }, root)
-
-    paged = pg.with_page(pg.with_position(ready, sh.leaderboard_order(ready)), config.page_size)
-    sh.write_shards(paged, f"{root}/leaderboard", [F.col("position")], shard="page", **options)
-    _save({"leaderboard_index": pg.page_index(paged, config.page_size)}, root)
-
-    sizes = materialise(
-        sh.shard_sizes(ready, "entity_slug", "entities").unionAll(sh.shard_sizes(ready, "tag_slug", "tags"))
-        .unionAll(sh.shard_sizes(set_rows, "origin_set_code", "sets")).unionAll(sh.shard_sizes(theme_rows, "theme_tag_slug", "theme-brackets")))
-    manifest = sh.manifest(ready, sh.shard_statistics(sizes))
-    _save({"site_manifest": manifest, "shard_sizes": sizes}, root)
-    return manifest
+    if summaries:
+        rc.copy_tables(spark, summaries, f"{root}/summaries", rc.SUMMARY_TABLES, ())
+    with scratch(spark):
+        ready = materialise(gr.with_origin_sets(al.fill_columns(rows)))
+        set_rows = materialise(gr.set_rows(ready, order))
+        theme_rows = materialise(ti.theme_rows(ready, config))
+        sh.write_shards(sh.sharded(ready, "entity_slug"), f"{root}/entities", sh.entity_order(ready), **options)
+        sh.write_shards(sh.sharded(ready, "tag_slug"), f"{root}/tags", sh.tag_order(ready), **options)
+        sh.write_shards(sh.sharded(set_rows.drop("set_place"), "origin_set_code"), f"{root}/sets",
+                        [F.col("z").desc_nulls_last(), F.col("entity_name"), F.col("tag_name"), *[F.col(c) for c in order]], **options)
+        sh.write_shards(sh.sharded(theme_rows, "theme_tag_slug"), f"{root}/theme-brackets",
+                        [F.col("theme_z").desc_nulls_last(), F.col("entity_slug")], **options)
+        _save({
+            "entities_index": ex.entity_index(ready, order, ENTITY_INDEX_COLUMNS), "tags_index": ex.tag_index(ready, summary, order),
+            "sets_index": gr.set_index(set_rows), "theme_brackets_index": ti.theme_index(ready, order, summary, config),
+        }, root)
+
+        paged = pg.with_page(pg.with_position(ready, sh.leaderboard_order(ready)), config.page_size)
+        sh.write_shards(paged, f"{root}/leaderboard", [F.col("position")], shard="page", **options)
+        families = [(ready, "entity_slug", "entities"), (ready, "tag_slug", "tags"), (set_rows, "origin_set_code", "sets"), (theme_rows, "theme_tag_slug", "theme-brackets")]
+        sizes = reduce(DataFrame.unionAll, [sh.shard_sizes(df, key, family) for df, key, family in families])
+        _save({"leaderboard_index": pg.page_index(paged, config.page_size), "shard_sizes": sizes}, root)
+        stored = spark.read.parquet(f"{root}/shard_sizes")
+        _save({"site_manifest": sh.manifest(ready, sh.shard_statistics(stored))}, root)
+    return spark.read.parquet(f"{root}/site_manifest")

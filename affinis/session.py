@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Size of a scan task; with fewer bytes than this per core some cores may stay idle.
+SPLIT_BYTES = 128 << 20
+
 
 def local_session(app: str = "affinis", cores: str | int = 8, partitions: int | None = None) -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own."""
@@ -41,6 +46,22 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables materialised inside are removed at the end; what a run gives back is read from
+    the tables it wrote, not from these."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Compute once, keep the rows as a table in the shared folder and go on from that table.
 
@@ -48,5 +69,18 @@ def materialise(df: DataFrame) -> DataFrame:
     lost executor cannot change what they see. The table brings its size to the planner.
     """
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small input spread over all cores before work that is heavy per row.
+
+    A small file may come as one indivisible piece. An input that already fills the cores,
+    which is every large one, is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(str(size)) < cores * SPLIT_BYTES else df

@@ -16,6 +16,8 @@ from affinis.sources.records import exists
 REQUIRED_TABLES = ("analysis_summary", "trend_summary", "tag_summary", "global_leaderboard", "tag_rankings", "affinity_rows_with_trends")
 OPTIONAL_TABLES = ("entity_card_metadata", "trend_rows", "affinity_rows")
 
+SUMMARY_TABLES = ("analysis_summary", "trend_summary", "tag_summary")
+
 
 def write_records(df: DataFrame, path: str, *, layout: str = "lines", mode: str = "overwrite", strict: bool = True) -> None:
     """Write rows as 'lines', 'array' or 'parquet'. Missing values are written as JSON null;

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from affinis.config import AffinityConfig
 from affinis.plans import jobs
+from affinis.session import materialise, scratch, spread
 from affinis.sinks import records as rc, shards as sh
 from affinis.sources import records as rd, snapshots as ss
+from affinis.sources.cards import card_columns, read_cards
 from affinis.sources.identities import first_identities
 from test_cleaning import SCHEMA as RAW, raw
 from test_enrich import CARD, card
@@ -175,7 +177,7 @@ def test_whole_batch(spark, tmp_path):
     assert {r["match_strategy"] for r in rows.select("match_strategy").collect()} == {"exact_full_name"}
     assert spark.read.parquet(f"{root}/enrichment_summary").first()["unmatched_count"] == 1
 
-    manifest = jobs.run_publish(rows, spark.read.parquet(f"{root}/tag_summary"), site, AffinityConfig(page_size=4)).first()
+    manifest = jobs.run_publish(rows, spark.read.parquet(f"{root}/tag_summary"), site, AffinityConfig(page_size=4), summaries=root).first()
     assert (manifest["total_rows"], manifest["unique_entities"], manifest["unique_tags"]) == (6, 2, 3)
     assert {f["family"]: f["shard_count"] for f in manifest["families"]} == {"entities": 2, "sets": 2, "tags": 3, "theme-brackets": 2}
     pages = spark.read.parquet(f"{site}/leaderboard_index").orderBy("page").collect()
@@ -183,3 +185,27 @@ def test_whole_batch(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "site" / "leaderboard").iterdir() if p.is_dir()) == ["page=1", "page=2"]
     assert spark.read.parquet(f"{site}/theme_brackets_index").count() == 3
     assert spark.read.parquet(f"{site}/sets_index").count() == 2
+    assert spark.read.parquet(f"{site}/summaries/trend_summary").count() == 1
+
+
+def test_scratch_tables_are_removed(spark):
+    with scratch(spark):
+        kept = materialise(spark.range(3))
+        path = kept.inputFiles()[0].rsplit("/", 1)[0]
+        assert rd.exists(spark, path)
+    assert not rd.exists(spark, path)
+
+
+def test_only_small_inputs_are_spread(spark, monkeypatch):
+    one = spark.range(10).coalesce(1)
+    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr("affinis.session.SPLIT_BYTES", 1)
+    assert spread(one).rdd.getNumPartitions() == 1
+
+
+def test_bulk_cards(spark, tmp_path):
+    path = tmp_path / "bulk.jsonl"
+    path.write_text(json.dumps({"name": "Ann", "id": "1", "set": "khm", "page": "https://c/1", "color_identity": ["G"], "image_uris": {"normal": "n"}, "extra": 1}) + "\n")
+    got = read_cards(spark, str(path), "page", "set_page").first()
+    assert (got["card_name"], got["set_code"], got["card_uri"], got["image_uris"]["normal"], got["set_page_uri"]) == ("Ann", "khm", "https://c/1", "n", None)
+    assert card_columns(spark.createDataFrame([("Bob",)], "name string"), "page", "set_page").first()["card_id"] is None
