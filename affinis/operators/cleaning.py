@@ -15,7 +15,6 @@ from affinis.functions.text import bind, blank_to_null, strip
 from affinis.functions.times import valid_iso
 from affinis.operators.keep_first import first_per_key, ordinal
 from affinis.operators.reports import count_rows, report
-from affinis.session import spread
 
 # Reasons for which a row is set aside.
 SCHEMA_ERROR = "schema_validation_error"
@@ -83,7 +82,7 @@ def check_rows(raw: DataFrame, index: DataFrame) -> DataFrame:
 
     Whether the entity is known is only asked of rows that keep every rule.
     """
-    kept = spread(raw).withColumn("_raw", F.struct(*raw.columns))
+    kept = raw.withColumn("_raw", F.struct(*raw.columns))
     checked = normalise(kept).withColumn("_broken", broken_rules())
     known = known_slugs(index).withColumn("_known", F.lit(True))
     broken = F.size("_broken") > 0

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from affinis.functions.text import col
 
+_GREATEST = 1.7e308
 # Slots per doubling of the value.
 SLOTS_PER_OCTAVE = 256
 
@@ -19,19 +20,19 @@ SLOTS_PER_OCTAVE = 256
 def value_slot(value: Column | str, per_octave: int = SLOTS_PER_OCTAVE) -> Column:
     """Slot number that never falls as the value grows; about 0.3 % of the value wide."""
     v = col(value).cast("double")
-    size = F.floor((F.log2(F.abs(v)) + 1100) * per_octave)
+    size = F.floor((F.log2(F.least(F.abs(v), F.lit(_GREATEST))) + 1100) * per_octave)
     return F.when(v == 0, F.lit(0)).otherwise(F.signum(v).cast("bigint") * size)
 
 
 def value_ranks(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """One row per (group, value) that is not null:
+    """One row per (group, value) that is a number:
 
     n_equal    rows with the value
     n_group    rows of the group with any value
     rank_desc  lowest rank, the greatest value first
     rank_asc   average rank, the smallest value first
     """
-    present = F.col(value).isNotNull() & F.col(group).isNotNull()
+    present = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")) & F.col(group).isNotNull()
     counts = rows.where(present).groupBy(group, value).agg(F.count(F.lit(1)).alias("n_equal"))
     counts = counts.withColumn("_slot", value_slot(value))
     per_slot = counts.groupBy(group, "_slot").agg(F.sum("n_equal").alias("_n"))

@@ -9,9 +9,6 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Size of a scan task; with fewer bytes than this per core some cores may stay idle.
-SPLIT_BYTES = 128 << 20
-
 
 def local_session(app: str = "affinis", cores: str | int = 8, partitions: int | None = None) -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own."""
@@ -75,12 +72,11 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a small input spread over all cores before work that is heavy per row.
+def spread(scan: DataFrame) -> DataFrame:
+    """Rows of a file scan spread over all cores when the scan has fewer tasks than there are cores.
 
-    A small file may come as one indivisible piece. An input that already fills the cores,
-    which is every large one, is left as it is.
+    A small file may come as one indivisible piece. A scan that already fills the cores, which
+    is every large one, is left as it is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(cores) if int(str(size)) < cores * SPLIT_BYTES else df
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

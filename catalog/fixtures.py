@@ -24,12 +24,13 @@ def slug_of_brand(c):
     return F.lower(F.replace(c, F.lit("#"), F.lit("-")))
 
 
-def _pairs_of(base: DataFrame, *by: str) -> DataFrame:
-    """Distinct orders per (entity, tag) and per entity, out of (by..., entity, tag, ord) rows."""
-    seen = base.select(*by, "entity_slug", "tag_name", "ord").distinct()
-    pair = seen.groupBy(*by, "entity_slug", "tag_name").agg(F.count(F.lit(1)).alias("tag_n"))
-    total = seen.select(*by, "entity_slug", "ord").distinct().groupBy(*by, "entity_slug").agg(F.count(F.lit(1)).alias("total_n"))
-    return pair.join(total, [*by, "entity_slug"])
+def _pairs_of(base: DataFrame, letter: str, *by: str) -> DataFrame:
+    """Distinct orders per (entity, tag) and per entity, out of (by..., ent, tag_name, ord) rows."""
+    seen = base.select(*by, "ent", "tag_name", "ord").distinct()
+    pair = seen.groupBy(*by, "ent", "tag_name").agg(F.count(F.lit(1)).alias("tag_n"))
+    total = base.groupBy(*by, "ent").agg(F.countDistinct("ord").alias("total_n"))
+    slug = F.concat(F.lit(letter), F.col("ent").cast("string"))
+    return pair.join(total, [*by, "ent"]).withColumn("entity_slug", slug).drop("ent")
 
 
 def _clean_columns(df: DataFrame, label: str, *by: str) -> DataFrame:
@@ -47,9 +48,8 @@ def pairs(spark: SparkSession, folder: str) -> DataFrame:
     line = table(spark, folder, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey")
     part = table(spark, folder, "part").select("p_partkey", "p_brand")
     base = line.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
-        F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("entity_slug"),
-        F.col("p_brand").alias("tag_name"), F.col("l_orderkey").alias("ord"))
-    return _clean_columns(_pairs_of(base), "Supplier")
+        F.col("l_suppkey").alias("ent"), F.col("p_brand").alias("tag_name"), F.col("l_orderkey").alias("ord"))
+    return _clean_columns(_pairs_of(base, "s"), "Supplier")
 
 
 PAIRS_SQL = f"""
@@ -96,10 +96,10 @@ def dated_pairs(spark: SparkSession, folder: str, snapshot) -> DataFrame:
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
         .select(
             snapshot(F.col("o_orderdate").cast("date").cast("string")).alias("snapshot_date"),
-            F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("entity_slug"),
+            F.col("o_custkey").alias("ent"),
             F.col("p_brand").alias("tag_name"), F.col("l_orderkey").alias("ord"))
     )
-    return _clean_columns(_pairs_of(base, "snapshot_date"), "Customer", "snapshot_date")
+    return _clean_columns(_pairs_of(base, "c", "snapshot_date"), "Customer", "snapshot_date")
 
 
 def half_of(day):

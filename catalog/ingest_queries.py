@@ -85,7 +85,7 @@ def sitemap_locations(spark, folder):
 def payloads(spark, folder) -> DataFrame:
     """One payload document per supplier, built from the pairs, in good and bad shapes."""
     one = pairs(spark, folder).groupBy("entity_slug").agg(
-        F.first("total_n").alias("total_n"),
+        F.max("total_n").alias("total_n"),
         F.array_sort(F.collect_list(F.struct(F.col("tag_n").alias("count"), F.col("tag_slug").alias("slug"),
                                              F.col("tag_name").alias("value")))).alias("links"))
     kind = F.substring("entity_slug", 2, 20).cast("bigint") % 10
@@ -128,7 +128,8 @@ def payload_failures(spark, folder):
 
 
 def signal_inputs(spark, folder):
-    """Index, normal rows and landed responses: the page of a supplier gives its Brand#1 count."""
+    """Index, normal rows and landed responses: the page of a supplier gives its Brand#1 count;
+    overdrawn suppliers have no normal rows."""
     rows = materialise(pairs(spark, folder))
     number = F.substring("entity_slug", 2, 20).cast("bigint")
     per_entity = rows.groupBy("entity_slug").agg(
@@ -141,7 +142,9 @@ def signal_inputs(spark, folder):
     responses = per_entity.select("entity_slug", status.alias("http_status"), F.when(kind == 3, F.lit("timeout")).alias("transport_error"), body.alias("body"))
     index = table(spark, folder, "supplier").select(
         F.when(F.col("s_suppkey") % 13 == 7, F.lit(" ")).otherwise(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))).alias("entity_slug"))
-    normal = rows.where(number % 13 != 8)
+    overdrawn = table(spark, folder, "supplier").where("s_acctbal < 0").select(
+        F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("entity_slug"))
+    normal = rows.join(overdrawn, "entity_slug", "left_anti")
     return index, normal, responses
 
 
@@ -149,7 +152,7 @@ SIGNAL_SQL = "WITH " + PAIRS_SQL + """,
 per AS (SELECT entity_slug, max(total_n) AS n, coalesce(max(tag_n) FILTER (WHERE tag_slug = 'brand-1'), 0) AS signal_n FROM pairs GROUP BY entity_slug),
 outcome AS (
   SELECT CASE WHEN s_suppkey % 13 = 7 THEN '' ELSE 's' || s_suppkey END AS entity_slug, n, signal_n,
-    CASE WHEN s_suppkey % 13 = 7 THEN 'invalid_commander_index_record' WHEN s_suppkey % 13 = 8 OR n IS NULL THEN 'missing_normal_metadata'
+    CASE WHEN s_suppkey % 13 = 7 THEN 'invalid_commander_index_record' WHEN s_acctbal < 0 OR n IS NULL THEN 'missing_normal_metadata'
       WHEN s_suppkey % 13 = 1 THEN 'no_cedh_route' WHEN s_suppkey % 13 = 2 THEN 'http_error' WHEN s_suppkey % 13 = 3 THEN 'request_error'
       WHEN s_suppkey % 13 = 4 OR (signal_n = 0 AND s_suppkey % 13 NOT IN (5, 6)) THEN 'no_cedh_decks'
       WHEN s_suppkey % 13 IN (5, 6) THEN 'parse_error' ELSE 'cedh_row_written' END AS status_type

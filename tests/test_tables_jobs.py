@@ -196,11 +196,10 @@ def test_scratch_tables_are_removed(spark):
     assert not rd.exists(spark, path)
 
 
-def test_only_small_inputs_are_spread(spark, monkeypatch):
-    one = spark.range(10).coalesce(1)
-    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    monkeypatch.setattr("affinis.session.SPLIT_BYTES", 1)
-    assert spread(one).rdd.getNumPartitions() == 1
+def test_only_scans_of_few_tasks_are_spread(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == cores
+    assert spread(spark.range(0, 10, 1, cores + 3)).rdd.getNumPartitions() == cores + 3
 
 
 def test_bulk_cards(spark, tmp_path):
