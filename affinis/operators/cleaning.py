@@ -13,6 +13,7 @@ from affinis.config import (
 from affinis.functions.numbers import count_of
 from affinis.functions.text import bind, blank_to_null, strip
 from affinis.functions.times import valid_iso
+from affinis.operators.joins import SLUG_ROWS, small_side
 from affinis.operators.keep_first import first_per_key, ordinal
 from affinis.operators.reports import count_rows, report
 
@@ -84,7 +85,7 @@ def check_rows(raw: DataFrame, index: DataFrame) -> DataFrame:
     """
     kept = raw.withColumn("_raw", F.struct(*raw.columns))
     checked = normalise(kept).withColumn("_broken", broken_rules())
-    known = known_slugs(index).withColumn("_known", F.lit(True))
+    known = small_side(known_slugs(index), SLUG_ROWS).withColumn("_known", F.lit(True))
     broken = F.size("_broken") > 0
     return (
         checked.join(known, "entity_slug", "left")

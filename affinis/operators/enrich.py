@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from affinis.functions.colors import ordered_colors
 from affinis.functions.origin_sets import SET_TYPE, set_of_print, unique_by_code
 from affinis.functions.text import bind, col, empty_to_null, name_candidates, search_text
+from affinis.operators.joins import METADATA_ROWS, small_side
 from affinis.operators.keep_first import best_per_key, first_per_key, ordinal
 from affinis.operators.reports import count_rows, report
 
@@ -164,13 +165,13 @@ def card_metadata(matches: DataFrame, cards: DataFrame, prints: DataFrame | None
 def merge_metadata(rows: DataFrame, metadata: DataFrame, order: Column | None = None) -> DataFrame:
     """Rows with the metadata columns of their entity; rows without metadata stay as they are.
 
-    With `order`, the metadata row with the greatest order stands for an entity that has several.
+    `metadata` is a stored table. With `order`, the metadata row with the greatest order stands for an entity that has several.
     """
     chosen = metadata.where(F.coalesce("entity_slug", F.lit("")) != "")
     if order is not None:
         chosen = best_per_key(chosen, ["entity_slug"], order)
     fields = [c for c in MERGED_COLUMNS if c in metadata.columns]
-    side = chosen.select("entity_slug", F.struct(*fields).alias("_meta"))
+    side = small_side(chosen.select("entity_slug", F.struct(*fields).alias("_meta")), METADATA_ROWS)
     matched = F.col("_meta").isNotNull()
     merged = rows.join(side, "entity_slug", "left")
     kept = [F.col(c) for c in rows.columns if c not in fields]

@@ -1,0 +1,18 @@
+"""Joins with a side that is usually small."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+# Bounds of a broadcast side in rows: slugs of some 40 bytes, metadata rows of some 2 KB.
+SLUG_ROWS = 2_000_000
+METADATA_ROWS = 100_000
+
+
+def small_side(df: DataFrame, max_rows: int) -> DataFrame:
+    """The frame marked for broadcast when it is counted to have at most `max_rows` rows, so that
+    the other side is not shuffled; beyond the bound it is left to the usual shuffle join.
+
+    The count reads the frame once more, so it should be a stored table or cheap to compute.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -23,6 +23,16 @@ def reported_size(reported, counted):
     return F.coalesce(F.when(text.rlike(r"^\s*\d+\s*$"), F.trim(text).try_cast("bigint")), counted)
 
 
+def sized_by_reports(sizes: DataFrame, reports: DataFrame, name: str = "snapshot_date") -> DataFrame:
+    """Sizes per snapshot, taken from the snapshot's own run report where that names a whole number.
+
+    `reports` holds one row per snapshot with its clean_tag_row_count as text.
+    """
+    both = sizes.join(reports.select(name, "clean_tag_row_count"), name, "full_outer")
+    size = reported_size(F.col("clean_tag_row_count"), F.col("row_count"))
+    return both.select(name, size.alias("row_count")).where("row_count IS NOT NULL")
+
+
 def previous_snapshots(sizes: DataFrame, name: str = "snapshot_date") -> DataFrame:
     """For each snapshot the latest strictly older one that exists, null for the oldest.
 

@@ -85,3 +85,10 @@ def test_choice_of_snapshot(spark):
 def test_size_out_of_a_report(spark):
     df = spark.createDataFrame([("7", 3), ("x", 3), (None, 2)], "said string, counted bigint")
     assert [r[0] for r in df.select(sn.reported_size(F.col("said"), F.col("counted"))).collect()] == [7, 3, 2]
+
+
+def test_reports_tell_the_size_where_they_can(spark):
+    sizes = spark.createDataFrame([("2026-05-07", 5), ("2026-05-14", 3)], "snapshot_date string, row_count bigint")
+    reports = spark.createDataFrame([("2026-05-07", " 0 "), ("2026-05-14", "many"), ("2026-05-21", "8"), ("2026-05-28", None)], "snapshot_date string, clean_tag_row_count string")
+    got = {r["snapshot_date"]: r["row_count"] for r in sn.sized_by_reports(sizes, reports).collect()}
+    assert got == {"2026-05-07": 0, "2026-05-14": 3, "2026-05-21": 8}
