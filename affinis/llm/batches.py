@@ -6,7 +6,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 #: Rows and characters (of the longest column) that are turned into Python objects at once. A longer text is a piece of its own.
 ROWS, CHARS = 2048, 4_000_000
@@ -17,7 +19,7 @@ def pieces(batch: pa.RecordBatch, column: str | None = None) -> Iterator[pa.Reco
     if column is None:
         yield from (batch.slice(i, ROWS) for i in range(0, batch.num_rows, ROWS))
         return
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch[column]), 0), dtype=np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch[column]), 0), dtype=np.int64)
     start, total = 0, 0
     for i, size in enumerate(sizes.tolist()):
         if i > start and (total + size > CHARS or i - start >= ROWS):
@@ -28,7 +30,7 @@ def pieces(batch: pa.RecordBatch, column: str | None = None) -> Iterator[pa.Reco
         yield batch.slice(start)
 
 
-def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str | None = None) -> DataFrame:
+def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: StructType | str, column: str | None = None) -> DataFrame:
     """`fn` over small slices of the rows' Arrow batches; no rows meet, so any task can run again."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

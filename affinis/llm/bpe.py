@@ -14,6 +14,7 @@ import heapq
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from affinis.llm.batches import map_rows, packed, texts_of
 
@@ -237,7 +238,7 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([*batch.columns, packed(out)], [*batch.schema.names, "decoded"])
 
     kept = rows.drop("decoded")
-    return map_rows(kept, run, kept.schema.add("decoded", "binary"), "ids")
+    return map_rows(kept, run, StructType([*kept.schema.fields, StructField("decoded", BinaryType())]), "ids")
 
 
 def report(docs: DataFrame, path: str) -> DataFrame:

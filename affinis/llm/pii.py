@@ -141,10 +141,14 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def counted(kind: str) -> Column:
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+
 def report(docs: DataFrame) -> DataFrame:
     """Counts of the base kinds, the digest of the base spans, and all spans with their scores, by document."""
     base = F.filter("spans", lambda s: s["base"])
     return find(docs).select(
-        "doc_id", *[F.size(F.filter("spans", lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in BASE_KINDS],
+        "doc_id", *[counted(kind).alias(f"n_{kind}") for kind in BASE_KINDS],
         F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
         F.array_join(F.transform("spans", lambda s: F.format_number(s["score"], 2)), ",").alias("scores"))

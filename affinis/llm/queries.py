@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from affinis.llm import bpe, pii
+from affinis.llm import bpe, pii, quality, urls
 
 #: Where the vocabulary files of public tokenizers lie on every worker.
 TOKENIZERS = os.environ.get("TOKENIZER_FILES", "/opt/tokenizers")
@@ -28,6 +28,16 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's URL judged by the rules, then by the list of feed targets."""
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    return urls.judge(pages, urls.feed_targets(pages))
+
+
+SQL["op1_url_filter"] = urls.SQL
+
+
 @query
 def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every text encoded and decoded again."""
@@ -38,3 +48,9 @@ def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data in every text."""
     return pii.report(table(spark, folder, "documents"))
+
+
+@query
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text scored by the discriminant learnt from the labels."""
+    return quality.report(table(spark, folder, "documents"), table(spark, folder, "labels").select("doc_id", "quality"))
