@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import os
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(app: str = "affinis", cores: str | int = 8, partitions: int | None = None) -> SparkSession:
-    """A local session for tests and the bench; a cluster brings its own."""
+def local_session(app: str = "affinis", cores: str | int = 8, partitions: int | None = None, shared: str | None = None) -> SparkSession:
+    """A local session for tests and the bench; a cluster brings its own. A small file comes in as many pieces as there are cores."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]").appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions or cores))
+        .config("spark.sql.files.minPartitionNum", str(cores))
+        .config("spark.sql.files.openCostInBytes", "65536")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", shared or os.path.abspath("spark-warehouse/checkpoints"))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -27,36 +32,55 @@ def local_session(app: str = "affinis", cores: str | int = 8, partitions: int |
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints. The cluster names it in spark.checkpoint.dir; only a local
-    session, where driver and executors are one process, falls back to a folder of its own."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    if named:
-        sc.setCheckpointDir(named)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="affinis-checkpoint-"))
-    else:
+    """Folder that driver and executors share. The cluster names it in spark.checkpoint.dir; without that setting there is none."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
         raise ValueError("spark.checkpoint.dir must name a folder every executor can reach")
-    return sc.getCheckpointDir()
+    return named.rstrip("/")
+
 
+#: Tables of the innermost open scratch() of this thread or task, else of the session.
+_opened: ContextVar[list[str] | None] = ContextVar("opened", default=None)
+_of_session: list[tuple[SparkSession, str]] = []
 
-_scratch: list[list[str]] = []
+
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables materialised inside are removed at the end; what a run gives back is read from
-    the tables it wrote, not from these."""
-    _scratch.append([])
+    """Tables stored by materialise() or at new_path() inside are removed at the end. Read a lazy result before that."""
+    paths: list[str] = []
+    token = _opened.set(paths)
     try:
         yield
     finally:
-        for path in _scratch.pop():
-            jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
+        _opened.reset(token)
+        removed(spark, paths)
+
+
+@atexit.register
+def _close() -> None:
+    """What no scratch() removed goes when the driver's Python ends, while its session is still there."""
+    for spark, path in _of_session:
+        try:
+            removed(spark, [path])
+        except Exception:  # the session has ended; nothing can be removed any more
+            return
+
+
+def new_path(spark: SparkSession, kind: str = "table") -> str:
+    """A path in the shared folder for a table or files that only this run needs."""
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{kind}-{uuid.uuid4().hex}"
+    opened = _opened.get()
+    if opened is None:
+        _of_session.append((spark, path))
+    else:
+        opened.append(path)
+    return path
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -65,18 +89,6 @@ def materialise(df: DataFrame) -> DataFrame:
     Later steps that read the rows several times do not repeat the work behind them, and a
     lost executor cannot change what they see. The table brings its size to the planner.
     """
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    if _scratch:
-        _scratch[-1].append(path)
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Rows of a file scan spread over all cores when the scan has fewer tasks than there are cores.
-
-    A small file may come as one indivisible piece. A scan that already fills the cores, which
-    is every large one, is left as it is.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from affinis.session import spread
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,9 +23,8 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A driver table; the small tables used in tests come as one piece, so it is spread when it is small."""
-    rows = spark.read.parquet(f"{folder}/{name}.parquet")
-    return spread(rows) if name == "lineitem" else rows
+    """A driver table."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, functions as F
 
 from affinis.operators import affinity as af
-from affinis.session import materialise, shared_dir
+from affinis.session import materialise, new_path
 from affinis.sinks import records as rc, shards as sh
 from affinis.sources import records as rd, snapshots as ss
 from catalog.fixtures import PAIRS_SQL, YEARS_SQL, pairs, years
@@ -18,7 +16,7 @@ ROW = ("entity_slug", "tag_slug")
 
 
 def folder_of(spark) -> str:
-    return f"{shared_dir(spark)}/sink-{uuid.uuid4().hex}"
+    return new_path(spark, "sink")
 
 
 def figures(df: DataFrame, layout: str) -> DataFrame:

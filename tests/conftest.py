@@ -9,8 +9,8 @@ from affinis.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session("tests", 8, 4)
+def spark(tmp_path_factory):
+    session = local_session("tests", 8, 4, str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
 
