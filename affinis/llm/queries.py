@@ -10,7 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from affinis.llm import bpe, pii, quality, urls
+from affinis.llm import bpe, pii, quality, token_files, urls
+from affinis.session import new_path
 
 #: Where the vocabulary files of public tokenizers lie on every worker.
 TOKENIZERS = os.environ.get("TOKENIZER_FILES", "/opt/tokenizers")
@@ -38,6 +39,12 @@ def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 SQL["op1_url_filter"] = urls.SQL
 
 
+@query
+def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text's ids in Huffman-coded files, read back."""
+    return token_files.report(table(spark, folder, "documents"), new_path(spark, "tokens"), f"{TOKENIZERS}/word_bpe_49k.json", 2)
+
+
 @query
 def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every text encoded and decoded again."""
