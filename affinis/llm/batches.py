@@ -14,15 +14,15 @@ from pyspark.sql.types import StructType
 ROWS, CHARS = 2048, 4_000_000
 
 
-def pieces(batch: pa.RecordBatch, column: str | None = None) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch of at most ROWS rows and about CHARS bytes of `column`, so that Python never holds much at once."""
+def pieces(batch: pa.RecordBatch, column: str | None = None, chars: int = CHARS) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of at most ROWS rows and about `chars` bytes of `column`, so that Python never holds much at once."""
     if column is None:
         yield from (batch.slice(i, ROWS) for i in range(0, batch.num_rows, ROWS))
         return
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch[column]), 0), dtype=np.int64)
     start, total = 0, 0
     for i, size in enumerate(sizes.tolist()):
-        if i > start and (total + size > CHARS or i - start >= ROWS):
+        if i > start and (total + size > chars or i - start >= ROWS):
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += size
@@ -30,11 +30,11 @@ def pieces(batch: pa.RecordBatch, column: str | None = None) -> Iterator[pa.Reco
         yield batch.slice(start)
 
 
-def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: StructType | str, column: str | None = None) -> DataFrame:
+def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: StructType | str, column: str | None = None, chars: int = CHARS) -> DataFrame:
     """`fn` over small slices of the rows' Arrow batches; no rows meet, so any task can run again."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, column):
+            for piece in pieces(batch, column, chars):
                 yield fn(piece)
 
     return df.mapInArrow(run, schema)

@@ -18,6 +18,9 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from affinis.llm.batches import map_rows, packed, texts_of
 
+#: Bytes of text handled at once; a longer text is handled by itself.
+CHARS = 1_000_000
+
 #: Classes of code points.
 OTHER, LETTER, NUMBER, WHITE, SPACE, QUOTE2, QUOTE3, EDGE = range(8)
 #: States: no memory; in a run of other signs or after a space; two and one letters of a contraction to come.
@@ -40,6 +43,22 @@ _after = np.stack([_code >> 2 * s & 3 for s in range(4)])  # state after s by fu
 COMPOSED = sum(((_code[None, :] >> 2 * _after[s][:, None]) & 3) << 2 * s for s in range(4)).astype(np.uint8).ravel()
 
 
+SIGNS, WHITES = np.isin(np.arange(8), [OTHER, QUOTE2, QUOTE3]), np.isin(np.arange(8), [WHITE, SPACE])
+
+
+def starting(last: int, kind: int) -> int:
+    """Whether a token starts between two classes, contractions aside: 0 no, 1 yes, 2 as the next class says."""
+    if kind == EDGE or last == EDGE:
+        return 1
+    if WHITES[kind]:
+        return 2 if WHITES[last] else 1
+    return int(last != SPACE and not (SIGNS[last] and SIGNS[kind]) and last != kind)
+
+
+#: By last class * 8 + class.
+STARTS = np.array([starting(i >> 3, i & 7) for i in range(64)], dtype=np.uint8)
+
+
 @functools.cache
 def class_table() -> np.ndarray:
     """Class of every code point, as the engine behind the rank files has letters, numbers and white space.
@@ -49,12 +68,13 @@ def class_table() -> np.ndarray:
     """
     import tiktoken
 
-    everything = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     table = np.zeros(0x110000, dtype=np.uint8)
     for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (WHITE, r"\s+")):
         engine = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
-        members = bytes(engine.encode_ordinary(everything)).decode()
-        table[np.frombuffer(members.encode("utf-32-le"), dtype=np.uint32)] = kind
+        for low in range(0, 0x110000, 1 << 14):
+            some = "".join(map(chr, range(low, low + (1 << 14)))) if not 0xD800 <= low < 0xE000 else ""
+            members = bytes(engine.encode_ordinary(some)).decode()
+            table[np.frombuffer(members.encode("utf-32-le"), dtype=np.uint32)] = kind
     table[ord(" ")] = SPACE
     return table
 
@@ -93,21 +113,21 @@ def starts_of(points: np.ndarray, edges: np.ndarray) -> np.ndarray:
         kind[quotes[longer]] = QUOTE3
     kind[edges] = EDGE
     state = scanned(FUNCTION[kind]) & 3  # from PLAIN
-    before = np.concatenate([[PLAIN], state[:-1]])
-    before2 = np.concatenate([[PLAIN, PLAIN], state[:-2]])[:len(state)]
-    last = np.concatenate([[EDGE], kind[:-1]])
-    following = np.concatenate([kind[1:], [EDGE]])
-    sign = np.array([True, False, False, False, False, True, True, False])
-    white = np.array([False, False, False, True, True, False, False, False])
-    start = np.ones(len(kind), dtype=bool)
-    m = kind == LETTER
-    start[m] = ~np.isin(before[m], [TWO, ONE]) & np.where(last[m] == LETTER, before2[m] == ONE, last[m] != SPACE)
-    m = kind == NUMBER
-    start[m] = (last[m] != NUMBER) & (last[m] != SPACE)
-    m = sign[kind]
-    start[m] = ~sign[last[m]] & (last[m] != SPACE)
-    m = white[kind]
-    start[m] = ~white[last[m]] | ~white[following[m]] & (following[m] != EDGE)
+    pair = kind.copy()
+    pair[1:] |= kind[:-1] << 3
+    pair[:1] |= EDGE << 3
+    start = STARTS[pair]
+    # After white space, only the last sign of a run stands apart, and only if something follows.
+    late = np.flatnonzero(start == 2)
+    following = kind[np.minimum(late + 1, len(kind) - 1)]
+    start[late] = ~WHITES[following] & (following != EDGE)
+    if len(quotes):  # letters of a contraction do not start a token, the letter after one does
+        inside = np.flatnonzero(state >= TWO) + 1
+        inside = inside[inside < len(kind)]
+        start[inside] = 0
+        after = inside + 1
+        after = after[after < len(kind)]
+        start[after[(state[after - 2] == ONE) & (kind[after] == LETTER)]] = 1
     return np.flatnonzero(start)
 
 
@@ -204,6 +224,12 @@ def encoded(texts: list[str], merges: Merges) -> list[bytes]:
     return out
 
 
+def offsets_of(ids: bytes, lengths: np.ndarray) -> bytes:
+    """The byte at which each token starts."""
+    sizes = lengths[np.frombuffer(ids, dtype="<u4")]
+    return (np.cumsum(sizes, dtype=np.uint32) - sizes).astype("<u4").tobytes()
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids, offsets) for every row of `docs`: token ids by the ranks in the file at `path`, and the byte at which each
     token starts, both as packed little-endian unsigned 32-bit integers.
@@ -214,35 +240,50 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         merges, _, lengths = vocabulary(path)
         ids = encoded(texts_of(batch, "text"), merges)
-        sizes = [lengths[np.frombuffer(i, dtype="<u4")] for i in ids]
-        return pa.RecordBatch.from_arrays([batch[0], packed(ids), packed([(np.cumsum(s, dtype=np.uint32) - s).astype("<u4").tobytes() for s in sizes])], ["id", "ids", "offsets"])
+        return pa.RecordBatch.from_arrays([batch[0], packed(ids), packed([offsets_of(i, lengths) for i in ids])], ["id", "ids", "offsets"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return map_rows(rows, run, f"id {kind}, ids binary, offsets binary", "text").withColumnRenamed("id", id_col)
+    return map_rows(rows, run, f"id {kind}, ids binary, offsets binary", "text", CHARS).withColumnRenamed("id", id_col)
+
+
+def decoded(ids: bytes, offsets: bytes | None, table: list[bytes], lengths: np.ndarray) -> bytes:
+    """Bytes behind packed ids. Offsets, where given, must agree with the lengths of the tokens."""
+    numbers = np.frombuffer(ids, dtype="<u4")
+    if offsets is not None:
+        starts = np.frombuffer(offsets, dtype="<u4")
+        if len(starts) != len(numbers) or (starts[:1] != 0).any() or (starts[:-1] + lengths[numbers[:-1]] != starts[1:]).any():
+            raise ValueError("offsets and ids do not belong together")
+    return b"".join(map(table.__getitem__, numbers.tolist()))
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
-    """`rows` of encode() and a column `decoded` with the bytes behind their ids. Null ids give null; the offsets, where they
-    are there, must agree with the lengths of the tokens."""
+    """`rows` of encode() and a column `decoded` with the bytes behind their ids. Null ids give null."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         _, table, lengths = vocabulary(path)
-        out = []
-        for ids, offsets in zip(batch["ids"].to_pylist(), batch["offsets"].to_pylist()):
-            ids = ids if ids is None else np.frombuffer(ids, dtype="<u4")
-            out.append(ids if ids is None else b"".join(map(table.__getitem__, ids.tolist())))
-            if ids is not None and offsets is not None and len(ids):
-                ends = np.frombuffer(offsets, dtype="<u4") + lengths[ids]
-                if ends[-1] != len(out[-1]) or (ends[:-1] != np.frombuffer(offsets, dtype="<u4")[1:]).any():
-                    raise ValueError("offsets and ids do not belong together")
+        out = [i if i is None else decoded(i, o, table, lengths) for i, o in zip(batch["ids"].to_pylist(), batch["offsets"].to_pylist())]
         return pa.RecordBatch.from_arrays([*batch.columns, packed(out)], [*batch.schema.names, "decoded"])
 
     kept = rows.drop("decoded")
-    return map_rows(kept, run, StructType([*kept.schema.fields, StructField("decoded", BinaryType())]), "ids")
+    return map_rows(kept, run, StructType([*kept.schema.fields, StructField("decoded", BinaryType())]), "ids", CHARS)
+
+
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """decode(encode(docs)) without leaving the task in between: (id, ids, offsets, decoded)."""
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        merges, table, lengths = vocabulary(path)
+        ids = encoded(texts_of(batch, "text"), merges)
+        offsets = [offsets_of(i, lengths) for i in ids]
+        back = [decoded(i, o, table, lengths) for i, o in zip(ids, offsets)]
+        return pa.RecordBatch.from_arrays([batch[0], packed(ids), packed(offsets), packed(back)], ["id", "ids", "offsets", "decoded"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return map_rows(rows, run, f"id {kind}, ids binary, offsets binary, decoded binary", "text", CHARS).withColumnRenamed("id", id_col)
 
 
 def report(docs: DataFrame, path: str) -> DataFrame:
     """Number and digest of each document's ids, and the digest of what they decode to."""
-    return decode(encode(docs, path), path).select(
+    return round_trip(docs, path).select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
