@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from affinis.llm import bpe, pii, quality, token_files, urls
+from affinis.llm import bpe, jaccard, pii, quality, token_files, urls
 from affinis.session import new_path
 
 #: Where the vocabulary files of public tokenizers lie on every worker.
@@ -51,6 +51,12 @@ def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.report(table(spark, folder, "documents"), f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken")
 
 
+@query
+def op4_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return jaccard.near_duplicates(table(spark, folder, "documents"))
+
+
 @query
 def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data in every text."""
