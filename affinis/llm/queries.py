@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from affinis.llm import bpe, jaccard, pii, quality, token_files, urls
+from affinis.llm import ann, bpe, fingerprints, jaccard, pii, quality, token_files, urls
 from affinis.session import new_path
 
 #: Where the vocabulary files of public tokenizers lie on every worker.
@@ -57,6 +57,19 @@ def op4_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, folder, "documents"))
 
 
+@query
+def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document beside its edited text and the next document."""
+    return fingerprints.report(table(spark, folder, "documents"))
+
+
+@query
+def op8_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20."""
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(rows, rows.where("vec_id % 20 = 0"))
+
+
 @query
 def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data in every text."""

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import functools
 import os
-import re
+import unicodedata
 from collections.abc import Iterator
 from itertools import chain
 
@@ -29,13 +29,20 @@ from affinis.session import materialise
 #: Ids in a segment; a document is never split.
 SEGMENT = 1 << 18
 #: Signs that Python takes for white space and the tokenizer does not.
-SEPARATORS = re.compile("[\x1c-\x1f]")
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+
+
+#: Byte-level signs: bytes that are printed stand for themselves, the others for signs from 256 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_SIGNS = dict(zip(_PLAIN, map(chr, _PLAIN))) | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 
 
 class WordIds:
     """Ids of texts by a tokenizer whose tokens never cross white space: each word is looked up or given to the library once.
 
-    Remembers the last `room` to twice as many words, in two generations.
+    Remembers the last `room` to twice as many words, in two generations. A word of small letters alone that is normalised
+    already goes straight to the library's merges, past its normaliser and splitter, which would not change it; a full stop or
+    comma behind such a word is a word of its own. `shortcut` says whether the tokenizer at `path` works so.
     """
 
     def __init__(self, path: str, room: int = 250_000):
@@ -43,24 +50,42 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.room, self.new, self.old = room, {}, {}
+        probes = ["thing", "thing.", "é", "zürich,", "日本", "thing", "Thing."]
+        self.shortcut = hasattr(self.model, "tokenize") and all(self.fast(w) == self.whole(w) for w in probes)
+
+    def whole(self, text: str) -> bytes:
+        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype="<u4").tobytes()
+        return b"".join([i.to_bytes(4, "little") for i in ids])
+
+    def fast(self, word: str) -> bytes:
+        """Ids of a word by the merges alone where that is the same, else by the whole tokenizer."""
+        if word[-1] in ".," and word[:-1].lower().isalpha():
+            return self.get(word[:-1]) + self.get(word[-1])
+        low = word.lower()
+        if not low.isalpha() or "\u03a3" in word or not (word.isascii() or unicodedata.is_normalized("NFC", word) and unicodedata.is_normalized("NFC", low)):
+            return self.whole(word)
+        if low != word:
+            return self.get(low)
+        signs = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_SIGNS)
+        return self.packed([token.id for token in self.model.tokenize(signs)])
+
+    def get(self, word: str) -> bytes:
+        found = self.new.get(word) or self.old.get(word)
+        if found is None:
+            found = self.new[word] = self.fast(word)
+        return found
 
     def of(self, texts: list[str]) -> list[bytes]:
         if len(self.new) > self.room:
             self.old, self.new = self.new, {}
-        words = [None if SEPARATORS.search(t) else t.split() for t in texts]
-        missing = set(chain.from_iterable(w for w in words if w is not None)) - self.new.keys()
-        known = missing & self.old.keys()
-        self.new.update((w, self.old[w]) for w in known)
-        missing = list(missing - known)
-        for i in range(0, len(missing), 10_000):
-            part = missing[i:i + 10_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.new[word] = self.packed(found.ids)
-        return [self.packed(self.tokenizer.encode(t, add_special_tokens=False).ids) if w is None else b"".join(map(self.new.__getitem__, w)) for t, w in zip(texts, words)]
+        words = [None if any(c in t for c in SEPARATORS) else (t.lower() if t.isascii() else t).split() for t in texts]
+        for word in set(chain.from_iterable(w for w in words if w is not None)) - self.new.keys():
+            self.new[word] = self.old.get(word) or (self.fast(word) if self.shortcut else self.whole(word))
+        return [self.whole(t) if w is None else b"".join(map(self.new.__getitem__, w)) for t, w in zip(texts, words)]
 
 
 @functools.cache
