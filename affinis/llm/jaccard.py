@@ -6,9 +6,10 @@ difference; the subsets of one of its two partitions are enumerated, and one of
 of such a content is a signature, and all linked sets share one. An empty content says nothing: a set with too few groups free of
 empty partitions adds the signatures of further divisions until one is good enough, so that nothing is lost (see signatures()).
 
-Sets that share a signature are compared with the least of their group first; then, once components are known, only with sets of
-the group that are still in other components. So a group of copies costs one comparison for each member. Equal sets count as
-one set throughout. All comparisons are exact.
+Each set of a group is first compared with one hub, then, once components are known, only with sets of its groups that are still
+in other components. So a group of copies costs one comparison for each member. Pairs first meet as small parity sketches, whose
+difference is never more than that of the sets; those that this does not rule out are compared exactly. Equal sets count as one set
+throughout.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from affinis.llm import bloom
 from affinis.llm.batches import map_rows, packed, pieces, texts_of
@@ -115,19 +117,38 @@ def signatures(s: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+def parity(s: np.ndarray) -> bytes:
+    """A bit for each of about as many buckets as a set has members: whether it holds an odd number of them."""
+    bits = 1 << max(6, (len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def apart_at_least(x: bytes, y: bytes) -> int:
+    """Differences of two sets that their parities show. The buckets of a longer parity are added up to those of the shorter."""
+    x, y = sorted((x, y), key=len)
+    while len(y) > len(x):
+        half = len(y) // 2
+        y = (int.from_bytes(y[:half]) ^ int.from_bytes(y[half:])).to_bytes(half)
+    return (int.from_bytes(x) ^ int.from_bytes(y)).bit_count()
+
+
 def sets_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_id) of (doc_id, text); set_id is null for the empty set."""
+    """(doc_id, n_shingles, set_id, parity) of (doc_id, text); set_id and parity are null for the empty set."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t) for t in texts_of(batch, "text")]
-        return pa.RecordBatch.from_arrays([batch[0], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n_shingles", "set_id"])
+        return pa.RecordBatch.from_arrays([
+            batch[0], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()),
+            pa.array([parity(s) if len(s) else None for s in sets], pa.binary())], ["doc_id", "n_shingles", "set_id", "parity"])
 
-    return map_rows(docs, run, "doc_id long, n_shingles long, set_id long", "text")
+    return map_rows(docs, run, "doc_id long, n_shingles long, set_id long, parity binary", "text")
 
 
 def sharing(docs: DataFrame, buckets: int) -> DataFrame:
     """(sets): distinct sorted lists of two or more set ids that share a signature.
 
-    Signatures travel packed: a row for each slice of documents and bucket, 14 bytes for a signature and its set.
+    Signatures travel packed: a row for each slice of documents and bucket, 12 bytes for a signature and its set. Signatures of a
+    bucket are told apart by 32 more bits, which leaves some lists of sets that share none: a small share at any size, as a bucket's
+    signatures are bounded.
     """
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,13 +163,12 @@ def sharing(docs: DataFrame, buckets: int) -> DataFrame:
                 order = np.argsort(bucket, kind="stable")
                 sig, owner, bucket = mixed(sig[order]), owner[order], bucket[order]
                 at = np.flatnonzero(np.diff(bucket, prepend=-1))
-                low, high = (sig & np.uint64(0xFFFFFFFF)).astype("<u4"), (sig >> np.uint64(48)).astype("<u2")
+                low = (sig & np.uint64(0xFFFFFFFF)).astype("<u4")
                 cut = list(zip(at.tolist(), [*at[1:].tolist(), len(sig)]))
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[at], pa.int32()), *[packed([x[i:j].tobytes() for i, j in cut]) for x in (low, high, owner)]], ["bucket", "low", "high", "owner"])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[at], pa.int32()), *[packed([x[i:j].tobytes() for i, j in cut]) for x in (low, owner)]], ["bucket", "low", "owner"])
 
     def met(table: pa.Table) -> pa.Table:
-        low, high, owner = (np.frombuffer(b"".join(table[c].to_pylist()), dtype=t) for c, t in (("low", "<u4"), ("high", "<u2"), ("owner", "<i8")))
-        sig = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
+        sig, owner = (np.frombuffer(b"".join(table[c].to_pylist()), dtype=t) for c, t in (("low", "<u4"), ("owner", "<i8")))
         order = np.lexsort((owner, sig))
         sig, owner = sig[order], owner[order]
         new = np.ones(len(sig), dtype=bool)
@@ -162,49 +182,66 @@ def sharing(docs: DataFrame, buckets: int) -> DataFrame:
         lists = [owner[i:i + n] for i, n in zip(at[first].tolist(), size[first].tolist())]
         return pa.table({"name": names.view(np.int64), "sets": pa.array(lists, pa.list_(pa.int64()))})
 
-    rows = docs.mapInArrow(spread, "bucket int, low binary, high binary, owner binary")
+    rows = docs.mapInArrow(spread, "bucket int, low binary, owner binary")
     lists = rows.groupBy("bucket").applyInArrow(met, "name long, sets array<long>")
     return lists.groupBy("name").agg(F.first("sets").alias("sets")).select("sets")
 
 
-def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(set_id, content): the packed hashes of the sets in (set_id, doc_id), from the texts of those documents.
+def plausible(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of set ids whose sizes and parities, in (set_id, n, parity), do not rule out a link."""
+    one = marks.select(F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("parity").alias("x"))
+    two = marks.select(F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("parity").alias("y"))
+    sized = pairs.join(two, "b").join(one, "a").where(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        total = (n + m for n, m in zip(batch["n_a"].to_pylist(), batch["n_b"].to_pylist()))
+        keep = [apart_at_least(x, y) <= differing(t) for x, y, t in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), total)]
+        return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return map_rows(sized, run, "a long, b long")
+
+
+def hashed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """`wanted` (set_id, doc_id and others) with `content`, the packed hashes of the set, from the documents' texts in place of doc_id.
 
     A filter of the wanted documents goes before the join, so that texts of other documents are not shuffled.
     """
+    wanted = materialise(wanted)
     sieve = bloom.build(wanted, "doc_id", wanted.count())
     sieve = bloom.Bloom(sieve.blocks, materialise(sieve.rows))
-    texts = bloom.possible(docs, "doc_id", sieve, "maybe").where("maybe").select("doc_id", "text").join(wanted, "doc_id")
+    texts = bloom.possible(docs, "doc_id", sieve, "maybe").where("maybe").select("doc_id", "text").join(wanted, "doc_id").drop("doc_id")
+    kept = texts.drop("text").schema
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t) for t in texts_of(batch, "text")]
         same = [len(s) > 0 and set_id(s) == i for s, i in zip(sets, batch["set_id"].to_pylist())]  # an id may be that of several documents
-        return pa.RecordBatch.from_arrays([batch["set_id"], packed([s.tobytes() for s in sets])], ["set_id", "content"]).filter(pa.array(same, pa.bool_()))
+        return pa.RecordBatch.from_arrays([*[batch[c] for c in kept.names], packed([s.tobytes() for s in sets])], [*kept.names, "content"]).filter(pa.array(same, pa.bool_()))
 
-    return map_rows(texts.select("set_id", "text"), run, "set_id long, content binary", "text").dropDuplicates(["set_id"])
+    return map_rows(texts, run, StructType([*kept.fields, StructField("content", BinaryType())]), "text")
 
 
-def linked(pairs: DataFrame, content: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of set ids whose sets are similar enough."""
-    one = content.select(F.col("set_id").alias("a"), F.col("content").alias("x"))
-    two = content.select(F.col("set_id").alias("b"), F.col("content").alias("y"))
+def similar(x: bytes, y: bytes) -> bool:
+    """Whether two sets of hashes, packed in order, link."""
+    short, long = sorted((np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)), key=len)
+    at = np.searchsorted(long, short)
+    both = int((long[np.minimum(at, len(long) - 1)] == short).sum())
+    return 100 * both >= PERCENT * (len(short) + len(long) - both)
 
-    def similar(x: bytes, y: bytes) -> bool:
-        short, long = sorted((np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)), key=len)
-        if 100 * len(short) < PERCENT * len(long):
-            return False
-        at = np.searchsorted(long, short)
-        both = int((long[np.minimum(at, len(long) - 1)] == short).sum())
-        return 100 * both >= PERCENT * (len(short) + len(long) - both)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in pieces(batch, "x"):
-                keep = [similar(x.as_py(), y.as_py()) for x, y in zip(piece["x"], piece["y"])]
-                yield piece.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def linked(pairs: DataFrame, marks: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of set ids that link, compared exactly. `marks`: (set_id, n, parity, doc_id), one of the set's documents."""
+    left = materialise(plausible(pairs, marks))
+    names = marks.select("set_id", "doc_id")
+    # A set is hashed once and goes to each set that it is compared with: few, as it shares signatures with them.
+    moving = hashed(docs, left.groupBy(F.col("b").alias("set_id")).agg(F.collect_set("a").alias("others")).join(names, "set_id"))
+    moving = moving.select(F.explode("others").alias("a"), F.col("set_id").alias("b"), F.col("content").alias("y"))
+    fixed = hashed(docs, left.select(F.col("a").alias("set_id")).distinct().join(names, "set_id")).select(F.col("set_id").alias("a"), F.col("content").alias("x"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = [similar(x.as_py(), y.as_py()) for x, y in zip(batch["x"], batch["y"])]
+        return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    # The second set travels to the first, of which there are fewer: the least of each group.
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return map_rows(moving.join(fixed, "a"), run, "a long, b long", "x")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,22 +256,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = materialise(sets_of(texts))
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
-    lists = materialise(sharing(texts, max(partitions, int(total * 0.6) // BUCKET)))
-    members = F.explode("sets").alias("b")
-    wanted = lists.select(F.explode("sets").alias("set_id")).distinct().join(sets.where("doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")), "set_id")
-    content = materialise(contents(texts, materialise(wanted)))
-    first = lists.select(F.element_at("sets", 1).alias("a"), members).where("a <> b").distinct()
-    links = materialise(linked(first, content))
-    roots = components(links)
-    # Members of a list that are still apart: pairs of different components only.
-    named = lists.select(F.monotonically_increasing_id().alias("list"), "sets")
-    apart = (named.select("list", members).join(roots.withColumnRenamed("node", "b"), "b", "left").select("list", "b", F.coalesce("root", "b").alias("root")))
-    several = apart.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("list")
-    apart = materialise(apart.join(several, "list"))
-    second = (apart.join(apart.select("list", F.col("b").alias("a"), F.col("root").alias("other")), "list").where("a < b AND root <> other")
-              .select("a", "b").distinct().join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    more = materialise(linked(second, content))
-    roots = materialise(components(links.union(more)))
+    lists = materialise(sharing(texts, max(partitions, int(total * 0.6) // BUCKET)).select(F.monotonically_increasing_id().alias("list"), "sets"))
+    members = materialise(lists.select("list", F.explode("sets").alias("b")))
+    marks = materialise(members.select(F.col("b").alias("set_id")).distinct().join(
+        sets.where("doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("parity").alias("parity")), "set_id"))
+    # First each set and one hub, the least of all sets that lead its lists.
+    hubs = lists.select(F.element_at("sets", 1).alias("hub"), F.explode("sets").alias("b"))
+    links = materialise(linked(hubs.groupBy("b").agg(F.min("hub").alias("a")).where("a <> b"), marks, texts))
+    roots = materialise(components(links))
+    # Then the leaders of lists and those of their sets that are still apart, then all sets of a list that are still apart.
+    for leaders in (True, False):
+        apart = members.join(roots.withColumnRenamed("node", "b"), "b", "left").select("list", "b", F.coalesce("root", "b").alias("root"))
+        several = apart.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("b").alias("lead")).where("low < high")
+        apart = materialise(apart.join(several.select("list", "lead"), "list"))
+        other = apart.select("list", F.col("b").alias("a"), F.col("root").alias("root_a"))
+        if leaders:
+            other = other.join(several.select("list", F.col("lead").alias("a")), ["list", "a"])
+        pairs = apart.join(other, "list").where("root <> root_a" + ("" if leaders else " AND a < b AND a <> lead")).select("a", "b").distinct()
+        links = materialise(links.union(linked(pairs, marks, texts)))
+        roots = materialise(components(links))
     placed = sets.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     least = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return placed.join(least, "root", "left").select(
