@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from affinis.llm import ann, bpe, fingerprints, jaccard, pii, quality, token_files, urls
+from affinis.llm import ann, bpe, fingerprints, jaccard, mixing, passages, pii, quality, token_files, urls
 from affinis.session import new_path
 
 #: Where the vocabulary files of public tokenizers lie on every worker.
@@ -57,12 +57,24 @@ def op4_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, folder, "documents"))
 
 
+@query
+def op5_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text without the bytes of 50-byte strings that start in earlier documents."""
+    return passages.report(table(spark, folder, "documents"))
+
+
 @query
 def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Every document beside its edited text and the next document."""
     return fingerprints.report(table(spark, folder, "documents"))
 
 
+@query
+def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Weight and sampling rate of every document, and whether it is drawn."""
+    return mixing.mixed(table(spark, folder, "documents"))
+
+
 @query
 def op8_nearest(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 nearest of every vector whose id is divisible by 20."""
