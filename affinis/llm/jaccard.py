@@ -8,8 +8,8 @@ empty partitions adds the signatures of further divisions until one is good enou
 
 Each set of a group is first compared with one hub, then, once components are known, only with sets of its groups that are still
 in other components. So a group of copies costs one comparison for each member. Pairs first meet as small parity sketches, whose
-difference is never more than that of the sets; those that this does not rule out are compared exactly. Equal sets count as one set
-throughout.
+difference is never more than that of the sets; only pairs that this does not rule out leave the task, to be compared exactly. Equal
+sets count as one set throughout.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ from affinis.session import materialise
 WORDS, PERCENT = 5, 80
 #: Signatures that one task sorts at a time, at most about.
 BUCKET = 1_000_000
+#: Sets of a list that meet in one task.
+BLOCK = 2000
 #: Divisions of the domain a set may add, after which empty contents count as well.
 DIVISIONS = 64
 
@@ -125,10 +127,7 @@ def parity(s: np.ndarray) -> bytes:
 
 def apart_at_least(x: bytes, y: bytes) -> int:
     """Differences of two sets that their parities show. The buckets of a longer parity are added up to those of the shorter."""
-    x, y = sorted((x, y), key=len)
-    while len(y) > len(x):
-        half = len(y) // 2
-        y = (int.from_bytes(y[:half]) ^ int.from_bytes(y[half:])).to_bytes(half)
+    x, y = folded(x, len(y)), folded(y, len(x))
     return (int.from_bytes(x) ^ int.from_bytes(y)).bit_count()
 
 
@@ -201,6 +200,60 @@ def plausible(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     return map_rows(sized, run, "a long, b long")
 
 
+def foreign(root: np.ndarray, n: np.ndarray, parities: np.ndarray, block: np.ndarray, nearest: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """For members of a list, in two blocks or one, the places of those of another component that sizes and parities do not rule out;
+    each pair once. With `nearest` at most one for each member."""
+    roots, counts = np.unique(root, return_counts=True)
+    most = roots[counts.argmax()]
+    two = block.min() != block.max()
+    for i in np.flatnonzero(root != most).tolist():
+        other = (root != root[i]) & ((block != block[i]) if two else True)
+        if not nearest:
+            other[: i + 1] &= root[: i + 1] == most  # a pair outside the largest component is met twice
+        at = np.flatnonzero(other & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])))
+        distance = np.bitwise_count(parities[at] ^ parities[i]).sum(axis=1, dtype=np.int64)
+        near = distance <= (n[at] + n[i]) * (100 - PERCENT) // (100 + PERCENT)
+        at, distance = at[near], distance[near]
+        if len(at):
+            yield i, at[[distance.argmin()]] if nearest else at
+
+
+def folded(parity: bytes, size: int) -> bytes:
+    """A parity of `size` bytes at most from a longer one."""
+    while len(parity) > size:
+        half = len(parity) // 2
+        parity = (int.from_bytes(parity[:half]) ^ int.from_bytes(parity[half:])).to_bytes(half)
+    return parity
+
+
+def apart(members: DataFrame, roots: DataFrame, marks: DataFrame, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of sets of one list (list, b) that lie in different components (node, root) and that sizes and parities do not rule
+    out; with `nearest` at most one for each set and list.
+
+    Lists within one component are left out. A list of more than BLOCK sets is cut into blocks, and every two of them meet in a task of
+    their own.
+    """
+    here = members.join(roots.withColumnRenamed("node", "b"), "b", "left").select("list", "b", F.coalesce("root", "b").alias("root"))
+    several = here.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
+    rows = here.join(several.select("list", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "list").join(marks.select(F.col("set_id").alias("b"), "n", "parity"), "b")
+    own = F.pmod(F.xxhash64("b"), F.col("blocks"))
+    rows = rows.withColumn("block", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("list", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "b", "root", "n", "parity")
+
+    def meet(table: pa.Table) -> pa.Table:
+        found: list = []
+        b, root, n, block = (table[c].to_numpy() for c in ("b", "root", "n", "block"))
+        if table.num_rows > 1 and root.min() < root.max() and not (table["i"][0] != table["j"][0] and block.min() == block.max()):
+            parities = table["parity"].to_pylist()
+            size = min(map(len, parities))
+            matrix = np.frombuffer(b"".join(folded(p, size) for p in parities), dtype=np.uint64).reshape(len(parities), -1)
+            found = [(np.full(len(at), b[i]), b[at]) for i, at in foreign(root, n, matrix, block, nearest)]
+        one, two = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, dtype=np.int64) for k in (0, 1))
+        return pa.table({"a": pa.array(np.minimum(one, two), pa.int64()), "b": pa.array(np.maximum(one, two), pa.int64())})
+
+    return rows.groupBy("list", "i", "j").applyInArrow(meet, "a long, b long").distinct()
+
+
 def hashed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """`wanted` (set_id, doc_id and others) with `content`, the packed hashes of the set, from the documents' texts in place of doc_id.
 
@@ -264,16 +317,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = lists.select(F.element_at("sets", 1).alias("hub"), F.explode("sets").alias("b"))
     links = materialise(linked(hubs.groupBy("b").agg(F.min("hub").alias("a")).where("a <> b"), marks, texts))
     roots = materialise(components(links))
-    # Then the leaders of lists and those of their sets that are still apart, then all sets of a list that are still apart.
-    for leaders in (True, False):
-        apart = members.join(roots.withColumnRenamed("node", "b"), "b", "left").select("list", "b", F.coalesce("root", "b").alias("root"))
-        several = apart.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("b").alias("lead")).where("low < high")
-        apart = materialise(apart.join(several.select("list", "lead"), "list"))
-        other = apart.select("list", F.col("b").alias("a"), F.col("root").alias("root_a"))
-        if leaders:
-            other = other.join(several.select("list", F.col("lead").alias("a")), ["list", "a"])
-        pairs = apart.join(other, "list").where("root <> root_a" + ("" if leaders else " AND a < b AND a <> lead")).select("a", "b").distinct()
-        links = materialise(links.union(linked(pairs, marks, texts)))
+    # Then each set and the nearest of its lists that is still apart; then all that are still apart.
+    for nearest in (True, False):
+        links = materialise(links.union(linked(apart(members, roots, marks, nearest), marks, texts)))
         roots = materialise(components(links))
     placed = sets.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     least = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
