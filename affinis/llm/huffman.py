@@ -49,7 +49,7 @@ class Code:
     lengths: np.ndarray
 
     def __post_init__(self):
-        self.lengths = np.asarray(self.lengths, dtype=np.uint8)
+        self.lengths = np.asarray(self.lengths, dtype=np.uint8) if len(self.lengths) else np.zeros(1, dtype=np.uint8)
         self.limit = max(1, int(self.lengths.max(initial=1)))
         used = np.flatnonzero(self.lengths)
         used = used[np.argsort(self.lengths[used], kind="stable")]
