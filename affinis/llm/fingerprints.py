@@ -1,6 +1,6 @@
 """Fingerprints of documents as invertible Bloom lookup sketches, by DataFrame functions alone.
 
-A document is the set of digests of its paragraphs: its lines, cut every 64 code points. A sketch has cells in three rows; a digest
+A document is the set of digests of its paragraphs: its lines, cut every 256 code points. A sketch has cells in three rows; a digest
 is added to one cell in each row: a count, the digests and their check values combined by exclusive or. Two sketches subtract cell by
 cell, and what they share goes away. A cell that holds a single digest names it; taken out of its other cells, it uncovers more
 (peeling), until both sides' differing digests are known or no such cell is left. Then larger sketches are tried: more buckets, each a
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from affinis.session import materialise
 
 #: Code points in a paragraph at most; rows and cells in a row of a sketch; digests of both sides that a bucket is meant for.
-PIECE, ROWS, WIDTH, LOAD = 64, 3, 8, 4
+PIECE, ROWS, WIDTH, LOAD = 256, 3, 8, 8
 #: Peeling steps: a bucket has hardly more digests than this.
 STEPS = 12
 #: How many times more buckets each further try has. After the last, the sets of digests themselves are compared.
@@ -39,9 +39,9 @@ def check_of(k: Column) -> Column:
     return F.hash(k, F.lit("check"))
 
 
-def touches(h: Column, cell: Column) -> Column:
-    """Whether the digest behind hash h belongs to a cell: three bits of h for each row."""
-    return F.call_function("shiftright", h, 3 * F.floor(cell / WIDTH).cast("int")).bitwiseAND(F.lit(WIDTH - 1)) == cell % WIDTH
+def places(h: Column) -> list[Column]:
+    """The cells of the digest behind hash h, one in each row, from three bits of h each."""
+    return [(F.shiftright(h, 3 * row).bitwiseAND(F.lit(WIDTH - 1)) + WIDTH * row).cast("int").alias(f"p{row}") for row in range(ROWS)]
 
 
 def add(cell: Column, c: Column, item: Column) -> Column:
@@ -53,15 +53,18 @@ def empty() -> Column:
 
 
 def items(keys: Column, buckets: Column, salt: Column) -> Column:
-    """Digests with bucket, check value and hash."""
+    """Digests with bucket, check value and cells."""
     return F.transform(keys, lambda k: let(F.xxhash64(k, salt), lambda h: F.struct(
-        F.pmod(F.shiftright(h, 16), buckets).alias("bucket"), k.alias("k"), check_of(k).alias("x"), h.alias("h"))))
+        F.pmod(F.shiftright(h, 16), buckets).alias("bucket"), k.alias("k"), check_of(k).alias("x"), *places(h))))
 
 
 def cells(held: Column) -> Column:
     """The sketch of items: every cell with the items that belong to it."""
-    return F.transform(F.sequence(F.lit(0), F.lit(ROWS * WIDTH - 1)), lambda i: F.aggregate(
-        held, empty(), lambda cell, item: F.when(touches(item["h"], i), add(cell, F.lit(1), item)).otherwise(cell)))
+    def row(r: int) -> Column:
+        return F.transform(F.sequence(F.lit(WIDTH * r), F.lit(WIDTH * r + WIDTH - 1)), lambda i: F.aggregate(
+            held, empty(), lambda cell, item: F.when(item[f"p{r}"] == i, add(cell, F.lit(1), item)).otherwise(cell)))
+
+    return F.concat(*[row(r) for r in range(ROWS)])
 
 
 def sketch(keys: Column) -> Column:
@@ -76,7 +79,7 @@ def bucketed(keys: Column, buckets: Column, salt: Column) -> Column:
         return let(marks, lambda at: F.transform(at, lambda p, j: F.slice(both, p + 2, F.coalesce(F.try_element_at(at, j + 2), F.size(both)) - p - 1)))
 
     marks = F.transform(F.sequence(F.lit(0).cast("bigint"), buckets - 1), lambda b: F.struct(
-        b.alias("bucket"), F.lit(None).cast("bigint").alias("k"), F.lit(None).cast("int").alias("x"), F.lit(None).cast("bigint").alias("h")))
+        b.alias("bucket"), F.lit(None).cast("bigint").alias("k"), F.lit(None).cast("int").alias("x"), *[F.lit(None).cast("int").alias(f"p{r}") for r in range(ROWS)]))
     return let(F.sort_array(F.concat(items(keys, buckets, salt), marks)), cut)
 
 
@@ -86,21 +89,22 @@ def subtract(a: Column, b: Column) -> Column:
 
 def peeled(difference: Column, salt: Column) -> Column:
     """Struct (mine, theirs) of the digests on one side only, from subtracted sketches; null when peeling gets stuck."""
-    def step(state: Column, _: Column) -> Column:
+    def step(state: Column) -> Column:
         single = F.filter(state["cells"], lambda cell: (F.abs(cell["c"]) == 1) & (cell["x"] == check_of(cell["k"])))
-        known = F.transform(F.array_distinct(single), lambda cell: F.struct(cell["c"], cell["k"], cell["x"], F.xxhash64(cell["k"], salt).alias("h")))
+        known = F.transform(F.array_distinct(single), lambda cell: let(F.xxhash64(cell["k"], salt), lambda h: F.struct(cell["c"], cell["k"], cell["x"], *places(h))))
 
         def take(found: Column) -> Column:
-            left = F.transform(state["cells"], lambda cell, i: F.aggregate(found, cell, lambda now, item: F.when(touches(item["h"], i), add(now, -item["c"], item)).otherwise(now)))
+            left = F.transform(state["cells"], lambda cell, i: F.aggregate(found, cell, lambda now, item: F.when((item["p0"] == i) | (item["p1"] == i) | (item["p2"] == i), add(now, -item["c"], item)).otherwise(now)))
             side = lambda sign: F.transform(F.filter(found, lambda item: item["c"] == sign), lambda item: item["k"])
-            return F.when(F.size(found) == 0, state).otherwise(F.struct(left.alias("cells"), F.concat(state["mine"], side(1)).alias("mine"), F.concat(state["theirs"], side(-1)).alias("theirs")))
+            return F.struct(left.alias("cells"), F.concat(state["mine"], side(1)).alias("mine"), F.concat(state["theirs"], side(-1)).alias("theirs"), (F.size(found) == 0).alias("over"))
 
         return let(known, take)
 
     none = F.array().cast("array<bigint>")
+    start = F.struct(difference.alias("cells"), none.alias("mine"), none.alias("theirs"), F.lit(False).alias("over"))
     clear = lambda state: ~F.exists(state["cells"], lambda cell: (cell["c"] != 0) | (cell["k"] != 0) | (cell["x"] != 0))
-    start = F.struct(difference.alias("cells"), none.alias("mine"), none.alias("theirs"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, lambda s, i: F.when(clear(s), s).otherwise(step(s, i)), lambda s: F.when(clear(s), F.struct(s["mine"], s["theirs"])))
+    # A step that finds no single digest is the last one.
+    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, lambda s, _: F.when(s["over"], s).otherwise(step(s)), lambda s: F.when(clear(s), F.struct(s["mine"], s["theirs"])))
 
 
 def attempt(a: Column, b: Column, times: int) -> Column:
@@ -109,16 +113,17 @@ def attempt(a: Column, b: Column, times: int) -> Column:
     salt = F.lit(times)
 
     def count(p: Column, q: Column) -> Column:
-        return let(peeled(subtract(cells(p), cells(q)), salt), lambda d: F.size(d["mine"]) + F.size(d["theirs"]))
+        # size() of nothing is -1 or null by a setting; a bucket that gets stuck must make the sum null
+        return let(peeled(subtract(cells(p), cells(q)), salt), lambda d: F.when(d.isNotNull(), F.size(d["mine"]) + F.size(d["theirs"])))
 
     return let(buckets, lambda n: F.aggregate(
-        F.zip_with(bucketed(a, n, salt), bucketed(b, n, salt), lambda p, q: F.when((F.size(p) == 0) & (F.size(q) == 0), 0).otherwise(F.when(F.size(p) + F.size(q) > 0, count(p, q)))),
+        F.zip_with(bucketed(a, n, salt), bucketed(b, n, salt), lambda p, q: F.when(F.size(p) + F.size(q) == 0, 0).otherwise(count(p, q))),
         F.lit(0), lambda total, n: total + n))
 
 
 def differing(a: Column, b: Column, mine: Column, theirs: Column) -> Column:
     """Number of digests in one of two sets only, from the sketches `mine` and `theirs`, then from larger ones."""
-    small = let(peeled(subtract(mine, theirs), F.lit(0)), lambda d: F.size(d["mine"]) + F.size(d["theirs"]))
+    small = let(peeled(subtract(mine, theirs), F.lit(0)), lambda d: F.when(d.isNotNull(), F.size(d["mine"]) + F.size(d["theirs"])))
     exact = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
     return F.coalesce(small, *[attempt(a, b, times) for times in TRIES], exact)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 
 def parts(text):
-    return set(re.findall(r"[^\n]{1,64}", text))
+    return set(re.findall(rf"[^\n]{{1,{fingerprints.PIECE}}}", text))
 
 
 def likeness(a, b):
