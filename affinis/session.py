@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import uuid
 from collections.abc import Iterator
@@ -92,3 +93,13 @@ def materialise(df: DataFrame) -> DataFrame:
     path = new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps now.
+
+    It does so once the driver's JVM has collected what refers to them, which may be long after a table has taken their place; a job of
+    many steps would keep all its shuffles on disk until then.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
