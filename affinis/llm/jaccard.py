@@ -26,7 +26,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from affinis.llm import bloom
 from affinis.llm.batches import map_rows, packed, pieces, texts_of
 from affinis.llm.components import components
-from affinis.session import materialise
+from affinis.session import materialise, release
 
 #: Words in a shingle; sets link from this many hundredths of Jaccard similarity.
 WORDS, PERCENT = 5, 80
@@ -310,6 +310,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     lists = materialise(sharing(texts, max(partitions, int(total * 0.6) // BUCKET)).select(F.monotonically_increasing_id().alias("list"), "sets"))
+    release(docs.sparkSession)
     members = materialise(lists.select("list", F.explode("sets").alias("b")))
     marks = materialise(members.select(F.col("b").alias("set_id")).distinct().join(
         sets.where("doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("parity").alias("parity")), "set_id"))

@@ -2,7 +2,7 @@
 
 Prefix doubling names all strings of a length at a position by the pair of names of its two parts, sorts the pairs, keeps what is not
 unique and goes on to longer strings. To do so for every position of a corpus would move it many times over, so only sampled
-positions are named at first: of the 16-byte strings in every 50 bytes, the one with the least hash (leftmost among equals) is the anchor.
+positions are named at first: of the 24-byte strings in every 50 bytes, the one with the least hash (leftmost among equals) is the anchor.
 Equal 50-byte strings have equal anchors. All windows of 50 bytes with the same anchor in a row are a block.
 
 1. A block is named by the pair of its anchor's name and that of all bytes it reaches over. Of equal blocks only those of the smallest
@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame, functions as F
 from affinis.llm import bloom
 from affinis.llm.batches import map_rows, packed, pieces
 from affinis.llm.jaccard import mixed
-from affinis.session import materialise
+from affinis.session import materialise, release
 
 #: Bytes of a string that counts as a repeat, of an anchor, and of the two parts of a window.
-LENGTH, GRAM, PART = 50, 16, 32
+LENGTH, GRAM, PART = 50, 24, 32
 #: Names that one task sorts at a time, about, and names settled together before they are dealt.
 BUCKET, SETTLED = 1_000_000, 1_000_000
 #: Bytes of text handled at once.
@@ -40,15 +40,20 @@ _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15
 _BASE = 0xD6E8FEB86659FD93
 _M64 = (1 << 64) - 1
 COLUMNS = {"name": "<u8", "kin": "<u4", "doc": "<i8", "tag": "<u4", "start": "<u4", "size": "<u2"}
+STEPWISE = ("doc", "tag", "start")
 
 
 def strings(h: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of all strings of `size` bytes, a power of two, from those of single bytes, by doubling."""
-    length, power = 1, _BASE
-    while length < size:
+    """Hashes of all strings of `size` bytes from those of single bytes, by doubling."""
+    n, out, done, length, power = len(h) - size + 1, None, 0, 1, _BASE
+    while True:
+        if size & length:  # the next `length` bytes of the string
+            out = h[:n] if out is None else out * np.uint64(power) + h[done:done + n]
+            done += length
+        if length * 2 > size:
+            return out
         h = h[: max(0, len(h) - length)] * np.uint64(power) + h[length:]
         length, power = length * 2, power * power & _M64
-    return h
 
 
 def least(v: np.ndarray, width: int) -> np.ndarray:
@@ -116,11 +121,15 @@ def joined(runs: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 def dealt(rows: dict[str, np.ndarray], key: np.ndarray, buckets: int, kind: int) -> pa.RecordBatch:
     """Packed columns, a row for each bucket of `key`."""
     bucket = ((mixed(key) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
+    order = np.lexsort((rows["start"], rows["tag"], rows["doc"], bucket))
     bucket = bucket[order]
     at = np.flatnonzero(np.diff(bucket, prepend=-1))
     cut = list(zip(at.tolist(), [*at[1:].tolist(), len(bucket)]))
     sorted_rows = {c: rows[c][order].astype(t if kind == 0 or c != "size" else "<u4") if c in rows else None for c, t in COLUMNS.items()}
+    for c in STEPWISE:  # differences, which are small and compress well
+        steps = np.diff(sorted_rows[c], prepend=sorted_rows[c][:1])
+        steps[at] = sorted_rows[c][at]
+        sorted_rows[c] = steps
     return pa.RecordBatch.from_arrays(
         [pa.array(bucket[at], pa.int32()), pa.array(np.full(len(at), kind, dtype=np.int8)), *[packed([b"" if v is None else v[i:j].tobytes() for i, j in cut]) for v in sorted_rows.values()]],
         ["bucket", "kind", *COLUMNS])
@@ -145,7 +154,12 @@ def by_document(runs: dict[str, np.ndarray], open_: bool) -> pa.Table:
 
 def unpacked(table: pa.Table, kind: int) -> dict[str, np.ndarray]:
     part = table.filter(pc.equal(table["kind"], kind))
-    return {c: np.frombuffer(b"".join(part[c].to_pylist()), dtype=t if kind == 0 or c != "size" else "<u4") for c, t in COLUMNS.items()}
+    out = {}
+    for c, t in COLUMNS.items():
+        t = t if kind == 0 or c != "size" else "<u4"
+        runs = [np.frombuffer(x, dtype=t) for x in part[c].to_pylist()]
+        out[c] = np.concatenate([np.cumsum(r, dtype=t) for r in runs] if c in STEPWISE else runs) if runs else np.zeros(0, dtype=t)
+    return out
 
 
 def sort_names(slices: DataFrame, groups: bool) -> DataFrame:
@@ -238,11 +252,13 @@ def repeats(docs: DataFrame) -> DataFrame:
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     first = materialise(sort_names(named_blocks(docs, max(partitions, size // 18 // BUCKET)), True))
+    release(docs.sparkSession)
     asked = materialise(of_documents(first.where("open")))
     windows = first.where("open").agg(F.sum(F.octet_length("starts"))).first()[0] or 0
     texts = bloom.possible(docs, "doc_id", sieve_of(asked), "maybe").where("maybe").select(F.col("doc_id").alias("doc"), "text")
     texts = texts.join(asked, "doc").where(F.crc32("text") == F.col("tag")).select("doc", "tag", "text", "starts", "sizes")
     second = materialise(sort_names(named_windows(texts, max(partitions, windows * 5 // BUCKET)), False))
+    release(docs.sparkSession)
     return first.where("NOT open").union(second).select("doc", "tag", "starts", "sizes")
 
 
