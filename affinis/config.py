@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 # Sample-size thresholds, theme gate and page size of the published tables.
@@ -53,6 +54,7 @@ class SignalTags:
 
     lead: str = SIGNAL_SLUG
     archetypes: tuple[str, ...] = ARCHETYPE_SLUGS
+    lead_name: str = SIGNAL_NAME
 
     @property
     def all(self) -> tuple[str, ...]:
@@ -73,8 +75,8 @@ class AffinityConfig:
 def adopt_columns(df, words=DOMAIN_WORDS):
     """Rename the columns of a domain file to the engine's vocabulary."""
     def rename(name: str) -> str:
-        for domain, own in words:
-            name = name.replace(domain, own)
+        for domain, own in words:  # whole words between underscores
+            name = re.sub(rf"(?<![^_]){re.escape(domain)}(?![^_])", own, name)
         return name
 
     return df.toDF(*[rename(c) for c in df.columns])

@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from affinis.functions.colors import ordered_colors
 from affinis.functions.origin_sets import SET_TYPE, set_of_print, unique_by_code
-from affinis.functions.text import bind, col, empty_to_null, name_candidates, search_text
-from affinis.operators.joins import METADATA_ROWS, small_side
+from affinis.functions.text import bind, col, empty_to_null, name_candidates
 from affinis.operators.keep_first import best_per_key, first_per_key, ordinal
 from affinis.operators.reports import count_rows, report
 
@@ -25,7 +24,8 @@ MERGED_COLUMNS = (
     "card_names", "match_strategy", "origin_set_code", "origin_set_name", "origin_released_at",
     "set_page_uri", "set_uri", "origin_sets",
 )
-# Our rule for an approximate match: at most this many edits, and no second card as near.
+# Our rule for an approximate match: at most this many edits, and no second card as near. The candidates of
+# edit_variants() are complete for up to two.
 MAX_EDITS = 2
 
 
@@ -47,35 +47,41 @@ def identities(rows: DataFrame, order: Sequence[str]) -> DataFrame:
     return first.select("entity_name", "entity_slug").orderBy("entity_slug")
 
 
+def match_text(c: Column | str) -> Column:
+    """Letters and digits of any script in lower case, every run of other signs one space."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(col(c).cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+
+
 def edit_variants(text: Column | str) -> Column:
-    """The text and everything left of it after dropping one or two signs."""
+    """Hashes of the text and of all that is left of it after dropping one or two signs; none of the empty text."""
     def without(s: Column, i: Column) -> Column:
         return F.concat(s.substr(F.lit(1), i - 1), s.substr(i + 1, F.length(s)))
 
     def variants(s: Column) -> Column:
         n = F.length(s)
-        one = F.transform(F.sequence(F.lit(1), n), lambda i: without(s, i))
+        one = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(without(s, i)))
         two = F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda i: bind(
-            without(s, i), lambda t: F.transform(F.sequence(i, F.length(t)), lambda j: without(t, j)))))
-        return F.when(n >= 2, F.array_distinct(F.concat(F.array(s), one, two))).when(
-            n == 1, F.array(s, F.lit(""))).otherwise(F.array(s))
+            without(s, i), lambda t: F.transform(F.sequence(i, F.length(t)), lambda j: F.xxhash64(without(t, j))))))
+        return F.when(n >= 2, F.array_distinct(F.concat(F.array(F.xxhash64(s)), one, two))).when(
+            n == 1, F.array(F.xxhash64(s), F.xxhash64(F.lit("")))).otherwise(F.array().cast("array<bigint>"))
 
     return bind(col(text), variants)
 
 
-def nearest_cards(names: DataFrame, cards: DataFrame) -> DataFrame:
-    """The one card nearest to each name within MAX_EDITS edits, none when two are as near.
+def nearest_cards(names: DataFrame, cards: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
+    """The one card nearest to each name within `max_edits` (0 to 2) edits, none when two are as near.
+
+    Names are compared by match_text(); one without any letter or digit is near nothing.
 
     Two texts within two edits of each other share a text that dropping up to two signs
     makes of both, so the candidates come from an equi join on such texts; only names
     that are near each other ever meet.
     """
     def exploded(df: DataFrame, text: str) -> DataFrame:
-        return df.select(text, F.explode(edit_variants(search_text(text))).alias("_variant")).withColumn(
-            "_variant", F.xxhash64("_variant"))
+        return df.select(text, F.explode(edit_variants(match_text(text))).alias("_variant"))
 
     pairs = exploded(names, "candidate").join(exploded(cards, "card_name"), "_variant").select("candidate", "card_name").distinct()
-    near = pairs.withColumn("_edits", F.levenshtein(search_text("candidate"), search_text("card_name"), MAX_EDITS)).where("_edits >= 0")
+    near = pairs.withColumn("_edits", F.levenshtein(match_text("candidate"), match_text("card_name"), max_edits)).where("_edits >= 0")
     ranked = near.groupBy("candidate", "_edits").agg(count_rows().alias("_n"), F.min("card_name").alias("card_name"))
     best = ranked.groupBy("candidate").agg(F.min_by(F.struct("_n", "card_name"), "_edits").alias("_best"))
     return best.where("_best._n = 1").select("candidate", F.col("_best.card_name").alias("card_name"))
@@ -171,7 +177,7 @@ def merge_metadata(rows: DataFrame, metadata: DataFrame, order: Column | None =
     if order is not None:
         chosen = best_per_key(chosen, ["entity_slug"], order)
     fields = [c for c in MERGED_COLUMNS if c in metadata.columns]
-    side = small_side(chosen.select("entity_slug", F.struct(*fields).alias("_meta")), METADATA_ROWS)
+    side = chosen.select("entity_slug", F.struct(*fields).alias("_meta"))
     matched = F.col("_meta").isNotNull()
     merged = rows.join(side, "entity_slug", "left")
     kept = [F.col(c) for c in rows.columns if c not in fields]

@@ -67,7 +67,7 @@ def _index(rows: DataFrame, place: Column, counts: dict[str, Column]) -> DataFra
         F.min_by("set_uri", place).alias("set_uri"),
         *[c.alias(n) for n, c in counts.items()],
     ).withColumn("set_name", F.coalesce(empty_to_null("set_name"), F.upper("set_code"))).withColumn(
-        "file", F.concat(F.lit("sets/"), safe_slug("set_code"), F.lit(".json")))
+        "file", F.concat(F.lit("sets/shard="), safe_slug("set_code")))
 
 
 def set_index(rows: DataFrame) -> DataFrame:

@@ -24,8 +24,9 @@ def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str], extra
         *[F.col(c) if c in key else F.col("_first")[c].alias(c) for c in df.columns], *(extra or {}))
 
 
-def best_per_key(df: DataFrame, key: Sequence[str], score: Column) -> DataFrame:
-    """The row with the greatest score of each key."""
+def best_per_key(df: DataFrame, key: Sequence[str], score: Column, ties: Sequence[str] = ()) -> DataFrame:
+    """The row with the greatest score of each key; of equal scores that with the greatest values in the columns `ties`."""
     rest = [c for c in df.columns if c not in key]
-    picked = df.groupBy(*key).agg(F.max_by(F.struct(*rest), score).alias("_best"))
+    by = F.struct(score.alias("_score"), *[c for c in ties if c in df.columns])
+    picked = df.groupBy(*key).agg(F.max_by(F.struct(*rest), by).alias("_best"))
     return picked.select(*[F.col(c) if c in key else F.col("_best")[c].alias(c) for c in df.columns])

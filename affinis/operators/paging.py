@@ -39,14 +39,13 @@ def with_page(df: DataFrame, page_size: int, position: str = "position") -> Data
 
 
 def page_index(paged: DataFrame, page_size: int, folder: str = "leaderboard") -> DataFrame:
-    """One row per page: file, first row, row after the last, number of rows."""
+    """One row per page: the folder of its files, first row, row after the last, number of rows."""
     start = (F.col("page") - 1) * page_size
     return (
         paged.groupBy("page").agg(F.count(F.lit(1)).alias("row_count"))
         .select(
             "page",
-            F.concat(F.lit(f"{folder}/page_"), F.lpad(F.col("page").cast("string"),
-                     F.greatest(F.lit(4), F.length(F.col("page").cast("string"))), F.lit("0")), F.lit(".json")).alias("file"),
+            F.concat(F.lit(f"{folder}/page="), F.col("page").cast("string")).alias("file"),
             start.alias("start_row"),
             (start + F.col("row_count")).alias("end_row"),
             "row_count",

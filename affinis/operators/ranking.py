@@ -50,7 +50,7 @@ def value_ranks(rows: DataFrame, group: str, value: str) -> DataFrame:
         .join(per_slot, [group, "_slot"])
         .select(
             group, value, "n_equal", "n_group",
-            (F.col("n_group") - below - F.col("n_equal") + 1).cast("int").alias("rank_desc"),
+            (F.col("n_group") - below - F.col("n_equal") + 1).cast("bigint").alias("rank_desc"),
             (below + (F.col("n_equal") + 1) / 2).alias("rank_asc"),
         )
     )

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from affinis.config import AffinityConfig, SignalTags, THEME_MIN_Z
+from affinis.config import AffinityConfig, SIGNAL_NAME, SignalTags, THEME_MIN_Z
 from affinis.functions.numbers import finite_number
 from affinis.functions.text import bind, empty_to_null, safe_slug, tag_match_slug
 from affinis.operators.keep_first import best_per_key, ordinal
@@ -47,7 +47,7 @@ def _best_in_group(best: Column, place: Column) -> Column:
     return F.min_by(best, F.when(best.isNotNull(), F.struct(best["neg_z"], place)))
 
 
-def tier_columns(lead: Column, archetype: Column, lead_name: str = "cEDH") -> list[Column]:
+def tier_columns(lead: Column, archetype: Column, lead_name: str = SIGNAL_NAME) -> list[Column]:
     """Tier of an entity from its best lead row and its best archetype row, either may be null."""
     scored = {"lead": lead, "archetype": archetype}
 
@@ -61,7 +61,7 @@ def tier_columns(lead: Column, archetype: Column, lead_name: str = "cEDH") -> li
 
     def reason(tier) -> Column:
         if tier[3] is None:
-            return F.lit(tier[5])
+            return F.lit(tier[5].replace(SIGNAL_NAME, lead_name))
         name = F.lit(lead_name) if tier[2] == "lead" else F.coalesce(archetype["tag_name"], F.lit(""))
         return F.concat(name, F.lit(" z-score is " + tier[5]))
 
@@ -108,7 +108,7 @@ def _classified(rows: DataFrame, scored: Column, place: Column, key: Sequence[st
     )
     return grouped.select(
         *key, *[F.col("_first")[c].alias(c) for c in first_columns], *extra,
-        *tier_columns(F.col("_lead"), F.col("_archetype")))
+        *tier_columns(F.col("_lead"), F.col("_archetype"), signals.lead_name))
 
 
 def tier_counts(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -128,9 +128,10 @@ def theme_gate(config: AffinityConfig) -> Column:
 
 
 def signal_tags_of(df: DataFrame, signals: SignalTags) -> DataFrame:
-    """Signal rows of each entity as one list; an entity has at most one row per signal tag."""
+    """Signal rows of each entity as one list, of several rows of a tag the one of greatest z; rows without an entity are left out."""
     tag = F.struct("tag_slug", "tag_name", "z", "tag_n")
-    listed = df.where(is_signal(safe_slug("tag_slug"), signals)).groupBy("entity_slug").agg(
+    rows = df.where(is_signal(safe_slug("tag_slug"), signals) & (F.coalesce("entity_slug", F.lit("")) != "")).select("entity_slug", "tag_slug", "tag_name", "z", "tag_n")
+    listed = best_per_key(rows, ["entity_slug", "tag_slug"], F.coalesce("z", F.lit(float("-inf"))), ["tag_n", "tag_name"]).groupBy("entity_slug").agg(
         F.array_sort(F.collect_list(tag)).alias("bracket_tag_rows"))
     return listed
 
@@ -143,7 +144,7 @@ def theme_rows(df: DataFrame, config: AffinityConfig = AffinityConfig()) -> Data
                "tag_affinity_pct": "theme_affinity_pct", "rank_within_tag_by_z": "theme_rank_within_tag_by_z"}
     theme = [F.col(old).alias(new) for old, new in renamed.items() if old in df.columns]
     passing = df.where(theme_gate(config)).select(*keep, *theme)
-    best = best_per_key(passing, ["theme_tag_slug", "entity_slug"], F.coalesce("theme_z", F.lit(float("-inf"))))
+    best = best_per_key(passing, ["theme_tag_slug", "entity_slug"], F.coalesce("theme_z", F.lit(float("-inf"))), ["theme_tag_n", "theme_tag_name"])
     listed = best.join(signal_tags_of(df, config.signals), "entity_slug", "left")
     element = dict((f.name, f.dataType) for f in listed.schema.fields)["bracket_tag_rows"]
     return listed.withColumn("bracket_tag_rows", F.coalesce("bracket_tag_rows", F.array().cast(element)))
@@ -170,7 +171,7 @@ def theme_index(df: DataFrame, order: Sequence[str], summary: DataFrame | None =
         *names, *extras, "qualified_entity_count",
         F.when(~signal, F.lit(config.theme_min_z)).alias("minimum_z"),
         F.when(signal, SIGNAL_RULE).otherwise(THEME_RULE).alias("qualification_rule"),
-        F.concat(F.lit("theme-brackets/"), F.col("_slug"), F.lit(".json")).alias("file"),
+        F.concat(F.lit("theme-brackets/shard="), F.col("_slug")).alias("file"),
     ).orderBy(F.lower(F.coalesce(empty_to_null("tag_name"), empty_to_null("tag_slug"), F.lit(""))), "tag_slug")
 
 

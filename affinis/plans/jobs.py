@@ -93,11 +93,15 @@ def run_enrichment(spark: SparkSession, entities: DataFrame, cards: DataFrame, p
 
 
 def run_publish(rows: DataFrame, summary: DataFrame | None, root: str, config: AffinityConfig = AffinityConfig(), *, summaries: str | None = None,
-                layout: str = "json", max_folders: int = sh.MAX_FOLDERS) -> DataFrame:
+                layout: str = "json") -> DataFrame:
     """Write every shard family with its index, the leaderboard pages, the run summaries found
-    under `summaries`, and the manifest. Gives the manifest."""
+    under `summaries`, and the manifest, which names the layout. Gives the manifest.
+
+    The `file` of an index entry is the folder of its shard; in the clustered layout that of the family's table. At the end the stored
+    files are read again; a shard that does not hold its rows is an error.
+    """
     spark, order = rows.sparkSession, list(PAIR_KEY)
-    options = {"layout": layout, "max_folders": max_folders}
+    options = {"layout": layout}
     if summaries:
         rc.copy_tables(spark, summaries, f"{root}/summaries", rc.SUMMARY_TABLES, ())
     with scratch(spark):
@@ -110,16 +114,31 @@ def run_publish(rows: DataFrame, summary: DataFrame | None, root: str, config: A
                         [F.col("z").desc_nulls_last(), F.col("entity_name"), F.col("tag_name"), *[F.col(c) for c in order]], **options)
         sh.write_shards(sh.sharded(theme_rows, "theme_tag_slug"), f"{root}/theme-brackets",
                         [F.col("theme_z").desc_nulls_last(), F.col("entity_slug")], **options)
+        def filed(index: DataFrame, family: str) -> DataFrame:
+            return index.withColumn("file", F.lit(family)) if layout == "clustered" else index
+
         _save({
             "entities_index": ex.entity_index(ready, order, ENTITY_INDEX_COLUMNS), "tags_index": ex.tag_index(ready, summary, order),
-            "sets_index": gr.set_index(set_rows), "theme_brackets_index": ti.theme_index(ready, order, summary, config),
+            "sets_index": filed(gr.set_index(set_rows), "sets"), "theme_brackets_index": filed(ti.theme_index(ready, order, summary, config), "theme-brackets"),
         }, root)
 
-        paged = pg.with_page(pg.with_position(ready, sh.leaderboard_order(ready)), config.page_size)
+        paged = materialise(pg.with_page(pg.with_position(ready, sh.leaderboard_order(ready)), config.page_size))
         sh.write_shards(paged, f"{root}/leaderboard", [F.col("position")], shard="page", **options)
         families = [(ready, "entity_slug", "entities"), (ready, "tag_slug", "tags"), (set_rows, "origin_set_code", "sets"), (theme_rows, "theme_tag_slug", "theme-brackets")]
         sizes = reduce(DataFrame.unionAll, [sh.shard_sizes(df, key, family) for df, key, family in families])
-        _save({"leaderboard_index": pg.page_index(paged, config.page_size), "shard_sizes": sizes}, root)
-        stored = spark.read.parquet(f"{root}/shard_sizes")
-        _save({"site_manifest": sh.manifest(ready, sh.shard_statistics(stored))}, root)
+        _save({"leaderboard_index": filed(pg.page_index(paged, config.page_size), "leaderboard"), "shard_sizes": sizes}, root)
+        pages = spark.read.parquet(f"{root}/leaderboard_index")
+        wanted = spark.read.parquet(f"{root}/shard_sizes")
+        page_sizes = pages.select(F.lit("leaderboard").alias("family"), F.col("page").cast("string").alias("shard"), "row_count")
+        stored = reduce(DataFrame.unionAll, [
+            sh.stored_sizes(spark, f"{root}/{family}", family, layout=layout) if rows_of.take(1) else wanted.limit(0) for rows_of, _, family in families
+        ] + [sh.stored_sizes(spark, f"{root}/leaderboard", "leaderboard", shard="page", layout=layout) if paged.take(1) else wanted.limit(0)])
+        _save({"shard_faults": sh.differing_shards(wanted.unionByName(page_sizes), stored)}, root)
+        faults = spark.read.parquet(f"{root}/shard_faults")
+        if not faults.isEmpty():
+            raise RuntimeError(f"stored shards do not hold their rows: {faults.take(3)}")
+        last = pages.agg(F.count(F.lit(1)).alias("n"), F.sum("row_count").alias("rows")).first()
+        made = sh.manifest(ready, sh.shard_statistics(wanted))
+        _save({"site_manifest": made.select("*", F.lit(layout).alias("layout"), F.lit(config.page_size).cast("bigint").alias("page_size"),
+                                            F.lit(last["n"]).cast("bigint").alias("page_count"), F.lit(last["rows"] or 0).cast("bigint").alias("leaderboard_rows"))}, root)
     return spark.read.parquet(f"{root}/site_manifest")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from affinis.functions.numbers import finite_columns
 from affinis.operators.enrich import merge_metadata
 from affinis.session import materialise
-from affinis.sources.records import exists
+from affinis.sources.records import exists, folders, remove
 
 # Tables of the publish set.
 REQUIRED_TABLES = ("analysis_summary", "trend_summary", "tag_summary", "global_leaderboard", "tag_rankings", "affinity_rows_with_trends")
@@ -60,17 +60,19 @@ def lines_to_arrays(spark: SparkSession, source: str, target: str, schema) -> No
 
 def copy_tables(spark: SparkSession, source: str, target: str, required: Sequence[str] = REQUIRED_TABLES,
                 optional: Sequence[str] = OPTIONAL_TABLES, *, clean: bool = True) -> DataFrame:
-    """Copy the tables of the publish set; a missing required one is an error before anything is
-    written. Gives the manifest: one row per table, copied or missing."""
+    """Copy the tables of the publish set over those of the target; a missing required one is an error before anything is
+    written. With `clean` other folders of the target go first, without they stay. Gives the manifest: one row per table, copied or missing."""
     missing = [t for t in required if not exists(spark, f"{source}/{t}")]
     if missing:
         raise FileNotFoundError(f"required tables are missing in {source}: {missing}")
+    if clean:
+        for name in set(folders(spark, target)) - {*required, *optional}:
+            remove(spark, f"{target}/{name}")
     rows = []
     for name in (*required, *optional):
         present = exists(spark, f"{source}/{name}")
         if present:
-            mode = "overwrite" if clean else "append"
-            spark.read.parquet(f"{source}/{name}").write.mode(mode).parquet(f"{target}/{name}")
+            spark.read.parquet(f"{source}/{name}").write.mode("overwrite").parquet(f"{target}/{name}")
         rows.append((name, name in required, present))
     manifest = spark.createDataFrame(rows, "table_name string, required boolean, copied boolean")
     manifest.write.mode("overwrite").parquet(f"{target}/site_data_manifest")

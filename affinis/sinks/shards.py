@@ -5,15 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from affinis.functions.numbers import finite_columns
 from affinis.functions.text import safe_slug
 from affinis.operators.reports import count_rows, report
 
-# Above this many shards a folder per shard would swamp the file system; the rows are then
-# kept in one table that is clustered by shard, where a shard is a short stretch of files.
-MAX_FOLDERS = 10_000
+# Layouts: a folder of JSON or parquet files for each shard, or one parquet table clustered by shard, where a
+# shard is a short stretch of files. A folder each would swamp the file system with very many shards.
+LAYOUTS = ("json", "parquet", "clustered")
 
 
 def entity_order(df: DataFrame) -> list[Column]:
@@ -39,8 +39,8 @@ def sharded(df: DataFrame, key: str) -> DataFrame:
 
 
 def write_shards(df: DataFrame, path: str, order: Sequence[Column], *, shard: str = "shard", layout: str = "json",
-                 mode: str = "overwrite", max_folders: int = MAX_FOLDERS) -> str:
-    """Write rows shard by shard, sorted inside. Gives 'folders' or 'clustered'.
+                 mode: str = "overwrite") -> None:
+    """Write rows shard by shard, sorted inside, in the layout that is asked for.
 
     Rows are range-partitioned by shard and sort key together, so a shard that holds a large
     share of the rows becomes several files in order instead of one task.
@@ -48,13 +48,36 @@ def write_shards(df: DataFrame, path: str, order: Sequence[Column], *, shard: st
     rows = finite_columns(df)
     keys = [F.col(shard).asc(), *order]
     placed = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    few = rows.select(shard).distinct().limit(max_folders + 1).count() <= max_folders
-    if not few:
-        placed.write.mode(mode).parquet(path)
-        return "clustered"
-    writer = placed.write.mode(mode).partitionBy(shard)
-    writer.option("ignoreNullFields", "false").json(path) if layout == "json" else writer.parquet(path)
-    return "folders"
+    if layout not in LAYOUTS:
+        raise ValueError(f"layout {layout!r} is none of {LAYOUTS}")
+    writer = placed.write.mode(mode)
+    if layout == "clustered":
+        writer.parquet(path)
+    elif layout == "json":
+        writer.partitionBy(shard).option("ignoreNullFields", "false").json(path)
+    else:
+        writer.partitionBy(shard).parquet(path)
+
+
+def read_shards(spark: SparkSession, path: str, schema: str, *, shard: str = "shard", layout: str = "json") -> DataFrame:
+    """The rows of one folder of shards, or of one shard if `path` ends in shard=..., with the columns of `schema`. Shard names stay text."""
+    kind = "bigint" if shard == "page" else "string"
+    reader = spark.read.schema(f"{schema}, {shard} {kind}" if schema else f"{shard} {kind}")
+    if f"/{shard}=" in path:
+        reader = reader.option("basePath", path.rsplit(f"/{shard}=", 1)[0])
+    return reader.json(path) if layout == "json" else reader.parquet(path)
+
+
+def stored_sizes(spark: SparkSession, path: str, family: str, *, shard: str = "shard", layout: str = "json") -> DataFrame:
+    """Rows per shard as they lie in the files."""
+    stored = read_shards(spark, path, "entity_slug string", shard=shard, layout=layout)
+    return stored.groupBy(F.col(shard).cast("string").alias("shard")).agg(count_rows().alias("row_count")).select(F.lit(family).alias("family"), "shard", "row_count")
+
+
+def differing_shards(wanted: DataFrame, stored: DataFrame) -> DataFrame:
+    """(family, shard, wanted_rows, stored_rows) of shards whose files do not hold what they should; empty when all is there."""
+    both = wanted.withColumnRenamed("row_count", "wanted_rows").join(stored.withColumnRenamed("row_count", "stored_rows"), ["family", "shard"], "full")
+    return both.where(~F.col("wanted_rows").eqNullSafe(F.col("stored_rows")))
 
 
 def shard_sizes(df: DataFrame, key: str, families: str) -> DataFrame:

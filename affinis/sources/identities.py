@@ -14,7 +14,6 @@ def first_identities(candidates: Sequence[DataFrame | None], order: Sequence[Seq
     for rows, columns in zip(candidates, order):
         if rows is None or "entity_slug" not in rows.columns:
             continue
-        found = identities(rows, columns)
-        if not found.isEmpty():
-            return found
+        if not rows.where("entity_slug <> ''").isEmpty():
+            return identities(rows, columns)
     raise FileNotFoundError("no table names any entity")

@@ -19,6 +19,20 @@ def exists(spark: SparkSession, path: str) -> bool:
     return jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder; none if it is not there."""
+    if not exists(spark, path):
+        return []
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(jvm_path)
+    return [f.getPath().getName() for f in found if f.isDirectory()]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
 def sibling(path: str) -> str | None:
     return path[: -len(".jsonl")] + ".json" if path.endswith(".jsonl") else None
 
@@ -34,14 +48,14 @@ def read_array(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
 
 
 def read_wrapped(spark: SparkSession, path: str, schema: T.StructType | str, keys: Sequence[str] = WRAPPER_KEYS) -> DataFrame:
-    """A JSON object per file that holds its records under the first key with a list."""
+    """A JSON object per file that holds its records under the first key with a list. A record that does not fit the schema fails the read."""
     kind = schema if isinstance(schema, str) else schema.simpleString().removeprefix("struct<").removesuffix(">")
     element = f"array<struct<{_struct_body(kind)}>>"
-    wrapped = spark.read.schema(", ".join(f"{k} {element}" for k in keys)).option("multiLine", True).json(path)
-    found = wrapped.select(F.coalesce(*keys).alias("found"))
-    checked = found.select(F.when(F.col("found").isNull(), F.raise_error(F.lit(f"no list under {tuple(keys)}")))
-                           .otherwise(F.col("found")).alias("found"))
-    return checked.select(F.inline("found"))
+    whole = spark.read.text(path, wholetext=True)
+    texts = [F.get_json_object("value", f"$.{key}") for key in keys]
+    listed = F.coalesce(*[F.when(F.ltrim(text).startswith("["), text) for text in texts])
+    checked = F.when(listed.isNull(), F.raise_error(F.lit(f"no list under {tuple(keys)}"))).otherwise(listed)
+    return whole.select(F.from_json(checked, element, {"mode": "FAILFAST"}).alias("found")).select(F.inline("found"))
 
 
 def _struct_body(schema: str) -> str:

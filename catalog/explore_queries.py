@@ -195,7 +195,7 @@ def leaderboard_pages(spark, folder):
 
 
 @query("page_index", PAGED + """
-SELECT page, 'leaderboard/page_' || lpad(page::VARCHAR, greatest(4, length(page::VARCHAR))::INT, '0') || '.json' AS file, (page - 1) * 500 AS start_row,
+SELECT page, 'leaderboard/page=' || page AS file, (page - 1) * 500 AS start_row,
   (page - 1) * 500 + count(*) AS end_row, count(*) AS row_count FROM paged GROUP BY page""")
 def page_index(spark, folder):
     return pg.page_index(paged(spark, folder), STRICT.page_size)

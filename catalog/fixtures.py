@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from affinis.config import AffinityConfig, SignalTags
 from catalog.registry import table
 
-SIGNALS = SignalTags("brand-1", ("brand-2", "brand-3", "brand-4", "brand-5", "brand-6"))
+SIGNALS = SignalTags("brand-1", ("brand-2", "brand-3", "brand-4", "brand-5", "brand-6"), "Brand#1")
 STRICT = AffinityConfig(min_total_n=450, min_tag_n=20, signals=SIGNALS)
 OBSERVED = "2026-05-07T00:00:00+00:00"
 MIDDLE = "1998-04-16"
@@ -75,9 +75,9 @@ def affinity_sql(source: str = "pairs", prefix: str = "", min_total: int = 450,
            FROM {prefix}shares s JOIN {prefix}stats USING (tag_slug)),
 {prefix}affinity AS (
   SELECT *,
-    CASE WHEN z IS NOT NULL THEN rank() OVER (PARTITION BY tag_slug ORDER BY z DESC NULLS LAST) END::INT AS rank_within_tag_by_z,
-    rank() OVER (PARTITION BY tag_slug ORDER BY tag_affinity_pct DESC)::INT AS rank_within_tag_by_pct,
-    rank() OVER (PARTITION BY tag_slug ORDER BY tag_n DESC)::INT AS rank_within_tag_by_tag_n,
+    CASE WHEN z IS NOT NULL THEN rank() OVER (PARTITION BY tag_slug ORDER BY z DESC NULLS LAST) END::BIGINT AS rank_within_tag_by_z,
+    rank() OVER (PARTITION BY tag_slug ORDER BY tag_affinity_pct DESC)::BIGINT AS rank_within_tag_by_pct,
+    rank() OVER (PARTITION BY tag_slug ORDER BY tag_n DESC)::BIGINT AS rank_within_tag_by_tag_n,
     (rank() OVER (PARTITION BY tag_slug ORDER BY tag_affinity_pct)
       + (count(*) OVER (PARTITION BY tag_slug, tag_affinity_pct) - 1) / 2.0) / tag_row_count AS percentile_within_tag,
     total_n >= {min_total} AND tag_n >= {min_tag} AS passes_default_filters,

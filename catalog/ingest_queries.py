@@ -201,7 +201,7 @@ def resume_pending(spark, folder):
 
 
 @query("signal_summary", SIGNAL_SQL + """
-SELECT count(*) AS total_records_in_index, 0::BIGINT AS skipped_count, count(*) FILTER (WHERE entity_slug <> '') AS attempted_count,
+SELECT count(*) AS total_records_in_index, (SELECT count(*) FROM supplier WHERE s_acctbal < 0) AS skipped_count, count(*) FILTER (WHERE entity_slug <> '') AS attempted_count,
   count(*) FILTER (WHERE status_type = 'cedh_row_written') AS signal_row_count,
   count(*) FILTER (WHERE status_type IN ('no_cedh_route', 'no_cedh_decks')) AS no_signal_count,
   count(*) FILTER (WHERE status_type = 'missing_normal_metadata') AS missing_metadata_count,
@@ -209,7 +209,8 @@ SELECT count(*) AS total_records_in_index, 0::BIGINT AS skipped_count, count(*)
 def signal_summary(spark, folder):
     index, normal, responses = signal_inputs(spark, folder)
     result = sg.classify_responses(index, sg.normal_metadata(normal, ["tag_slug"]), responses, F.lit(OBSERVED))
-    return sg.signal_summary(index, index.limit(0), result)
+    done = table(spark, folder, "supplier").where("s_acctbal < 0").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("entity_slug"))
+    return sg.signal_summary(index, done, result)
 
 
 # Entities of overdrawn suppliers count as done by an earlier run.

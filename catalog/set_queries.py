@@ -79,7 +79,7 @@ def set_rows(spark, folder):
 
 SET_INDEX = """
 SELECT code AS set_code, arg_min(set_name, place) AS set_name, arg_min(released_at, place) FILTER (WHERE released_at IS NOT NULL) AS released_at,
-  {count} AS entity_count{rows}, 'sets/' || code || '.json' AS file FROM placed GROUP BY code"""
+  {count} AS entity_count{rows}, 'sets/shard=' || code AS file FROM placed GROUP BY code"""
 
 
 @query("set_index", WITH + ", placed AS (SELECT s.*, (a.entity_slug, a.tag_slug, s.pos) AS place FROM affinity a JOIN sets s USING (entity_slug))"
@@ -154,10 +154,10 @@ def tiers_by_set(spark, folder):
 
 @query("entity_tiers", TIERS + """
 SELECT entity_slug, entity_name, bracket_key, 'Bracket ' || bracket_key AS bracket_label, bracket_rank, decision_tag_slug, decision_z,
-  CASE bracket_key WHEN '5' THEN 'cEDH z-score is at least 1.05.' WHEN '4/5' THEN 'cEDH z-score is between 0.95 and 1.05.'
-    WHEN '4' THEN 'cEDH z-score is from 0.05 through 0.95.' WHEN '3' THEN decision_tag_name || ' z-score is at least 1.05.'
+  CASE bracket_key WHEN '5' THEN 'Brand#1 z-score is at least 1.05.' WHEN '4/5' THEN 'Brand#1 z-score is between 0.95 and 1.05.'
+    WHEN '4' THEN 'Brand#1 z-score is from 0.05 through 0.95.' WHEN '3' THEN decision_tag_name || ' z-score is at least 1.05.'
     WHEN '2/3' THEN decision_tag_name || ' z-score is between 0.95 and 1.05.' WHEN '2' THEN decision_tag_name || ' z-score is from 0.05 through 0.95.'
-    WHEN '1/2' THEN decision_tag_name || ' z-score is positive but below 0.05.' ELSE 'No cEDH or archetype tag reaches a higher bracket threshold.' END AS bracket_reason
+    WHEN '1/2' THEN decision_tag_name || ' z-score is positive but below 0.05.' ELSE 'No Brand#1 or archetype tag reaches a higher bracket threshold.' END AS bracket_reason
 FROM tiers""")
 def entity_tiers(spark, folder):
     rows = ti.tier_rows(analysed(spark, folder), ["tag_slug"], signals=SIGNALS)
@@ -204,7 +204,7 @@ def theme_rows(spark, folder):
 SELECT tag_slug, tag_name, count(*) AS tag_row_count, round(max(z), 6) AS max_z,
   count(DISTINCT entity_slug) FILTER (WHERE {IN_SIGNALS} OR z >= 1.05) AS qualified_entity_count,
   CASE WHEN {IN_SIGNALS} THEN NULL ELSE 1.05 END::DOUBLE AS minimum_z, CASE WHEN {IN_SIGNALS} THEN 'bracket_rules_only' ELSE 'theme_z_and_bracket_rules' END AS qualification_rule,
-  'theme-brackets/' || tag_slug || '.json' AS file FROM affinity GROUP BY tag_slug, tag_name""")
+  'theme-brackets/shard=' || tag_slug AS file FROM affinity GROUP BY tag_slug, tag_name""")
 def theme_index(spark, folder):
     rows = analysed(spark, folder)
     summary = af.tag_summary(rows).select("tag_slug", "tag_name", "tag_row_count", "max_z")

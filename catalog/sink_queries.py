@@ -47,8 +47,9 @@ def sink_round_trip(spark, folder):
     rc.write_records(rows, f"{out}/set/parquet", layout="parquet")
     sh.write_shards(sh.sharded(rows, "entity_slug"), f"{out}/entities", sh.entity_order(rows))
     sh.write_shards(sh.sharded(rows, "tag_slug"), f"{out}/tags", sh.tag_order(rows))
-    sh.write_shards(sh.sharded(rows, "entity_slug"), f"{out}/clustered", sh.entity_order(rows), max_folders=1)
-    rc.copy_tables(spark, f"{out}/set", f"{out}/copy", ["parquet"], ["absent"])
+    sh.write_shards(sh.sharded(rows, "entity_slug"), f"{out}/clustered", sh.entity_order(rows), layout="clustered")
+    for target in ("copy", "plain"):
+        rc.copy_tables(spark, f"{out}/set", f"{out}/{target}", ["parquet"], ["absent"])
     metadata = rows.select("entity_slug").distinct().withColumn("card_image_url", F.concat(F.lit("img-"), F.col("entity_slug")))
     rc.enrich_tables(spark, f"{out}/copy", ["parquet", "absent"], metadata)
     back = {
@@ -61,7 +62,7 @@ def sink_round_trip(spark, folder):
         "tag shards": spark.read.schema(SCHEMA + ", shard string").json(f"{out}/tags"),
         "clustered": spark.read.parquet(f"{out}/clustered"),
         "sibling": rd.read_records(spark, f"{out}/array.jsonl", SCHEMA),
-        "copied": spark.read.parquet(f"{out}/set/parquet"),
+        "copied": spark.read.parquet(f"{out}/plain/parquet"),
         "enriched": spark.read.parquet(f"{out}/copy/parquet").where("card_image_url IS NOT NULL"),
     }
     result = None

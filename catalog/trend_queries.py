@@ -54,7 +54,7 @@ SELECT entity_slug, tag_slug, entity_name, tag_name, source_type, '{CURRENT}' AS
   'no_previous_snapshot' AS snapshot_status, total_n AS total_n_current, NULL::BIGINT AS total_n_previous, NULL::BIGINT AS total_n_delta,
   tag_n AS tag_n_current, NULL::BIGINT AS tag_n_previous, NULL::BIGINT AS tag_n_delta, round(tag_affinity_pct, 6) AS affinity_pct_current,
   NULL::DOUBLE AS affinity_pct_previous, NULL::DOUBLE AS affinity_pct_delta, round(z, 6) AS z_current, NULL::DOUBLE AS z_previous,
-  NULL::DOUBLE AS z_delta, rank_within_tag_by_z AS rank_within_tag_by_z_current, NULL::INT AS rank_within_tag_by_z_previous,
+  NULL::DOUBLE AS z_delta, rank_within_tag_by_z AS rank_within_tag_by_z_current, NULL::BIGINT AS rank_within_tag_by_z_previous,
   NULL::INT AS rank_within_tag_by_z_delta, NULL::INT AS rank_delta, NULL::DOUBLE AS total_n_pct_change, NULL::DOUBLE AS tag_n_pct_change
 FROM c_affinity""")
 def trend_first_run(spark, folder):

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from affinis.config import AffinityConfig, adopt_columns, domain_columns
+from affinis.config import AFFINITY_COLUMNS, AffinityConfig, adopt_columns, domain_columns
 from affinis.operators import affinity as af, checks
 
 SCHEMA = ("entity_name string, entity_slug string, total_n bigint, tag_name string, tag_slug string, tag_n bigint, "
@@ -12,10 +12,11 @@ def fact(name, total, tag, n):
     return (f"{name.title()} One", name, total, tag.title(), tag, n, "commander_json", "2026-05-07T00:00:00+00:00")
 
 
+# Three rows with an even spread, two without any, and two below a threshold each.
 FACTS = [
-    fact("alpha", 1000, "tokens", 100), fact("beta", 1000, "tokens", 200), fact("gamma", 1000, "tokens", 300),
-    fact("delta", 500, "artifacts", 200), fact("epsilon", 500, "artifacts", 200),
-    fact("zeta", 100, "lifegain", 10), fact("eta", 1000, "lifegain", 4),
+    fact("oak", 800, "river", 120), fact("elm", 1600, "river", 400), fact("ash", 2000, "river", 700),
+    fact("fir", 640, "stone", 96), fact("yew", 640, "stone", 96),
+    fact("box", 90, "cloud", 27), fact("may", 900, "cloud", 3),
 ]
 
 
@@ -29,17 +30,17 @@ def by_slug(df, tag):
 
 
 def test_scores_ranks_and_percentiles(affinity):
-    rows = by_slug(affinity, "tokens")
-    assert [round(rows[s]["tag_affinity_pct"], 9) for s in ("alpha", "beta", "gamma")] == [0.1, 0.2, 0.3]
-    assert [round(rows[s]["z"], 9) for s in ("alpha", "beta", "gamma")] == [-1, 0, 1]
-    assert [rows[s]["rank_within_tag_by_z"] for s in ("alpha", "beta", "gamma")] == [3, 2, 1]
-    assert [round(rows[s]["percentile_within_tag"], 9) for s in ("alpha", "beta", "gamma")] == [round(1 / 3, 9), round(2 / 3, 9), 1]
-    assert round(rows["alpha"]["tag_mean_pct"], 9) == 0.2 and round(rows["alpha"]["tag_std_pct"], 9) == 0.1
-    assert rows["alpha"]["tag_affinity_pct_display"] == pytest.approx(10)
+    rows = by_slug(affinity, "river")
+    assert [round(rows[s]["tag_affinity_pct"], 9) for s in ("oak", "elm", "ash")] == [0.15, 0.25, 0.35]
+    assert [round(rows[s]["z"], 9) for s in ("oak", "elm", "ash")] == [-1, 0, 1]
+    assert [rows[s]["rank_within_tag_by_z"] for s in ("oak", "elm", "ash")] == [3, 2, 1]
+    assert [round(rows[s]["percentile_within_tag"], 9) for s in ("oak", "elm", "ash")] == [round(1 / 3, 9), round(2 / 3, 9), 1]
+    assert round(rows["oak"]["tag_mean_pct"], 9) == 0.25 and round(rows["oak"]["tag_std_pct"], 9) == 0.1
+    assert rows["oak"]["tag_affinity_pct_display"] == pytest.approx(15)
 
 
 def test_no_spread_gives_no_z(affinity):
-    rows = by_slug(affinity, "artifacts")
+    rows = by_slug(affinity, "stone")
     for r in rows.values():
         assert r["tag_std_pct"] == 0 and r["z"] is None and r["rank_within_tag_by_z"] is None
         assert r["rank_within_tag_by_pct"] == 1 and r["rank_within_tag_by_tag_n"] == 1
@@ -47,13 +48,13 @@ def test_no_spread_gives_no_z(affinity):
 
 
 def test_small_samples_are_not_eligible(affinity):
-    assert not any(r["passes_default_filters"] for r in by_slug(affinity, "lifegain").values())
+    assert not any(r["passes_default_filters"] for r in by_slug(affinity, "cloud").values())
 
 
 def test_leaderboard_summary_and_rankings(affinity):
-    assert [r["entity_slug"] for r in af.global_leaderboard(affinity).collect()] == ["gamma", "beta", "alpha"]
+    assert [r["entity_slug"] for r in af.global_leaderboard(affinity).collect()] == ["ash", "elm", "oak"]
     summary = {r["tag_slug"]: r for r in af.tag_summary(affinity).collect()}
-    assert summary["tokens"]["eligible_row_count"] == 3 and summary["artifacts"]["max_z"] is None
+    assert summary["river"]["eligible_row_count"] == 3 and summary["stone"]["max_z"] is None
     run = af.analysis_summary(affinity).first()
     assert (run["unique_entity_count"], run["unique_tag_count"], run["affinity_row_count"], run["rows_with_missing_z"]) == (7, 3, 7, 2)
     ranked = [r["tag_slug"] for r in af.tag_rankings(affinity).collect()]
@@ -107,3 +108,11 @@ def test_domain_column_names_go_both_ways(spark):
     own = adopt_columns(df)
     assert own.columns == ["entity_slug", "total_n_current", "tag_n"]
     assert domain_columns(own).columns == df.columns
+
+
+def test_every_published_column_goes_both_ways(spark):
+    names = sorted({*AFFINITY_COLUMNS, "theme_tag_name", "theme_tag_n", "tag_name_x", "origin_set_name", "partner_card_image_urls", "tag_n_delta", "entity_slug_previous"})
+    df = spark.createDataFrame([tuple(range(len(names)))], ", ".join(f"{n} int" for n in names))
+    outside = domain_columns(df)
+    assert "tag_name" in outside.columns and "theme_tag_decks" in outside.columns and "tag_decks_delta" in outside.columns
+    assert adopt_columns(outside).columns == names

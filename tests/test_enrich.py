@@ -41,6 +41,14 @@ def test_nearest_cards_match_brute_force(spark):
     assert got == want and got
 
 
+def test_names_of_other_scripts_and_without_letters(spark):
+    cards = spark.createDataFrame([("イヌ",), ("Ow",), ("???",), ("Ünal der Große",), ("x" * 300,)], "card_name string")
+    names = spark.createDataFrame([("ネコ",), ("!!",), ("イヌX",), ("ünal der grosse",), ("",), ("x" * 299 + "y",), ("Owl",)], "candidate string")
+    got = {r["candidate"]: r["card_name"] for r in en.nearest_cards(names, cards).collect()}
+    assert got["イヌX"] == "イヌ" and got["ünal der grosse"] == "Ünal der Große" and got["Owl"] == "Ow" and got["x" * 299 + "y"] == "x" * 300
+    assert "!!" not in got and "" not in got
+
+
 def test_ladder(spark):
     cards = spark.createDataFrame([card(1, "Snow Queen"), card(2, "Iron King"), card(3, "Iron Kings"), card(4, "snow queen"), card(5, "Old Wizard")], CARD)
     names = ["SNOW QUEEN (Commander)", "Snow Queen // Iron King", "Nobody + Iron King", "Snwo Queen", "Old Wizrd // Nobody At All", "Iron Kin", "Nobody"]

@@ -48,5 +48,5 @@ def test_pages(spark, rows):
     df = spark.range(1201).withColumn("position", F.col("id"))
     index = {r["page"]: r for r in rows(page_index(with_page(df, 500), 500))}
     assert [(index[p]["start_row"], index[p]["end_row"], index[p]["row_count"]) for p in (1, 2, 3)] == [(0, 500, 500), (500, 1000, 500), (1000, 1201, 201)]
-    assert index[3]["file"] == "leaderboard/page_0003.json"
+    assert index[3]["file"] == "leaderboard/page=3"
     assert page_index(with_page(df, 0), 0).count() == 0

@@ -71,7 +71,7 @@ def test_theme_gate_and_nested_tags(themed, rows):
     assert [t["tag_slug"] for t in got["mutate", "a"]["bracket_tag_rows"]] == ["cedh", "combo"]
     index = {r["tag_slug"]: r for r in rows(ti.theme_index(themed, ["row"]))}
     assert (index["mutate"]["qualified_entity_count"], index["mutate"]["minimum_z"], index["mutate"]["qualification_rule"]) == (1, 1.05, ti.THEME_RULE)
-    assert (index["combo"]["qualified_entity_count"], index["combo"]["minimum_z"], index["combo"]["file"]) == (2, None, "theme-brackets/combo.json")
+    assert (index["combo"]["qualified_entity_count"], index["combo"]["minimum_z"], index["combo"]["file"]) == (2, None, "theme-brackets/shard=combo")
 
 
 def test_theme_index_keeps_themes_nobody_reaches(spark, rows):
@@ -101,7 +101,7 @@ def test_set_rows_and_index(spark, rows):
     assert [(r["origin_set_code"], r["tag_name"]) for r in rows(gr.in_set_order(out))] == [("cmm", "Snow"), ("khm", "Snow"), ("khm", "Sultai")]
     index = {r["set_code"]: r for r in rows(gr.set_index(out))}
     assert (index["khm"]["set_name"], index["khm"]["entity_count"], index["khm"]["row_count"]) == ("Kaldheim", 1, 2)
-    assert index["cmm"]["set_name"] == "CMM" and index["cmm"]["file"] == "sets/cmm.json"
+    assert index["cmm"]["set_name"] == "CMM" and index["cmm"]["file"] == "sets/shard=cmm"
     assert set(gr.SET_ROW_COLUMNS) <= set(out.columns)
 
 

@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from affinis.operators import affinity as af, cleaning as cl, explore as ex
-from affinis.operators.joins import small_side
 
 SETTINGS = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
@@ -85,9 +84,3 @@ def test_strongest_tags_of_a_hot_entity_are_cut_before_the_shuffle(spark):
     best = ex.best_tags(rows)
     assert sorted(r["tag_slug"] for r in best.collect() if r["entity_slug"] == "hot") == ["19995", "19996", "19997", "19998", "19999"]
     assert "WindowGroupLimit" in plan_of(best)
-
-
-def test_only_counted_small_sides_are_broadcast(spark, large_tables):
-    rows, side = spark.range(100), spark.range(10)
-    assert "BroadcastHashJoin" in plan_of(rows.join(small_side(side, 10), "id"))
-    assert "BroadcastHashJoin" not in plan_of(rows.join(small_side(side, 9), "id"))

@@ -44,6 +44,24 @@ def test_wrapped_files_take_the_first_list(spark, tmp_path):
         rd.read_records(spark, str(path), PAIR, layout="wrapped", keys=rd.SIGNAL_WRAPPER_KEYS).collect()
 
 
+def test_a_wrapped_record_with_a_bad_field_fails(spark, tmp_path):
+    path = tmp_path / "w.json"
+    path.write_text(json.dumps({"records": [{"entity_slug": "a", "n": 1}, {"entity_slug": "b", "n": "bad"}]}))
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        rd.read_records(spark, str(path), PAIR, layout="wrapped").collect()
+
+
+def test_copies_replace_their_tables_and_keep_or_clean_others(spark, tmp_path):
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    rc.write_records(spark.range(2), f"{source}/t", layout="parquet")
+    rc.write_records(spark.range(1), f"{target}/other", layout="parquet")
+    for _ in range(2):
+        rc.copy_tables(spark, source, target, ["t"], [], clean=False)
+    assert spark.read.parquet(f"{target}/t").count() == 2 and rd.exists(spark, f"{target}/other")
+    rc.copy_tables(spark, source, target, ["t"], [])
+    assert spark.read.parquet(f"{target}/t").count() == 2 and not rd.exists(spark, f"{target}/other")
+
+
 def test_missing_inputs(spark, tmp_path):
     (tmp_path / "x.json").write_text('[{"entity_slug": "a"}]')
     assert rd.read_records(spark, str(tmp_path / "x.jsonl"), PAIR).first()["entity_slug"] == "a"
@@ -89,11 +107,11 @@ def test_json_sinks_write_nulls(spark, pairs, tmp_path):
 
 
 def test_shards_are_sorted_folders(spark, pairs, tmp_path):
-    assert sh.write_shards(sh.sharded(pairs, "entity_slug"), str(tmp_path / "s"), sh.entity_order(pairs)) == "folders"
+    sh.write_shards(sh.sharded(pairs, "entity_slug"), str(tmp_path / "s"), sh.entity_order(pairs))
     assert {p.name for p in (tmp_path / "s").iterdir() if p.is_dir()} == {"shard=a", "shard=b", "shard=a-b"}
     rows = [json.loads(x)["n"] for f in part_files(tmp_path / "s" / "shard=a") for x in f.read_text().splitlines()]
     assert rows == [3, 2]
-    assert sh.write_shards(sh.sharded(pairs, "entity_slug"), str(tmp_path / "c"), sh.entity_order(pairs), max_folders=2) == "clustered"
+    sh.write_shards(sh.sharded(pairs, "entity_slug"), str(tmp_path / "c"), sh.entity_order(pairs), layout="clustered")
     assert spark.read.parquet(str(tmp_path / "c")).count() == 4
 
 
@@ -110,6 +128,18 @@ def test_one_large_shard_becomes_several_files_in_order(spark, tmp_path):
     assert len(files) > 1 and len(scores) == 6000 and scores == sorted(scores, reverse=True)
 
 
+def test_lost_shards_are_found_in_the_files(spark, pairs, tmp_path):
+    rows, path = sh.sharded(pairs, "entity_slug"), str(tmp_path / "s")
+    sh.write_shards(rows, path, sh.entity_order(pairs))
+    wanted = sh.shard_sizes(pairs, "entity_slug", "entities")
+    assert sh.differing_shards(wanted, sh.stored_sizes(spark, path, "entities")).count() == 0
+    assert [r["n"] for r in sh.read_shards(spark, f"{path}/shard=a", PAIR).collect()] == [3, 2]
+    rd.remove(spark, f"{path}/shard=a")
+    assert [(r["shard"], r["wanted_rows"], r["stored_rows"]) for r in sh.differing_shards(wanted, sh.stored_sizes(spark, path, "entities")).collect()] == [("a", 2, None)]
+    with pytest.raises(ValueError):
+        sh.write_shards(rows, path, sh.entity_order(pairs), layout="folders")
+
+
 def test_missing_shards_are_found(spark, pairs):
     index = spark.createDataFrame([("a",), ("a b!",), ("zzz",)], "entity_slug string")
     sizes = sh.shard_sizes(pairs, "entity_slug", "entities")
@@ -186,6 +216,12 @@ def test_whole_batch(spark, tmp_path):
     assert spark.read.parquet(f"{site}/theme_brackets_index").count() == 3
     assert spark.read.parquet(f"{site}/sets_index").count() == 2
     assert spark.read.parquet(f"{site}/summaries/trend_summary").count() == 1
+    assert (manifest["layout"], manifest["page_size"], manifest["page_count"], manifest["leaderboard_rows"]) == ("json", 4, 2, 6)
+    for name in ("leaderboard_index", "sets_index", "theme_brackets_index"):
+        for entry in spark.read.parquet(f"{site}/{name}").collect():
+            assert rd.exists(spark, f"{site}/{entry['file']}") or entry["qualified_entity_count"] == 0
+    tables = jobs.run_publish(rows, None, f"{site}-tables", AffinityConfig(page_size=4), layout="clustered").first()
+    assert tables["layout"] == "clustered" and spark.read.parquet(f"{site}-tables/entities").count() == 6
 
 
 def test_scratch_tables_are_removed(spark):
