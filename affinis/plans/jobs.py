@@ -64,20 +64,31 @@ def run_trends(spark: SparkSession, snapshots: str, current: str, root: str) ->
     return rows
 
 
-def replace_empty_snapshot(spark: SparkSession, snapshots: str, current: str) -> DataFrame:
-    """Fill an empty snapshot with the rows of the latest older one that has any. Gives the report.
+def replace_empty_snapshot(spark: SparkSession, snapshots: str, current: str, tables: Sequence[str] = (), reports: DataFrame | None = None,
+                           report_path: str | None = None) -> DataFrame:
+    """Fill an empty snapshot with the latest older one that has rows, in all its tables. Gives the report, and stores it at `report_path`.
 
-    Having no snapshot to fall back on is an error. The rows are stored before they are written
-    to the same table.
+    `tables` are folders under `snapshots`, the first of which tells whether a snapshot is empty; without any, `snapshots` is the table.
+    `reports` (snapshot_date, clean_tag_row_count as text) go before counted rows. With reports, a snapshot that neither a report nor a
+    table knows is an error; having none to fall back on always is. Rows are stored before they are written to the same table.
     """
-    report = sn.fallback_report(ss.snapshot_sizes(spark, snapshots), current)
+    paths = [f"{snapshots}/{t}" for t in tables] or [snapshots]
+    sizes = ss.snapshot_sizes(spark, paths[0])
+    if reports is not None:
+        sizes = sn.sized_by_reports(sizes, reports)
+        if sizes.where(F.col("snapshot_date") == current).isEmpty():
+            raise FileNotFoundError(f"there is no snapshot {current}")
+    report = spark.createDataFrame(sn.fallback_report(sizes, current).collect(), sn.fallback_report(sizes, current).schema)  # one row, as it was before the change
     got = report.first()
     if got["current_row_count"] == 0:
         if not got["fallback_used"]:
             raise RuntimeError(f"snapshot {current} is empty and no older snapshot holds rows")
         with scratch(spark):
-            rows = materialise(ss.read_snapshot(spark, snapshots, got["fallback_snapshot"], check=False))
-            ss.write_snapshot(rows, snapshots, current)
+            for path in paths:
+                before = spark.read.parquet(path).where(F.col("snapshot_date").cast("string") == got["fallback_snapshot"]).drop("snapshot_date")
+                ss.write_snapshot(materialise(before), path, current)
+    if report_path:
+        rc.write_records(report, report_path, layout="parquet")
     return report
 
 

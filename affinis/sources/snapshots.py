@@ -1,4 +1,4 @@
-"""Snapshot tables: one partition per ISO date."""
+"""Snapshot tables: one partition per snapshot, usually named by an ISO date."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from affinis.operators.checks import require_columns, require_unique
 
 def read_snapshot(spark: SparkSession, root: str, date: str, check: bool = True) -> DataFrame:
     """Rows of one snapshot of a table partitioned by snapshot_date; other dates are not read."""
-    rows = spark.read.parquet(root).where(F.col("snapshot_date") == F.lit(date).cast("date")).drop("snapshot_date")
+    rows = spark.read.parquet(root).where(F.col("snapshot_date").cast("string") == F.lit(date)).drop("snapshot_date")
     require_columns(rows, PAIR_KEY, root)
     if check:
         require_unique(rows, PAIR_KEY, f"{root} at {date}")
@@ -18,8 +18,8 @@ def read_snapshot(spark: SparkSession, root: str, date: str, check: bool = True)
 
 
 def write_snapshot(df: DataFrame, root: str, date: str) -> None:
-    """Write one snapshot, replacing the partition of that date and no other."""
-    dated = df.withColumn("snapshot_date", F.lit(date).cast("date"))
+    """Write one snapshot, replacing the partition of that name and no other."""
+    dated = df.withColumn("snapshot_date", F.lit(date))
     dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_date").parquet(root)
 
 

@@ -201,7 +201,7 @@ def resume_pending(spark, folder):
 
 
 @query("signal_summary", SIGNAL_SQL + """
-SELECT count(*) AS total_records_in_index, (SELECT count(*) FROM supplier WHERE s_acctbal < 0) AS skipped_count, count(*) FILTER (WHERE entity_slug <> '') AS attempted_count,
+SELECT count(*) AS total_records_in_index, (SELECT count(DISTINCT entity_slug) FROM outcome WHERE entity_slug IN (SELECT 's' || s_suppkey FROM supplier WHERE s_acctbal < 0)) AS skipped_count, count(*) FILTER (WHERE entity_slug <> '') AS attempted_count,
   count(*) FILTER (WHERE status_type = 'cedh_row_written') AS signal_row_count,
   count(*) FILTER (WHERE status_type IN ('no_cedh_route', 'no_cedh_decks')) AS no_signal_count,
   count(*) FILTER (WHERE status_type = 'missing_normal_metadata') AS missing_metadata_count,

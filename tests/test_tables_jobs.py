@@ -115,6 +115,20 @@ def test_shards_are_sorted_folders(spark, pairs, tmp_path):
     assert spark.read.parquet(str(tmp_path / "c")).count() == 4
 
 
+def test_all_tables_of_an_empty_snapshot_are_replaced(spark, pairs, tmp_path):
+    root = str(tmp_path / "snaps")
+    for table in ("facts", "more"):
+        ss.write_snapshot(pairs, f"{root}/{table}", "2026-05-07")
+        ss.write_snapshot(pairs.limit(1), f"{root}/{table}", "2026-05-14")
+    reports = spark.createDataFrame([("2026-05-14", "0"), ("latest", "0"), ("2026-05-07", "n/a")], "snapshot_date string, clean_tag_row_count string")
+    with pytest.raises(FileNotFoundError):
+        jobs.replace_empty_snapshot(spark, root, "2026-06-01", ["facts", "more"], reports)
+    got = jobs.replace_empty_snapshot(spark, root, "latest", ["facts", "more"], reports, f"{root}/report").first()
+    assert (got["fallback_snapshot"], got["fallback_row_count"]) == ("2026-05-07", 4)  # the report says that the one between is empty
+    assert spark.read.parquet(f"{root}/report").first() == got
+    assert all(ss.read_snapshot(spark, f"{root}/{t}", "latest").count() == 4 for t in ("facts", "more"))
+
+
 def test_one_large_shard_becomes_several_files_in_order(spark, tmp_path):
     big = spark.range(6000).select(F.lit("hot").alias("entity_slug"), F.col("id").cast("string").alias("tag_slug"), F.rand(1).alias("z"), F.lit(1).alias("n"))
     old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
