@@ -15,7 +15,6 @@ import functools
 import os
 import unicodedata
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,7 @@ _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_SIGNS = dict(zip(_PLAIN, map(chr, _PLAIN))) | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 
 
-class WordIds:
+class WordIds(dict):
     """Ids of texts by a tokenizer whose tokens never cross white space: each word is looked up or given to the library once.
 
     Remembers the last `room` to twice as many words, in two generations. A word of small letters alone that is normalised
@@ -49,9 +48,10 @@ class WordIds:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.room, self.new, self.old = room, {}, {}
+        self.room, self.old = room, {}
         probes = ["thing", "thing.", "é", "zürich,", "日本", "thing", "Thing."]
         self.shortcut = hasattr(self.model, "tokenize") and all(self.fast(w) == self.whole(w) for w in probes)
 
@@ -64,28 +64,30 @@ class WordIds:
     def fast(self, word: str) -> bytes:
         """Ids of a word by the merges alone where that is the same, else by the whole tokenizer."""
         if word[-1] in ".," and word[:-1].lower().isalpha():
-            return self.get(word[:-1]) + self.get(word[-1])
+            return self[word[:-1]] + self[word[-1]]
         low = word.lower()
         if not low.isalpha() or "\u03a3" in word or not (word.isascii() or unicodedata.is_normalized("NFC", word) and unicodedata.is_normalized("NFC", low)):
             return self.whole(word)
         if low != word:
-            return self.get(low)
+            return self[low]
         signs = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_SIGNS)
         return self.packed([token.id for token in self.model.tokenize(signs)])
 
-    def get(self, word: str) -> bytes:
-        found = self.new.get(word) or self.old.get(word)
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
         if found is None:
-            found = self.new[word] = self.fast(word)
+            found = self.fast(word) if self.shortcut else self.whole(word)
+        if len(self) >= self.room:
+            self.old = dict(self)
+            self.clear()
+        self[word] = found
         return found
 
     def of(self, texts: list[str]) -> list[bytes]:
-        if len(self.new) > self.room:
-            self.old, self.new = self.new, {}
-        words = [None if any(c in t for c in SEPARATORS) else (t.lower() if t.isascii() else t).split() for t in texts]
-        for word in set(chain.from_iterable(w for w in words if w is not None)) - self.new.keys():
-            self.new[word] = self.old.get(word) or (self.fast(word) if self.shortcut else self.whole(word))
-        return [self.whole(t) if w is None else b"".join(map(self.new.__getitem__, w)) for t, w in zip(texts, words)]
+        return [
+            self.whole(t) if any(c in t for c in SEPARATORS) else b"".join(map(self.__getitem__, (t.lower() if t.isascii() else t).split()))
+            for t in texts
+        ]
 
 
 @functools.cache
