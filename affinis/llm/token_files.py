@@ -53,7 +53,9 @@ class WordIds(dict):
         self.model = self.tokenizer.model
         self.room, self.old = room, {}
         probes = ["thing", "thing.", "é", "zürich,", "日本", "thing", "Thing."]
-        self.shortcut = hasattr(self.model, "tokenize") and all(self.fast(w) == self.whole(w) for w in probes)
+        self.shortcut = hasattr(self.model, "tokenize")
+        self.shortcut = self.shortcut and all(self.fast(w) == self.whole(w) for w in probes)
+        self.clear()
 
     def whole(self, text: str) -> bytes:
         return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
