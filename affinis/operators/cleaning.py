@@ -174,6 +174,18 @@ def status_counts(status: DataFrame) -> DataFrame:
     return status.groupBy(kind.alias("status_type")).agg(count_rows().alias("row_count")).orderBy("status_type")
 
 
+def validation_counts(checked: DataFrame, status: DataFrame | None = None) -> DataFrame:
+    """Rows by input (where rows name one), source type and reason, and by status: (kind, value, row_count). A good row's reason is ''."""
+    kinds = {"source_type": F.col("source_type"), "reason": F.col("reason_type")}
+    if "input_source" in checked.columns:
+        kinds["input"] = F.col("input_source")
+    pairs = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.coalesce(value, F.lit("")).alias("value")) for kind, value in kinds.items()]))
+    counts = checked.select(pairs.alias("pair")).select("pair.*").groupBy("kind", "value").agg(count_rows().alias("row_count"))
+    if status is None:
+        return counts
+    return counts.unionAll(status_counts(status).select(F.lit("status").alias("kind"), F.col("status_type").alias("value"), "row_count"))
+
+
 def validation_report(result: Cleaned, index: DataFrame, status: DataFrame | None = None) -> DataFrame:
     """One row of figures on a cleaning run, with warnings."""
     checked, rows = result.checked, result.clean

@@ -27,7 +27,7 @@ def _save(tables: dict[str, DataFrame], root: str) -> None:
 
 
 def run_cleaning(index: DataFrame, inputs: Sequence[tuple[str, DataFrame, Sequence[str]]], root: str, status: DataFrame | None = None) -> DataFrame:
-    """Clean the inputs, given as (name, rows, ordinal columns), and write seven tables. Gives the report."""
+    """Clean the inputs, given as (name, rows, ordinal columns), and write eight tables. Gives the report."""
     spark = index.sparkSession
     with scratch(spark):
         checked = materialise(cl.check_rows(cl.union_inputs(inputs), index))
@@ -37,7 +37,7 @@ def run_cleaning(index: DataFrame, inputs: Sequence[tuple[str, DataFrame, Sequen
         _save({
             "tags_clean": cl.in_clean_order(clean), "entities": cl.entities(clean), "tags": cl.tags(clean), "invalid_rows": result.invalid,
             "exact_duplicates": result.exact_duplicates, "conflicts": cl.in_key_order(result.conflicts),
-            "validation_report": cl.validation_report(result, index, status),
+            "validation_report": cl.validation_report(result, index, status), "validation_counts": cl.validation_counts(checked, status),
         }, root)
     return spark.read.parquet(f"{root}/validation_report")
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import os
 import uuid
 from collections.abc import Iterator
@@ -84,22 +83,21 @@ def new_path(spark: SparkSession, kind: str = "table") -> str:
     return path
 
 
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Compute once, keep the rows as a table in the shared folder and go on from that table.
 
     Later steps that read the rows several times do not repeat the work behind them, and a
     lost executor cannot change what they see. The table brings its size to the planner.
+    The shuffle files behind it are dropped as soon as it is stored, by Spark's own setting for that, which is as before afterwards.
     """
-    path = new_path(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished steps now.
-
-    It does so once the driver's JVM has collected what refers to them, which may be long after a table has taken their place; a job of
-    many steps would keep all its shuffles on disk until then.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    spark, path = df.sparkSession, new_path(df.sparkSession)
+    before = spark.conf.get(_DROP_SHUFFLES, "false")
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)

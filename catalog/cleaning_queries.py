@@ -109,6 +109,13 @@ def validation_report(spark, folder):
     return cl.validation_report(cleaned(spark, folder), known_index(spark, folder)).withColumn("warnings", joined("warnings"))
 
 
+@query("validation_counts", WITH + """
+SELECT 'source_type' AS kind, coalesce(source_type, '') AS value, count(*) AS row_count FROM checked GROUP BY ALL
+UNION ALL SELECT 'reason', coalesce(reason_type, ''), count(*) FROM checked GROUP BY ALL""")
+def validation_counts(spark, folder):
+    return cl.validation_counts(checked(spark, folder))
+
+
 @query("analysis_input_violations", RAW + """
 , n AS (SELECT *, TRY_CAST(replace(total_n, ',', '') AS BIGINT) AS total, tag_n::BIGINT AS tag FROM raw)
 SELECT count(*) FILTER (WHERE trim(entity_name) = '') AS entity_name_blank, count(*) FILTER (WHERE trim(entity_slug) = '') AS entity_slug_blank,

@@ -205,6 +205,9 @@ def test_whole_batch(spark, tmp_path):
     report = jobs.run_cleaning(index, [("normal", frame(normal + [raw(99, "who")]), ["row"]), ("signal", frame(signal), ["row"])], root).first()
     assert (report["clean_tag_row_count"], report["invalid_row_count"], report["cedh_clean_row_count"]) == (9, 1, 3)
 
+    counts = {(r["kind"], r["value"]): r["row_count"] for r in spark.read.parquet(f"{root}/validation_counts").collect()}
+    assert counts["input", "normal"] == 7 and counts["input", "signal"] == 3 and counts["source_type", "cedh_filtered_json"] == 3 and counts["reason", ""] == 9
+
     affinity = jobs.run_analysis(spark.read.parquet(f"{root}/tags_clean"), root, AffinityConfig())
     assert affinity.count() == 9 and spark.read.parquet(f"{root}/analysis_summary").first()["unique_tag_count"] == 3
     ss.write_snapshot(affinity, snaps, "2026-05-07")
