@@ -14,6 +14,7 @@ from __future__ import annotations
 import functools
 import os
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,13 +45,14 @@ class WordIds(dict):
     comma behind such a word is a word of its own. `shortcut` says whether the tokenizer at `path` works so.
     """
 
-    def __init__(self, path: str, room: int = 250_000):
+    def __init__(self, path: str, room: int = 320_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4  # bytes of an id
         self.room, self.old = room, {}
         probes = ["thing", "thing.", "é", "zürich,", "日本", "thing", "Thing."]
         self.shortcut = hasattr(self.model, "tokenize")
@@ -61,7 +63,8 @@ class WordIds(dict):
         return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def packed(self, ids: list[int]) -> bytes:
-        return b"".join([i.to_bytes(4, "little") for i in ids])
+        width = self.width
+        return b"".join([i.to_bytes(width, "little") for i in ids])
 
     def fast(self, word: str) -> bytes:
         """Ids of a word by the merges alone where that is the same, else by the whole tokenizer."""
@@ -99,7 +102,8 @@ def word_ids(path: str) -> WordIds:
 
 
 def tokenised(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(part, seq, before, docs, counts, ids): segments of plain ids in ascending id order, equal ids by the text's hash.
+    """(part, seq, before, docs, counts, width, ids): segments of plain ids of `width` bytes in ascending id order, equal ids by the
+    text's hash.
 
     Rows without an id come first. Each document ends with `end_id`; a null or empty text has no other.
     """
@@ -107,26 +111,26 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_i
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     tie = F.xxhash64("text")
-    end = np.array([end_id], dtype="<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, before = TaskContext.get().partitionId(), 0, 0
         ids: list[bytes] = []
         docs: list[int] = []
         size = 0
+        words = word_ids(tokenizer)
+        width, end = words.width, words.packed([end_id])
 
         def segment() -> pa.RecordBatch:
-            counts = np.array([len(i) // 4 for i in ids], dtype="<u4")
+            counts = np.array([len(i) // width for i in ids], dtype="<u4")
             return pa.RecordBatch.from_arrays([
                 pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([docs], pa.list_(pa.int64())),
-                pa.array([counts.tobytes()], pa.binary()), pa.array([b"".join(ids)], pa.binary())], ["part", "seq", "before", "docs", "counts", "ids"])
+                pa.array([counts.tobytes()], pa.binary()), pa.array([width], pa.int32()), pa.array([b"".join(ids)], pa.binary())], ["part", "seq", "before", "docs", "counts", "width", "ids"])
 
         for batch in batches:
             for piece in pieces(batch, "text"):
-                for doc, found in zip(piece["id"].to_pylist(), word_ids(tokenizer).of(texts_of(piece, "text"))):
+                for doc, found in zip(piece["id"].to_pylist(), words.of(texts_of(piece, "text"))):
                     docs.append(doc)
                     ids.append(found + end)
-                    size += len(found) // 4 + 1
+                    size += len(found) // width + 1
                     if size >= SEGMENT:
                         yield segment()
                         seq, before, size = seq + 1, before + size, 0
@@ -135,7 +139,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_i
             yield segment()
 
     return (rows.repartitionByRange(parts, "id", tie).sortWithinPartitions("id", tie)
-            .mapInArrow(run, "part int, seq int, before long, docs array<long>, counts binary, ids binary"))
+            .mapInArrow(run, "part int, seq int, before long, docs array<long>, counts binary, width int, ids binary"))
 
 
 def counted(segments: DataFrame) -> np.ndarray:
@@ -143,14 +147,14 @@ def counted(segments: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for ids in batch["ids"].to_pylist():
-                found = np.bincount(np.frombuffer(ids, dtype="<u4"), minlength=len(total))
+            for ids, width in zip(batch["ids"].to_pylist(), batch["width"].to_pylist()):
+                found = np.bincount(np.frombuffer(ids, dtype=f"<u{width}"), minlength=len(total))
                 found[: len(total)] += total
                 total = found
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
-    rows = segments.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    rows = segments.select("ids", "width").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(int(rows["id"].max()) + 1 if len(rows) else 0, dtype=np.int64)
     counts[rows["id"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
     return counts
@@ -170,16 +174,16 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                data, starts = encoded(np.frombuffer(row["ids"][0].as_buffer(), dtype="<u4"), code)
+                data, starts = encoded(np.frombuffer(row["ids"][0].as_buffer(), dtype=f"<u{row['width'][0].as_py()}"), code)
                 yield pa.RecordBatch.from_arrays([*row.columns[:5], pa.array([starts.astype("<u8").tobytes()], pa.binary()), pa.array([data], pa.binary())], ["part", "seq", "before", "docs", "counts", "starts", "data"])
 
     plain.mapInArrow(run, "part int, seq int, before long, docs array<long>, counts binary, starts binary, data binary").write.option("compression", "none").parquet(f"{path}/segments")
     spark.createDataFrame([(bytearray(lengths),)], "lengths binary").coalesce(1).write.parquet(f"{path}/code")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of token files: where a document's ids start among all, how many it has, and the ids, packed as
-    little-endian unsigned 32-bit integers."""
+def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, ids) of token files: where a document's ids start among all, how many it has, the checksum of
+    its ids, and the ids themselves, packed as little-endian unsigned 32-bit integers; null with ids=False, for who needs none of them."""
     lengths = bytes(spark.read.parquet(f"{path}/code").first()["lengths"])
     segments = spark.read.parquet(f"{path}/segments")
     # A row for each part, of which there are as many as there were partitions; its offset goes to every task.
@@ -199,15 +203,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             for row in batch.to_pylist():
                 counts = np.frombuffer(row["counts"], dtype="<u4").astype(np.int64)
                 ends = np.cumsum(counts)
-                ids = decoded(row["data"], np.frombuffer(row["starts"], dtype="<u8"), int(ends[-1]), code).astype("<u4").tobytes()
+                found = decoded(row["data"], np.frombuffer(row["starts"], dtype="<u8"), int(ends[-1]), code).astype("<u4").tobytes()
+                own = [found[4 * (e - c):4 * e] for e, c in zip(ends.tolist(), counts.tolist())]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(row["docs"], pa.int64()), pa.array(row["offset"] + row["before"] + ends - counts), pa.array(counts),
-                    pa.array([ids[4 * (e - c):4 * e] for e, c in zip(ends.tolist(), counts.tolist())], pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                    pa.array(list(map(zlib.crc32, own)), pa.int64()), pa.array(own if ids else [None] * len(own), pa.binary())], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
-    return segments.join(F.broadcast(offsets), "part").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return segments.join(F.broadcast(offsets), "part").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def report(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> DataFrame:
     """Written to token files at `path` and read back: place, number and checksum of each document's ids."""
     write(docs, path, tokenizer, end_id)
-    return read(docs.sparkSession, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read(docs.sparkSession, path, ids=False).drop("ids")

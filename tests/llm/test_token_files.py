@@ -49,7 +49,7 @@ def test_words_have_the_ids_of_whole_texts():
     assert words.shortcut
     texts = [t or "" for t in ODD_TEXTS] + families(8, 10) + ["İ. Σας ΣΑΣ ς, 3.5 don't é \x1c.\x1d. áb. <|endoftext|>x ﬁ. K ẞ"]
     for _ in range(2):
-        assert [np.frombuffer(g, "<u4").tolist() for g in words.of(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(g, f"<u{words.width}").tolist() for g in words.of(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_files_round_trip_in_id_order(spark, tmp_path, monkeypatch):
