@@ -150,13 +150,15 @@ def sharing(docs: DataFrame, buckets: int) -> DataFrame:
     signatures are bounded.
     """
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies in one task are sent once
         for batch in batches:
             for piece in pieces(batch, "text"):
-                sets = [s for t in texts_of(piece, "text") if len(s := shingles(t))]
-                found = [signatures(s) for s in sets]
+                sets = {i: s for t in texts_of(piece, "text") if len(s := shingles(t)) and (i := set_id(s)) not in seen}
+                seen.update(sets)
+                found = [signatures(s) for s in sets.values()]
                 if not found:
                     continue
-                owner = np.repeat(np.array([set_id(s) for s in sets], dtype=np.int64), [len(f) for f in found])
+                owner = np.repeat(np.array(list(sets), dtype=np.int64), [len(f) for f in found])
                 sig = np.concatenate(found)
                 bucket = ((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
