@@ -24,9 +24,11 @@ MERGED_COLUMNS = (
     "card_names", "match_strategy", "origin_set_code", "origin_set_name", "origin_released_at",
     "set_page_uri", "set_uri", "origin_sets",
 )
-# Our rule for an approximate match: at most this many edits, and no second card as near. The candidates of
-# edit_variants() are complete for up to two.
-MAX_EDITS = 2
+# Our rule for an approximate match: at most so many edits by the length of the name's match text, and no
+# second card as near. EDIT_PERCENT can be another, up to MOST_PERCENT, where segments would be too short to tell names apart.
+LEAST_EDITS, EDIT_PERCENT, MOST_PERCENT = 2, 15, 25
+# Names of at most so many signs, all with two edits, take their candidates from edit_variants(), longer ones from segments.
+SHORT_NAME = 19
 
 
 def card_image(image_uris: Column | str, faces: Column | str) -> Column:
@@ -68,23 +70,85 @@ def edit_variants(text: Column | str) -> Column:
     return bind(col(text), variants)
 
 
-def nearest_cards(names: DataFrame, cards: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
-    """The one card nearest to each name within `max_edits` (0 to 2) edits, none when two are as near.
+def edits_allowed(length: Column, percent: int = EDIT_PERCENT) -> Column:
+    """Edits that a name of so many signs may be away from its card: a share of its length, rounded down, and at least two."""
+    return F.greatest(F.lit(LEAST_EDITS), F.floor(length * percent / 100).cast("int"))
+
+
+def _segment_class(length: Column, percent: int) -> Column:
+    """Signs of a segment of a name of `length` signs, and width of the stretches that places are told apart by."""
+    edits = edits_allowed(length, percent)
+    return F.struct(F.floor(length / (edits + 1)).cast("int").alias("q"), F.pow(F.lit(2), F.ceil(F.log2(edits))).cast("int").alias("w"))
+
+
+def _segment_key(text: Column, place: Column, kind: Column, stretch: Column) -> Column:
+    return F.xxhash64(text.substr(place + 1, kind["q"]), kind["q"], kind["w"], stretch)
+
+
+def _name_segments(text: Column, percent: int) -> Column:
+    """The segments of a name, one more than its edits, each under the stretches of places where a card could have it."""
+    n = F.length(text)
+    edits = edits_allowed(n, percent)
+
+    def keyed(kind: Column) -> Column:
+        def of(i: Column) -> Column:
+            at = i * kind["q"]
+            stretches = F.sequence(F.floor(F.greatest(at - i, F.lit(0)) / kind["w"]).cast("int"), F.floor((at + i) / kind["w"]).cast("int"))
+            return F.transform(stretches, lambda b: F.struct(_segment_key(text, at, kind, b).alias("key"), i.alias("segment"), at.alias("place")))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), edits), of))
+
+    return bind(_segment_class(n, percent), keyed)
+
+
+def _card_segments(text: Column, percent: int, short: int) -> Column:
+    """Every stretch of signs of a card that could be the segment of a name, for all lengths above `short` of names that may be near it."""
+    m = F.length(text)
+    low = F.greatest(F.lit(short + 1), F.floor(m * 100 / (100 + percent)).cast("int") - LEAST_EDITS)
+    high = F.ceil(m * 100 / (100 - percent)).cast("int") + LEAST_EDITS
+    lengths = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+    near = F.filter(lengths, lambda n: F.abs(m - n) <= edits_allowed(n, percent))
+    kinds = F.filter(F.array_distinct(F.transform(near, lambda n: _segment_class(n, percent))), lambda kind: kind["q"].between(1, m))
+    return F.flatten(F.transform(kinds, lambda kind: F.transform(F.sequence(F.lit(0), m - kind["q"]), lambda at: F.struct(
+        _segment_key(text, at, kind, F.floor(at / kind["w"]).cast("int")).alias("key"), at.alias("place")))))
+
+
+def nearest_cards(names: DataFrame, cards: DataFrame, percent: int = EDIT_PERCENT) -> DataFrame:
+    """The one card nearest to each name within its edits_allowed(), none when two are as near.
 
     Names are compared by match_text(); one without any letter or digit is near nothing.
+    `percent` of a name's length may differ, 0 to MOST_PERCENT.
 
-    Two texts within two edits of each other share a text that dropping up to two signs
-    makes of both, so the candidates come from an equi join on such texts; only names
-    that are near each other ever meet.
+    Candidates come from equi joins, so only names that share something ever meet. Two texts within two edits of each
+    other share a text that dropping up to two signs makes of both. A longer name is cut into one segment more than
+    its k edits: one of them is whole in each near card, and for some such segment i (from 0) there are i edits at most
+    before it and k - i after it, which bounds its place from either end. Keys grow with the length, not its square.
     """
-    def exploded(df: DataFrame, text: str) -> DataFrame:
-        return df.select(text, F.explode(edit_variants(match_text(text))).alias("_variant"))
-
-    pairs = exploded(names, "candidate").join(exploded(cards, "card_name"), "_variant").select("candidate", "card_name").distinct()
-    near = pairs.withColumn("_edits", F.levenshtein(match_text("candidate"), match_text("card_name"), max_edits)).where("_edits >= 0")
-    ranked = near.groupBy("candidate", "_edits").agg(count_rows().alias("_n"), F.min("card_name").alias("card_name"))
-    best = ranked.groupBy("candidate").agg(F.min_by(F.struct("_n", "card_name"), "_edits").alias("_best"))
-    return best.where("_best._n = 1").select("candidate", F.col("_best.card_name").alias("card_name"))
+    if not 0 <= percent <= MOST_PERCENT:
+        raise ValueError(f"percent {percent} is not within 0 to {MOST_PERCENT}")
+    # two edits are enough for every short name
+    short = min(SHORT_NAME, (100 * (LEAST_EDITS + 1) - 1) // max(percent, 1))
+    texts = names.select("candidate", match_text("candidate").alias("_name")).distinct().withColumn("_n", F.length("_name"))
+    named = texts.withColumn("_k", edits_allowed(F.col("_n"), percent)).withColumn("_name_id", F.xxhash64("candidate"))
+    carded = cards.select("card_name", match_text("card_name").alias("_card")).distinct().withColumn("_m", F.length("_card")).withColumn(
+        "_card_id", F.xxhash64("card_name"))
+
+    by_variant = named.where(F.col("_n") <= short).select("_name_id", F.explode(edit_variants("_name")).alias("_key")).join(
+        carded.where(F.col("_m") <= short + LEAST_EDITS).select("_card_id", F.explode(edit_variants("_card")).alias("_key")), "_key")
+    segments = named.where(F.col("_n") > short).select("_name_id", "_n", "_k", F.explode(_name_segments(F.col("_name"), percent)).alias("_s")).select(
+        "_name_id", "_n", "_k", F.col("_s.key").alias("_key"), F.col("_s.segment").alias("_i"), F.col("_s.place").alias("_at"))
+    stretches = carded.where(F.col("_m") > 0).select("_card_id", "_m", F.explode(_card_segments(F.col("_card"), percent, short)).alias("_s")).select(
+        "_card_id", "_m", F.col("_s.key").alias("_key"), F.col("_s.place").alias("_place"))
+    shift, longer = F.col("_place") - F.col("_at"), F.col("_m") - F.col("_n")
+    by_segment = segments.join(stretches, "_key").where(
+        (F.abs(longer) <= F.col("_k")) & (F.abs(shift) <= F.col("_i")) & (F.abs(shift - longer) <= F.col("_k") - F.col("_i")))
+    # ids are hashes: two texts under one id only make further candidates, which the distance then judges
+    pairs = by_variant.select("_name_id", "_card_id").unionByName(by_segment.select("_name_id", "_card_id")).distinct()
+    met = pairs.join(named, "_name_id").join(carded, "_card_id")
+    near = met.withColumn("_edits", F.expr("levenshtein(_name, _card, _k)")).where("_edits >= 0")
+    ranked = near.groupBy("candidate", "_edits").agg(count_rows().alias("_cards"), F.min("card_name").alias("card_name"))
+    best = ranked.groupBy("candidate").agg(F.min_by(F.struct("_cards", "card_name"), "_edits").alias("_best"))
+    return best.where("_best._cards = 1").select("candidate", F.col("_best.card_name").alias("card_name"))
 
 
 def match_names(entities: DataFrame, cards: DataFrame, order: Sequence[str]) -> DataFrame:

@@ -41,6 +41,48 @@ def test_nearest_cards_match_brute_force(spark):
     assert got == want and got
 
 
+def changed(rnd, text, edits):
+    for _ in range(edits):
+        at, kind = rnd.randrange(len(text)), rnd.randrange(3)
+        text = text[:at] + ("" if kind == 0 else rnd.choice("abcdeé")) + text[at + (kind < 2):]
+    return text
+
+
+def brute_nearest(names, cards, percent=15):
+    want = {}
+    for n in names:
+        ranked = sorted((d, c) for c in cards if (d := distance(n, c)) <= max(2, len(n) * percent // 100))
+        if ranked and (len(ranked) == 1 or ranked[0][0] < ranked[1][0]):
+            want[n] = ranked[0][1]
+    return want
+
+
+def test_edits_grow_with_the_length_of_a_name(spark):
+    rnd = random.Random(5)
+    cards = sorted({"".join(rnd.choice("abcdeé") for _ in range(rnd.randrange(15, 67))) for _ in range(150)})
+    names = sorted({changed(rnd, c, rnd.randrange(2, 11)) for c in cards for _ in range(3)} | {changed(rnd, c[5:] + c[:5], 1) for c in cards[:40]})
+    names_df, cards_df = (spark.createDataFrame([(x,) for x in xs], f"{c} string") for xs, c in ((names, "candidate"), (cards, "card_name")))
+    for percent in (15, 0, 25):
+        got = {r["candidate"]: r["card_name"] for r in en.nearest_cards(names_df, cards_df, percent).collect()}
+        assert got == brute_nearest(names, cards, percent)
+        if percent == 15:
+            edits = {distance(n, c) for n, c in got.items() if 20 <= len(n) <= 60}
+            assert edits >= {3, 4, 5, 6}
+
+
+def test_long_names_of_one_sign_and_ties(spark):
+    long = "".join(random.Random(6).choice("abcdefgh") for _ in range(1000))
+    cards = ["x" * 30, "x" * 40, long, "y" * 20 + "a" * 9 + "b", "y" * 20 + "a" * 9 + "c"]
+    names = ["x" * 34, "x" * 35, "x" * 36, long[:300] + long[440:], long[:300] + long[460:], "y" * 20 + "a" * 9 + "d"]
+    got = {r["candidate"]: r["card_name"] for r in en.nearest_cards(
+        spark.createDataFrame([(n,) for n in names], "candidate string"), spark.createDataFrame([(c,) for c in cards], "card_name string")).collect()}
+    # 34 signs may have 5 edits, 860 may have 129, 840 may have 126
+    assert got == {names[0]: cards[0], names[2]: cards[1]}
+    near = {r["candidate"]: r["card_name"] for r in en.nearest_cards(
+        spark.createDataFrame([(long[:300] + long[420:],)], "candidate string"), spark.createDataFrame([(c,) for c in cards], "card_name string")).collect()}
+    assert list(near.values()) == [long]
+
+
 def test_names_of_other_scripts_and_without_letters(spark):
     cards = spark.createDataFrame([("イヌ",), ("Ow",), ("???",), ("Ünal der Große",), ("x" * 300,)], "card_name string")
     names = spark.createDataFrame([("ネコ",), ("!!",), ("イヌX",), ("ünal der grosse",), ("",), ("x" * 299 + "y",), ("Owl",)], "candidate string")
