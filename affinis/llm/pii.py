@@ -33,6 +33,11 @@ IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: Signs of an IBAN by country, as registered.
+IBAN_SIGNS = {c: n for n, codes in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for c in codes.split()}
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 DIGIT = re.compile("[0-9]")
 NOT_DIGIT = re.compile("[^0-9]+")
@@ -73,6 +78,29 @@ def matches(pattern: re.Pattern, text: str, confirm):
     return ((m.start(), m.end()) for m in pattern.finditer(text) if confirm(m.group()))
 
 
+def iban_end(text: str, start: int, end: int) -> int | None:
+    """Where the IBAN that begins a candidate span ends: at the length of its country, in any other country at the last end of a word that mod-97 confirms."""
+    signs = IBAN_SIGNS.get(text[start:start + 2])
+    while end > start:
+        n = end - start - text.count(" ", start, end)
+        if n < 15:
+            return None
+        if signs in (None, n) and mod97(text[start:end]):
+            return end
+        end = text.rfind(" ", start, end)
+    return None
+
+
+def ibans(text: str):
+    """Each IBAN from left to right; after a candidate that is none, the search goes on at the next word."""
+    at = 0
+    while m := IBAN.search(text, at):
+        end = iban_end(text, m.start(), m.end())
+        if end is not None:
+            yield m.start(), end
+        at = end or m.start() + 1
+
+
 def count_ok(text: str, low: int, high: int) -> str | None:
     digits = NOT_DIGIT.sub("", text)
     return digits if low <= len(digits) <= high else None
@@ -90,7 +118,7 @@ def spans_of(text: str) -> list[dict]:
         found += [("ip", *s) for s in matches(IP, text, small_parts)]
         found += [("card", *s) for s in matches(CARD, text, card_ok)]
         found += [("phone", *s) for s in matches(PHONE, text, lambda t: count_ok(t, 10, 15))]
-        found += [("iban", *s) for s in matches(IBAN, text, mod97)]
+        found += [("iban", *s) for s in ibans(text)]
         found += [("ssn", *s) for s in matches(SSN, text, lambda t: True)]
     out = []
     for kind, start, end in sorted(found, key=lambda s: (s[1], KINDS.index(s[0]))):

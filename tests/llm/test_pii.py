@@ -53,6 +53,30 @@ def test_added_spans_need_a_checksum_or_words_nearby():
     assert low < high <= 1
 
 
+def test_ibans_among_other_capital_words():
+    found = lambda text: [text[s["start"]:s["end"]] for s in pii.spans_of(text) if s["kind"] == "iban"]
+    gb, de, no = "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "NO9386011117947"
+    for iban in (gb, gb.replace(" ", ""), de, "DE89 3704 0044 0532 0130 00", no, "MT84 MALT 0110 0001 2345 MTLC AST0 01S"):
+        for after in ("", ".", " BY Friday", " 2024", " AND NOT 1 DAY LATER", " " + "A " * 40, " " + "9" * 40):
+            assert found(f"IBAN {iban}{after}") == [iban], (iban, after)
+    assert found(f"{gb} {de} {no} {gb}") == [gb, de, no, gb]
+    assert found(f"REF AB12 CODE X {de} 2024") == [de]
+    assert found(f"GB82 WEST 1234 5698 7654 33 {gb} OK") == [gb]
+    assert found(f"x{de} {de}x {de}2024") == []
+    text = f"IBAN {gb} BY Friday"
+    assert pii.blanked(text, pii.spans_of(text)) == "IBAN [IBAN] BY Friday"
+    for text in ("AB12 " * 40_000, "GB82 WEST 1234 5698 " * 10_000):
+        assert found(text) == []
+
+
+def test_ibans_of_unlisted_countries_end_at_a_word():
+    check = next(f"{k:02}" for k in range(2, 99) if pii.mod97(f"QQ{k:02}00001111222233"))
+    iban = f"QQ{check} 0000 1111 2222 33"
+    wrong = [w for w in ("BY", "AT", "TO") if not pii.mod97(f"{iban} {w}")]
+    for word in wrong:
+        assert [t[s["start"]:s["end"]] for t in [f"bank {iban} {word} noon"] for s in pii.spans_of(t)] == [iban]
+
+
 def test_very_long_runs_take_no_square_time():
     for text in ("a" * 200_000, "1" * 200_000, "1." * 100_000, "+1 " * 50_000, "@" * 100_000, "a@" * 50_000):
         pii.spans_of(text)
