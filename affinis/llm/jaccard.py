@@ -313,15 +313,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     lists = materialise(sharing(texts, max(partitions, int(total * 0.6) // BUCKET)).select(F.monotonically_increasing_id().alias("list"), "sets"))
     members = materialise(lists.select("list", F.explode("sets").alias("b")))
+    named, sources = sets.where("doc_id is not null"), texts
+    if not sets.where("doc_id is null and set_id is not null").isEmpty():
+        # A text without an id goes by its hash, once however many copies it has; where two meet under one, hashed() tells their sets apart.
+        unnamed = materialise(texts.where("doc_id is null").select(F.xxhash64("text").alias("doc_id"), "text").distinct())
+        named, sources = named.unionByName(sets_of(unnamed)), texts.where("doc_id is not null").unionByName(unnamed)
     marks = materialise(members.select(F.col("b").alias("set_id")).distinct().join(
-        sets.where("doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("parity").alias("parity")), "set_id"))
+        named.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("parity").alias("parity")), "set_id"))
     # First each set and one hub, the least of all sets that lead its lists.
     hubs = lists.select(F.element_at("sets", 1).alias("hub"), F.explode("sets").alias("b"))
-    links = materialise(linked(hubs.groupBy("b").agg(F.min("hub").alias("a")).where("a <> b"), marks, texts))
+    links = materialise(linked(hubs.groupBy("b").agg(F.min("hub").alias("a")).where("a <> b"), marks, sources))
     roots = materialise(components(links))
     # Then each set and the nearest of its lists that is still apart; then all that are still apart.
     for nearest in (True, False):
-        links = materialise(links.union(linked(apart(members, roots, marks, nearest), marks, texts)))
+        links = materialise(links.union(linked(apart(members, roots, marks, nearest), marks, sources)))
         roots = materialise(components(links))
     placed = sets.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     least = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))

@@ -73,6 +73,17 @@ def test_chain_links_through(spark):
     assert got_of(jaccard.near_duplicates(frame(spark, texts))) == brute(texts)
 
 
+def test_texts_without_an_id_link_to_near_copies(spark):
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[i * 8:i * 8 + 100]) for i in range(30)]
+    rows = [(i if i % 2 == 0 else None, t) for i, t in enumerate(texts)] + [(None, texts[3])] * 20 + [(None, "alone " + "z " * 9), (None, "")]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # every second link of the chain has no id
+    assert sorted((r["doc_id"], r["component_id"]) for r in got if r["doc_id"] is not None) == [(i, 0) for i in range(0, 30, 2)]
+    assert sorted((r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is None and r["n_shingles"] > 50) == [(96, 0)] * 35
+    assert {r["component_id"] for r in got if r["doc_id"] is None and r["n_shingles"] < 50} == {None}
+
+
 def test_ids_that_are_missing_or_repeat(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (5, "a b c d e f"), (5, "q r s"), (2, "q r s"), (None, "z")], "doc_id long, text string")
     rows = sorted(((r["doc_id"] or -1, r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(docs).collect()), key=str)
