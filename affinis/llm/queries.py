@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from affinis.llm import ann, bpe, fingerprints, jaccard, mixing, passages, pii, quality, token_files, urls
+from affinis.llm import ann, bpe, fingerprints, jaccard, mixing, passages, pii, quality, rules, token_files, urls
 from affinis.session import new_path
 
 #: Where the vocabulary files of public tokenizers lie on every worker.
@@ -92,3 +92,12 @@ def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Every text scored by the discriminant learnt from the labels."""
     return quality.report(table(spark, folder, "documents"), table(spark, folder, "labels").select("doc_id", "quality"))
+
+
+@query
+def op11_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text measured and judged by the base rules, then by thresholds of its language and source."""
+    return rules.judged(table(spark, folder, "documents"))
+
+
+SQL["op11_quality_rules"] = rules.SQL
