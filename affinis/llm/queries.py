@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from affinis.llm import ann, bpe, fingerprints, jaccard, mixing, passages, pii, quality, rules, token_files, urls
+from affinis.llm import ann, bpe, conversations, fingerprints, jaccard, mixing, passages, pii, quality, rules, token_files, urls
 from affinis.session import new_path
 
 #: Where the vocabulary files of public tokenizers lie on every worker.
@@ -101,3 +101,12 @@ def op11_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL["op11_quality_rules"] = rules.SQL
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation, damaged and repaired."""
+    return conversations.report(table(spark, folder, "conversations"))
+
+
+SQL["op12_conversation_repair"] = conversations.SQL
