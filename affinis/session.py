@@ -44,8 +44,14 @@ _opened: ContextVar[list[str] | None] = ContextVar("opened", default=None)
 _of_session: list[tuple[SparkSession, str]] = []
 
 
+#: Catalog names of the tables at some paths.
+_names: dict[str, str] = {}
+
+
 def removed(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
+        if path in _names:
+            spark.sql(f"DROP TABLE IF EXISTS {_names.pop(path)}")
         jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
@@ -101,3 +107,14 @@ def materialise(df: DataFrame) -> DataFrame:
     finally:
         spark.conf.set(_DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, keys: list[str], buckets: int | None = None) -> DataFrame:
+    """Rows stored in buckets by a hash of `keys`, in the shared folder, as a table that Spark knows to be dealt so: a join or grouping by the keys reads it
+    where it lies, and only the other side moves. As many buckets as shuffle partitions, if not said otherwise. Removed as other stored tables are."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, "buckets")
+    count = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    _names[path] = name = f"bucketed_{uuid.uuid4().hex}"
+    # One file for each bucket: the rows are dealt by the same hash first.
+    df.repartition(count, *keys).write.format("parquet").bucketBy(count, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    return spark.table(name)
