@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from affinis.llm import ann, bpe, conversations, fingerprints, jaccard, mixing, passages, pii, quality, rules, token_files, urls
+from affinis.llm import ann, bpe, clusters, conversations, fingerprints, jaccard, mixing, passages, pii, quality, rules, token_files, urls
 from affinis.session import new_path
 
 #: Where the vocabulary files of public tokenizers lie on every worker.
@@ -110,3 +110,12 @@ def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL["op12_conversation_repair"] = conversations.SQL
+
+
+@query
+def op13_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector's cluster after ten rounds."""
+    return clusters.clustered(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
+SQL["op13_centroid_clustering"] = clusters.SQL
