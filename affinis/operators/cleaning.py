@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from affinis.config import (
     CLEAN_COLUMNS, CLEAN_KEY, NORMAL_SOURCE, SIGNAL_NAME, SIGNAL_SLUG, SIGNAL_SOURCE, TEXT_COLUMNS,
@@ -15,10 +15,13 @@ from affinis.functions.text import bind, blank_to_null, strip
 from affinis.functions.times import valid_iso
 from affinis.operators.keep_first import first_per_key, ordinal
 from affinis.operators.reports import count_rows, report
+from affinis.session import stored
 
 # Reasons for which a row is set aside.
 SCHEMA_ERROR = "schema_validation_error"
 UNKNOWN_ENTITY = "unknown_commander_slug"
+#: Copies of one row that are written out in one go.
+COPIES = 10_000
 
 
 def with_source(df: DataFrame, source: str, rank: int, order: Sequence[str]) -> DataFrame:
@@ -107,20 +110,53 @@ class Cleaned:
     conflicts: DataFrame
 
 
-def clean(checked: DataFrame, order: Sequence[str]) -> Cleaned:
+def repeated(df: DataFrame, times: str, place: str) -> DataFrame:
+    """Each row as often as its column `times` says; rows with very many copies are spread over tasks first. `place` is unique."""
+    part = F.explode(F.sequence(F.lit(0), F.floor((F.col(times) - 1) / COPIES)))
+    cut = df.where(F.col(times) > 0).withColumn("_part", part).repartition(place, "_part")
+    return cut.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.least(F.lit(COPIES), F.col(times) - F.col("_part") * COPIES).cast("int")))).drop("_part", "_copy")
+
+
+def checked_figures() -> dict[str, Column]:
+    return {
+        "total_input_row_count": count_rows(),
+        "invalid_row_count": F.count_if(F.col("reason_type").isNotNull()),
+        "schema_invalid_row_count": F.count_if(F.col("reason_type") == SCHEMA_ERROR),
+        "unknown_entity_count": F.count_if(F.col("reason_type") == UNKNOWN_ENTITY),
+        "valid_row_count_before_duplicate_handling": F.count_if(F.col("reason_type").isNull()),
+    }
+
+
+def clean_figures() -> dict[str, Column]:
+    return {
+        "clean_tag_row_count": count_rows(),
+        "normal_clean_row_count": F.count_if(F.col("source_type") == NORMAL_SOURCE),
+        "cedh_clean_row_count": F.count_if(F.col("source_type") == SIGNAL_SOURCE),
+    }
+
+
+def version_figures() -> dict[str, Column]:
+    """Of rows that know how many versions they were chosen from."""
+    several = F.when(F.col("_versions") > 1, F.col("_versions"))
+    return {"conflicting_duplicate_key_count": F.count(several), "conflicting_duplicate_row_count": F.coalesce(F.sum(several), F.lit(0))}
+
+
+def clean(checked: DataFrame, order: Sequence[str], keep: Callable[[DataFrame, dict[str, Column]], DataFrame] = lambda df, _: df) -> Cleaned:
     """Split checked rows into clean rows, rejected rows, exact copies and conflicting rows.
 
     `order` names the columns whose values, taken together, give each row its place in the
-    input; they must be unique.
+    input; they must be unique. `keep` gets each table that later steps read, with figures of its rows, and gives the table to go on from.
     """
     lineage = [c for c in checked.columns if c not in CLEAN_COLUMNS and c not in ("reason_type", "reason", "raw_record")]
+    checked = keep(checked, checked_figures())
     invalid = checked.where("reason_type IS NOT NULL").select(*lineage, "reason_type", "reason", "raw_record")
-    place = ordinal(order)
-    valid = checked.where("reason_type IS NULL").select(*CLEAN_COLUMNS, place.alias("_place"))
-    distinct = valid.groupBy(*CLEAN_COLUMNS).agg(F.min("_place").alias("_place"))
-    # Places are unique, so looking copies up by place spreads any group of copies evenly.
-    copies = valid.join(distinct.select("_place"), "_place", "left_anti").select(*CLEAN_COLUMNS)
-    keyed = first_per_key(distinct, CLEAN_KEY, ["_place"], {"_versions": count_rows()})
+    valid = checked.where("reason_type IS NULL").select(*CLEAN_COLUMNS, ordinal(order).alias("_place"))
+    counted = keep(valid.groupBy(*CLEAN_COLUMNS).agg(F.min("_place").alias("_place"), (count_rows() - 1).alias("_copies")),
+                   {"exact_duplicate_row_count": F.coalesce(F.sum("_copies"), F.lit(0))})
+    # Copies are equal in every column, so they are written from their count; no row is looked up again.
+    copies = repeated(counted, "_copies", "_place").select(*CLEAN_COLUMNS)
+    distinct = counted.drop("_copies")
+    keyed = keep(first_per_key(distinct, CLEAN_KEY, ["_place"], {"_versions": count_rows()}), clean_figures() | version_figures())
     doubtful = keyed.where("_versions > 1").select(*CLEAN_KEY)
     conflicts = distinct.join(doubtful, list(CLEAN_KEY), "left_semi")
     return Cleaned(
@@ -132,6 +168,18 @@ def clean(checked: DataFrame, order: Sequence[str]) -> Cleaned:
     )
 
 
+def cleaned_once(checked: DataFrame, order: Sequence[str]) -> tuple[Cleaned, dict[str, int]]:
+    """clean() with every table in between stored once, and the figures that were taken while they were written."""
+    seen: dict[str, int] = {}
+
+    def keep(df: DataFrame, figures: dict[str, Column]) -> DataFrame:
+        kept, got = stored(df, figures)
+        seen.update(got)
+        return kept
+
+    return clean(checked, order, keep), seen
+
+
 def in_clean_order(clean_rows: DataFrame) -> DataFrame:
     return clean_rows.orderBy("entity_slug", "source_type", "tag_slug")
 
@@ -186,35 +234,24 @@ def validation_counts(checked: DataFrame, status: DataFrame | None = None) -> Da
     return counts.unionAll(status_counts(status).select(F.lit("status").alias("kind"), F.col("status_type").alias("value"), "row_count"))
 
 
-def validation_report(result: Cleaned, index: DataFrame, status: DataFrame | None = None) -> DataFrame:
-    """One row of figures on a cleaning run, with warnings."""
-    checked, rows = result.checked, result.clean
-    keys = result.conflicts.groupBy(*CLEAN_KEY).agg(count_rows().alias("n"))
+def validation_report(result: Cleaned, index: DataFrame, status: DataFrame | None = None, seen: dict[str, int] | None = None) -> DataFrame:
+    """One row of figures on a cleaning run, with warnings. Figures in `seen` are known from writing the tables; only the others are counted."""
+    seen = seen or {}
+    slug = blank_to_null("entity_slug")
     parts = [
-        (checked, {
-            "total_input_row_count": count_rows(),
-            "invalid_row_count": F.count_if(F.col("reason_type").isNotNull()),
-            "schema_invalid_row_count": F.count_if(F.col("reason_type") == SCHEMA_ERROR),
-            "unknown_entity_count": F.count_if(F.col("reason_type") == UNKNOWN_ENTITY),
-            "valid_row_count_before_duplicate_handling": F.count_if(F.col("reason_type").isNull()),
-        }),
-        (rows, {
-            "clean_tag_row_count": count_rows(),
-            "normal_clean_row_count": F.count_if(F.col("source_type") == NORMAL_SOURCE),
-            "cedh_clean_row_count": F.count_if(F.col("source_type") == SIGNAL_SOURCE),
-        }),
-        (rows.select("entity_slug").distinct(), {"unique_entity_count_in_clean_rows": count_rows()}),
-        (rows.select("tag_slug").distinct(), {"unique_tag_count_in_clean_rows": count_rows()}),
+        (result.checked, checked_figures()),
+        (result.clean, clean_figures()),
+        (result.clean, {"unique_entity_count_in_clean_rows": F.count_distinct("entity_slug"), "unique_tag_count_in_clean_rows": F.count_distinct("tag_slug")}),
         (result.exact_duplicates, {"exact_duplicate_row_count": count_rows()}),
-        (keys, {"conflicting_duplicate_key_count": count_rows(),
-                "conflicting_duplicate_row_count": F.coalesce(F.sum("n"), F.lit(0))}),
-        (index, {"index_record_count": count_rows()}),
-        (known_slugs(index), {"known_entity_slug_count": count_rows()}),
+        (result.conflicts.groupBy(*CLEAN_KEY).agg(count_rows().alias("_versions")), version_figures()),
+        (index, {"index_record_count": count_rows(), "known_entity_slug_count": F.count_distinct(slug)}),
     ]
     if status is not None:
         bad = F.col("status_type").contains("error") | F.col("status_type").contains("parse")
         parts.append((status, {"signal_error_status_count": F.count_if(bad)}))
-    figures = report(parts)
+    names = [name for _, figures in parts for name in figures]
+    left = [(df, {n: c for n, c in figures.items() if n not in seen}) for df, figures in parts]
+    figures = report([part for part in left if part[1]]).select(*[F.lit(seen[n]).cast("bigint").alias(n) if n in seen else n for n in names])
     errors = F.col("signal_error_status_count") if status is not None else F.lit(0)
     return figures.withColumn("warnings", F.array_compact(F.array(
         F.when(F.col("invalid_row_count") > 0, F.lit("rows failed validation")),

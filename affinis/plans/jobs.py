@@ -27,18 +27,17 @@ def _save(tables: dict[str, DataFrame], root: str) -> None:
 
 
 def run_cleaning(index: DataFrame, inputs: Sequence[tuple[str, DataFrame, Sequence[str]]], root: str, status: DataFrame | None = None) -> DataFrame:
-    """Clean the inputs, given as (name, rows, ordinal columns), and write eight tables. Gives the report."""
+    """Clean the inputs, given as (name, rows, ordinal columns), and write eight tables. Gives the report, whose figures were taken while the tables were written."""
     spark = index.sparkSession
     with scratch(spark):
-        checked = materialise(cl.check_rows(cl.union_inputs(inputs), index))
-        result = cl.clean(checked, ["input_rank", "input_row"])
-        clean = materialise(result.clean)
-        result = cl.Cleaned(checked, clean, result.invalid, materialise(result.exact_duplicates), materialise(result.conflicts))
+        result, seen = cl.cleaned_once(cl.check_rows(cl.union_inputs(inputs), index), ["input_rank", "input_row"])
         _save({
-            "tags_clean": cl.in_clean_order(clean), "entities": cl.entities(clean), "tags": cl.tags(clean), "invalid_rows": result.invalid,
-            "exact_duplicates": result.exact_duplicates, "conflicts": cl.in_key_order(result.conflicts),
-            "validation_report": cl.validation_report(result, index, status), "validation_counts": cl.validation_counts(checked, status),
+            "tags_clean": cl.in_clean_order(result.clean), "invalid_rows": result.invalid, "exact_duplicates": result.exact_duplicates,
+            "conflicts": cl.in_key_order(result.conflicts), "validation_counts": cl.validation_counts(result.checked, status),
         }, root)
+        seen |= rc.write_records(cl.entities(result.clean), f"{root}/entities", layout="parquet", figures={"unique_entity_count_in_clean_rows": F.count(F.lit(1))})
+        seen |= rc.write_records(cl.tags(result.clean), f"{root}/tags", layout="parquet", figures={"unique_tag_count_in_clean_rows": F.count(F.lit(1))})
+        _save({"validation_report": cl.validation_report(result, index, status, seen)}, root)
     return spark.read.parquet(f"{root}/validation_report")
 
 

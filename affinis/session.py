@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def local_session(app: str = "affinis", cores: str | int = 8, partitions: int | None = None, shared: str | None = None) -> SparkSession:
@@ -109,6 +109,21 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def watched(df: DataFrame, figures: dict[str, Column]) -> tuple[DataFrame, Observation]:
+    """The rows with named aggregates that Spark takes while an action runs over them; `get` of the second has them afterwards.
+
+    Call it right before the action, with no shuffle in between: there Spark counts a partition once, however often a lost executor's tasks run again.
+    """
+    seen = Observation()
+    return df.observe(seen, *[c.alias(n) for n, c in figures.items()]), seen
+
+
+def stored(df: DataFrame, figures: dict[str, Column]) -> tuple[DataFrame, dict[str, int]]:
+    """materialise() with named aggregates of the rows, taken while they are written."""
+    rows, seen = watched(df, figures)
+    return materialise(rows), seen.get
+
+
 def bucketed(df: DataFrame, keys: list[str], buckets: int | None = None) -> DataFrame:
     """Rows stored in buckets by a hash of `keys`, in the shared folder, as a table that Spark knows to be dealt so: a join or grouping by the keys reads it
     where it lies, and only the other side moves. As many buckets as shuffle partitions, if not said otherwise. Removed as other stored tables are."""

@@ -33,6 +33,13 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+def move(spark: SparkSession, path: str, target: str) -> None:
+    new = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(old, new):
+        raise OSError(f"{path} could not be moved to {target}")
+
+
 def sibling(path: str) -> str | None:
     return path[: -len(".jsonl")] + ".json" if path.endswith(".jsonl") else None
 

@@ -106,7 +106,9 @@ SELECT (SELECT count(*) FROM raw) AS total_input_row_count,
   concat_ws('|', CASE WHEN (SELECT count(*) FROM checked WHERE reason_type IS NOT NULL) > 0 THEN 'rows failed validation' END,
     CASE WHEN (SELECT count(*) FROM versions WHERE version_n > 1) > 0 THEN 'rows conflict on entity, tag and source' END) AS warnings""")
 def validation_report(spark, folder):
-    return cl.validation_report(cleaned(spark, folder), known_index(spark, folder)).withColumn("warnings", joined("warnings"))
+    index = known_index(spark, folder)
+    result, seen = cl.cleaned_once(cl.check_rows(dirty(spark, folder), index), DIRTY_ORDER)
+    return cl.validation_report(result, index, seen=seen).withColumn("warnings", joined("warnings"))
 
 
 @query("validation_counts", WITH + """

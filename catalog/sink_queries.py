@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from affinis.operators import affinity as af
 from affinis.session import materialise, new_path
 from affinis.sinks import records as rc, shards as sh
+from affinis.sinks.versions import read_table
 from affinis.plans.jobs import replace_empty_snapshot
 from affinis.sources import records as rd, snapshots as ss
 from affinis.sources.cards import read_cards
@@ -65,7 +66,7 @@ def sink_round_trip(spark, folder):
         "clustered": spark.read.parquet(f"{out}/clustered"),
         "sibling": rd.read_records(spark, f"{out}/array.jsonl", SCHEMA),
         "copied": spark.read.parquet(f"{out}/plain/parquet"),
-        "enriched": spark.read.parquet(f"{out}/copy/parquet").where("card_image_url IS NOT NULL"),
+        "enriched": read_table(spark, f"{out}/copy/parquet").where("card_image_url IS NOT NULL"),
     }
     result = None
     for layout in LAYOUTS:

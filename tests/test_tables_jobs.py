@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from affinis.config import AffinityConfig
 from affinis.plans import jobs
-from affinis.session import materialise, scratch
-from affinis.sinks import records as rc, shards as sh
+from affinis.session import materialise, scratch, stored
+from affinis.sinks import records as rc, shards as sh, versions as vs
 from affinis.sources import records as rd, snapshots as ss
 from affinis.sources.cards import card_columns, read_cards
 from affinis.sources.identities import first_identities
@@ -170,6 +170,72 @@ def test_copy_tables(spark, pairs, tmp_path):
     assert manifest == {"one": True, "opt": False} and spark.read.parquet(f"{dst}/one").count() == 4
 
 
+def failing(df):
+    """Rows of which the last task cannot be written, after others have been."""
+    late = F.when(F.spark_partition_id() == 3, F.raise_error(F.lit("disk is gone"))).otherwise(F.col("entity_slug"))
+    return df.repartition(4, "entity_slug", "tag_slug").withColumn("entity_slug", late)
+
+
+def test_a_failed_replacement_leaves_the_old_rows(spark, pairs, tmp_path):
+    path = str(tmp_path / "table")
+    rows = pairs.crossJoin(spark.range(50)).withColumn("entity_slug", F.concat("entity_slug", "id")).drop("id")
+    rc.write_records(rows, path, layout="parquet")
+    old = sorted(map(tuple, vs.read_table(spark, path).collect()))
+    for again in range(2):  # as first written, then as a version
+        with pytest.raises(Exception, match="disk is gone"):
+            vs.replace_table(failing(vs.read_table(spark, path)), path)
+        assert sorted(map(tuple, vs.read_table(spark, path).collect())) == old
+        assert vs.replace_table(vs.read_table(spark, path), path) == {"rows": 200}
+        assert sorted(map(tuple, vs.read_table(spark, path).collect())) == old
+    assert [p.name for p in (tmp_path / "table").iterdir() if not p.name.startswith(".")] == ["_versions"]
+    assert len(list((tmp_path / "table" / "_versions").glob("[0-9]*"))) == 2
+
+
+def test_an_unfinished_version_is_not_read_and_goes(spark, pairs, tmp_path):
+    path = str(tmp_path / "table")
+    rc.write_records(pairs, path, layout="parquet")
+    pairs.limit(1).write.parquet(f"{path}/_versions/000001-lost")  # written, never named
+    assert vs.read_table(spark, path).count() == 4
+    (tmp_path / "table" / "_versions" / "000002.current").write_text("")  # a pointer cut short
+    assert vs.read_table(spark, path).count() == 4
+    assert vs.replace_table(pairs.limit(2), path) == {"rows": 2} and vs.read_table(spark, path).count() == 2
+    assert len(list((tmp_path / "table" / "_versions").glob("[0-9]*"))) == 2
+    with pytest.raises(Exception, match="exist"):
+        vs._put(spark, vs.current_path(spark, path).rsplit("-", 1)[0] + ".current", "twice")
+
+
+def test_enrichment_counts_while_writing_and_survives_a_failure(spark, pairs, tmp_path):
+    root = str(tmp_path)
+    rc.write_records(pairs, f"{root}/rows", layout="parquet")
+    old = sorted(map(tuple, vs.read_table(spark, f"{root}/rows").collect()))
+    metadata = pairs.select("entity_slug").distinct().withColumn("card_image_url", F.lit("x"))
+    bad = metadata.withColumn("card_image_url", F.when(F.col("entity_slug") == "b", F.raise_error(F.lit("disk is gone"))).otherwise("y"))
+    with pytest.raises(Exception, match="disk is gone"):
+        rc.enrich_tables(spark, root, ["rows"], bad)
+    assert sorted(map(tuple, vs.read_table(spark, f"{root}/rows").collect())) == old
+    assert rc.enrich_tables(spark, root, ["rows", "absent"], metadata) == {"rows": 4}
+    assert vs.read_table(spark, f"{root}/rows").where("card_image_url = 'x'").count() == 4
+
+
+def test_a_failed_copy_changes_nothing(spark, pairs, tmp_path):
+    src, dst = str(tmp_path / "src"), str(tmp_path / "dst")
+    for name in ("one", "two"):
+        rc.write_records(pairs, f"{src}/{name}", layout="parquet")
+        rc.write_records(pairs.limit(1), f"{dst}/{name}", layout="parquet")
+    next((tmp_path / "src" / "two").glob("part-*")).write_bytes(b"broken")
+    with pytest.raises(Exception):
+        rc.copy_tables(spark, src, dst, ["one", "two"], [])
+    assert spark.read.parquet(f"{dst}/one").count() == spark.read.parquet(f"{dst}/two").count() == 1
+    rc.write_records(pairs, f"{src}/two", layout="parquet")
+    rc.copy_tables(spark, src, dst, ["one", "two"], [])
+    assert spark.read.parquet(f"{dst}/two").count() == 4 and not (tmp_path / "dst" / "_incoming").exists()
+
+
+def test_figures_of_empty_rows(spark, pairs):
+    rows, seen = stored(pairs.where("false"), {"n": F.count(F.lit(1)), "s": F.sum("n")})
+    assert rows.count() == 0 and seen == {"n": 0, "s": None}
+
+
 def test_snapshots_and_fallback(spark, pairs, tmp_path):
     root = str(tmp_path / "snap")
     ss.write_snapshot(pairs, root, "2026-05-07")
@@ -220,7 +286,7 @@ def test_whole_batch(spark, tmp_path):
     cards = spark.createDataFrame([card(1, "Alpha", "W", "pic"), card(2, "Gamma", "U", "pic", code="khm")], CARD)
     entities = spark.read.parquet(f"{root}/entities").select("entity_slug", "entity_name")
     jobs.run_enrichment(spark, entities, cards, None, ["row"], root, ["affinity_rows_with_trends", "absent"])
-    rows = spark.read.parquet(f"{root}/affinity_rows_with_trends")
+    rows = vs.read_table(spark, f"{root}/affinity_rows_with_trends")
     assert {r["match_strategy"] for r in rows.select("match_strategy").collect()} == {"exact_full_name"}
     assert spark.read.parquet(f"{root}/enrichment_summary").first()["unmatched_count"] == 1
 
