@@ -76,23 +76,46 @@ def edits_allowed(length: Column, percent: int = EDIT_PERCENT) -> Column:
 
 
 def _segment_class(length: Column, percent: int) -> Column:
-    """Signs of a segment of a name of `length` signs, and width of the stretches that places are told apart by."""
+    """Signs of a segment of a name of `length` signs, and width of the stretches that places are told apart by. Segments are so short that one more would
+    fit into the name: they can be laid around a common word."""
     edits = edits_allowed(length, percent)
-    return F.struct(F.floor(length / (edits + 1)).cast("int").alias("q"), F.pow(F.lit(2), F.ceil(F.log2(edits))).cast("int").alias("w"))
+    return F.struct(F.floor(length / (edits + 2)).cast("int").alias("q"), F.pow(F.lit(2), F.ceil(F.log2(edits))).cast("int").alias("w"))
 
 
 def _segment_key(text: Column, place: Column, kind: Column, stretch: Column) -> Column:
     return F.xxhash64(text.substr(place + 1, kind["q"]), kind["q"], kind["w"], stretch)
 
 
-def _name_segments(text: Column, percent: int) -> Column:
-    """The segments of a name, one more than its edits, each under the stretches of places where a card could have it."""
+def _part(text: Column, place: Column, q: Column) -> Column:
+    return F.xxhash64(text.substr(place + 1, q), q)
+
+
+def rarest_places(costs: Column, length: Column, q: Column, count: Column) -> Column:
+    """Places of `count` stretches of `q` signs of a text of `length` signs that do not overlap and cost least together; `costs` has what a stretch from each
+    place on costs. Of equally cheap ones those that come first. Time goes with length times count."""
+    start = F.transform(F.sequence(F.lit(0), length), lambda _: F.struct(F.lit(0).cast("bigint").alias("cost"), F.array().cast("array<int>").alias("at")))
+    far = F.struct(F.lit(1 << 60).cast("bigint").alias("cost"), F.array().cast("array<int>").alias("at"))
+
+    def one_more(best: Column, _: Column) -> Column:
+        """best[e] is for stretches within the first e signs; so is what comes out, with one stretch more."""
+        def upto(done: Column, e: Column) -> Column:
+            before = F.element_at(best, e - q + 1)
+            use = F.when(e >= q, F.struct((before["cost"] + F.element_at(costs, e - q + 1)).alias("cost"), F.concat(before["at"], F.array(e - q)).alias("at")))
+            return F.concat(done, F.array(F.least(F.element_at(done, -1), F.coalesce(use, far))))
+
+        return F.aggregate(F.sequence(F.lit(1), length), F.array(far), upto)
+
+    return F.element_at(F.aggregate(F.sequence(F.lit(1), count), start, one_more), -1)["at"]
+
+
+def _name_segments(text: Column, places: Column, percent: int) -> Column:
+    """The segments of a name at `places`, one more than its edits, each under the stretches of places where a card could have it."""
     n = F.length(text)
     edits = edits_allowed(n, percent)
 
     def keyed(kind: Column) -> Column:
         def of(i: Column) -> Column:
-            at = i * kind["q"]
+            at = F.element_at(places, i + 1)
             stretches = F.sequence(F.floor(F.greatest(at - i, F.lit(0)) / kind["w"]).cast("int"), F.floor((at + i) / kind["w"]).cast("int"))
             return F.transform(stretches, lambda b: F.struct(_segment_key(text, at, kind, b).alias("key"), i.alias("segment"), at.alias("place")))
 
@@ -110,7 +133,49 @@ def _card_segments(text: Column, percent: int, short: int) -> Column:
     near = F.filter(lengths, lambda n: F.abs(m - n) <= edits_allowed(n, percent))
     kinds = F.filter(F.array_distinct(F.transform(near, lambda n: _segment_class(n, percent))), lambda kind: kind["q"].between(1, m))
     return F.flatten(F.transform(kinds, lambda kind: F.transform(F.sequence(F.lit(0), m - kind["q"]), lambda at: F.struct(
-        _segment_key(text, at, kind, F.floor(at / kind["w"]).cast("int")).alias("key"), at.alias("place")))))
+        _segment_key(text, at, kind, F.floor(at / kind["w"]).cast("int")).alias("key"), at.alias("place"), _part(text, at, kind["q"]).alias("part")))))
+
+
+def rare_segments(named: DataFrame, stretches: DataFrame, percent: int) -> DataFrame:
+    """`named` with `_places`: where to cut each name so that the cards have its segments as seldom as can be."""
+    counts = stretches.groupBy("_part").agg(count_rows().alias("_cards"))
+    q = _segment_class(F.col("_n"), percent)["q"]
+    windows = named.select("_name_id", F.explode(F.transform(F.sequence(F.lit(0), F.col("_n") - q), lambda p: F.struct(
+        p.alias("place"), _part(F.col("_name"), p, q).alias("part")))).alias("_w")).select("_name_id", "_w.place", F.col("_w.part").alias("_part"))
+    # A name has no more windows than signs.
+    costs = windows.join(counts, "_part", "left").groupBy("_name_id").agg(
+        F.array_sort(F.collect_list(F.struct("place", F.coalesce("_cards", F.lit(0)).alias("n")))).alias("_costs"))
+    costs = costs.select("_name_id", F.transform("_costs", lambda c: c["n"]).alias("_costs"))
+    return named.join(costs, "_name_id").withColumn("_places", rarest_places(F.col("_costs"), F.col("_n"), q, F.col("_k") + 1)).drop("_costs")
+
+
+def candidate_pairs(named: DataFrame, carded: DataFrame, percent: int, short: int) -> DataFrame:
+    """Distinct (_name_id, _card_id) that include every name and card within the name's edits."""
+    by_variant = named.where(F.col("_n") <= short).select("_name_id", F.explode(edit_variants("_name")).alias("_key")).join(
+        carded.where(F.col("_m") <= short + LEAST_EDITS).select("_card_id", F.explode(edit_variants("_card")).alias("_key")), "_key")
+    stretches = carded.where(F.col("_m") > 0).select("_card_id", "_m", F.explode(_card_segments(F.col("_card"), percent, short)).alias("_s")).select(
+        "_card_id", "_m", F.col("_s.key").alias("_key"), F.col("_s.place").alias("_place"), F.col("_s.part").alias("_part"))
+    cut = rare_segments(named.where(F.col("_n") > short), stretches, percent)
+    segments = cut.select("_name_id", "_n", "_k", F.explode(_name_segments(F.col("_name"), F.col("_places"), percent)).alias("_s")).select(
+        "_name_id", "_n", "_k", F.col("_s.key").alias("_key"), F.col("_s.segment").alias("_i"), F.col("_s.place").alias("_at"))
+    shift, longer = F.col("_place") - F.col("_at"), F.col("_m") - F.col("_n")
+    by_segment = segments.join(stretches.drop("_part"), "_key").where(
+        (F.abs(longer) <= F.col("_k")) & (F.abs(shift) <= F.col("_i")) & (F.abs(shift - longer) <= F.col("_k") - F.col("_i")))
+    return by_variant.select("_name_id", "_card_id").unionByName(by_segment.select("_name_id", "_card_id")).distinct()
+
+
+def texts_to_match(names: DataFrame, cards: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(candidate, _name, _n, _k, _name_id) and (card_name, _card, _m, _card_id) with texts as they are compared."""
+    texts = names.select("candidate", match_text("candidate").alias("_name")).distinct().withColumn("_n", F.length("_name"))
+    named = texts.withColumn("_k", edits_allowed(F.col("_n"), percent)).withColumn("_name_id", F.xxhash64("candidate"))
+    carded = cards.select("card_name", match_text("card_name").alias("_card")).distinct().withColumn("_m", F.length("_card")).withColumn(
+        "_card_id", F.xxhash64("card_name"))
+    return named, carded
+
+
+def short_names(percent: int) -> int:
+    """Signs up to which two edits are enough for every name."""
+    return min(SHORT_NAME, (100 * (LEAST_EDITS + 1) - 1) // max(percent, 1))
 
 
 def nearest_cards(names: DataFrame, cards: DataFrame, percent: int = EDIT_PERCENT) -> DataFrame:
@@ -121,29 +186,15 @@ def nearest_cards(names: DataFrame, cards: DataFrame, percent: int = EDIT_PERCEN
 
     Candidates come from equi joins, so only names that share something ever meet. Two texts within two edits of each
     other share a text that dropping up to two signs makes of both. A longer name is cut into one segment more than
-    its k edits: one of them is whole in each near card, and for some such segment i (from 0) there are i edits at most
+    its k edits, wherever the cards have them least often, so that a word of very many cards brings no candidates as long as the rest of the name leaves room
+    beside it. One segment is whole in each near card, and for some such segment i (from 0) there are i edits at most
     before it and k - i after it, which bounds its place from either end. Keys grow with the length, not its square.
     """
     if not 0 <= percent <= MOST_PERCENT:
         raise ValueError(f"percent {percent} is not within 0 to {MOST_PERCENT}")
-    # two edits are enough for every short name
-    short = min(SHORT_NAME, (100 * (LEAST_EDITS + 1) - 1) // max(percent, 1))
-    texts = names.select("candidate", match_text("candidate").alias("_name")).distinct().withColumn("_n", F.length("_name"))
-    named = texts.withColumn("_k", edits_allowed(F.col("_n"), percent)).withColumn("_name_id", F.xxhash64("candidate"))
-    carded = cards.select("card_name", match_text("card_name").alias("_card")).distinct().withColumn("_m", F.length("_card")).withColumn(
-        "_card_id", F.xxhash64("card_name"))
-
-    by_variant = named.where(F.col("_n") <= short).select("_name_id", F.explode(edit_variants("_name")).alias("_key")).join(
-        carded.where(F.col("_m") <= short + LEAST_EDITS).select("_card_id", F.explode(edit_variants("_card")).alias("_key")), "_key")
-    segments = named.where(F.col("_n") > short).select("_name_id", "_n", "_k", F.explode(_name_segments(F.col("_name"), percent)).alias("_s")).select(
-        "_name_id", "_n", "_k", F.col("_s.key").alias("_key"), F.col("_s.segment").alias("_i"), F.col("_s.place").alias("_at"))
-    stretches = carded.where(F.col("_m") > 0).select("_card_id", "_m", F.explode(_card_segments(F.col("_card"), percent, short)).alias("_s")).select(
-        "_card_id", "_m", F.col("_s.key").alias("_key"), F.col("_s.place").alias("_place"))
-    shift, longer = F.col("_place") - F.col("_at"), F.col("_m") - F.col("_n")
-    by_segment = segments.join(stretches, "_key").where(
-        (F.abs(longer) <= F.col("_k")) & (F.abs(shift) <= F.col("_i")) & (F.abs(shift - longer) <= F.col("_k") - F.col("_i")))
+    named, carded = texts_to_match(names, cards, percent)
+    pairs = candidate_pairs(named, carded, percent, short_names(percent))
     # ids are hashes: two texts under one id only make further candidates, which the distance then judges
-    pairs = by_variant.select("_name_id", "_card_id").unionByName(by_segment.select("_name_id", "_card_id")).distinct()
     met = pairs.join(named, "_name_id").join(carded, "_card_id")
     near = met.withColumn("_edits", F.expr("levenshtein(_name, _card, _k)")).where("_edits >= 0")
     ranked = near.groupBy("candidate", "_edits").agg(count_rows().alias("_cards"), F.min("card_name").alias("card_name"))

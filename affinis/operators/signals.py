@@ -45,10 +45,13 @@ def normal_metadata(normal: DataFrame, order: Sequence[str]) -> DataFrame:
 def classify_responses(index: DataFrame, metadata: DataFrame, responses: DataFrame, observed_at: Column) -> DataFrame:
     """One row per index record with its status and, for a good page, the counts.
 
-    `responses` holds entity_slug, http_status, transport_error and body, one row per entity.
+    `responses` holds entity_slug, http_status, transport_error and body. Of several responses of an entity the one with the least status stands for it,
+    one without a status last, then the least error and body.
     """
     asked = index.select(strip(F.coalesce("entity_slug", F.lit(""))).alias("entity_slug"))
-    joined = asked.join(metadata, "entity_slug", "left").join(responses, "entity_slug", "left")
+    place = F.struct(F.col("http_status").isNull().alias("none"), "http_status", "transport_error", "body")
+    one_each = responses.groupBy("entity_slug").agg(F.min(place).alias("_r")).select("entity_slug", "_r.http_status", "_r.transport_error", "_r.body")
+    joined = asked.join(metadata, "entity_slug", "left").join(one_each, "entity_slug", "left")
     read = joined.withColumn("_n", pl.page_count(F.try_parse_json("body")))
     n = F.col("_n")
     http = F.col("http_status")

@@ -8,7 +8,7 @@ from affinis.config import CLEAN_COLUMNS, PAIR_KEY
 from affinis.operators import checks, cleaning as cl
 from affinis.session import materialise
 from catalog.fixtures import DIRTY_ORDER, DIRTY_RAW_SQL, DIRTY_SQL, dirty, known_index
-from catalog.registry import joined, query
+from catalog.registry import joined, query, table
 
 RAW = "WITH " + DIRTY_RAW_SQL
 WITH = "WITH " + DIRTY_SQL
@@ -54,15 +54,19 @@ def clean_conflicts(spark, folder):
     return cl.in_key_order(cleaned(spark, folder).conflicts)
 
 
-# The same rows as two inputs, one of normal and one of signal rows, joined as one bag.
+def two_inputs(raw):
+    """The same rows as two inputs, one of normal and one of signal rows."""
+    signal = F.col("source_type") == "cedh_filtered_json"
+    return [("normal", raw.where(~signal), DIRTY_ORDER), ("signal", raw.where(signal), DIRTY_ORDER)]
+
+
+# Both inputs joined as one bag.
 @query("clean_keep_first", WITH + """
 SELECT entity_slug, tag_slug, source_type, total_n, tag_n, version_n AS versions,
        CASE WHEN source_type = 'cedh_filtered_json' THEN 'signal' ELSE 'normal' END AS input_source
 FROM versions WHERE version_no = 1""")
 def clean_keep_first(spark, folder):
-    raw = dirty(spark, folder)
-    signal = F.col("source_type") == "cedh_filtered_json"
-    bag = cl.union_inputs([("normal", raw.where(~signal), DIRTY_ORDER), ("signal", raw.where(signal), DIRTY_ORDER)])
+    bag = cl.union_inputs(two_inputs(dirty(spark, folder)))
     rows = cl.check_rows(bag, known_index(spark, folder)).where("reason_type IS NULL")
     distinct = rows.groupBy(*CLEAN_COLUMNS).agg(F.min_by(F.struct("input_source"), F.struct("input_rank", "input_row")).alias("_src"),
                                                 F.min(F.struct("input_rank", "input_row")).alias("_place"))
@@ -111,11 +115,16 @@ def validation_report(spark, folder):
     return cl.validation_report(result, index, seen=seen).withColumn("warnings", joined("warnings"))
 
 
+# Two inputs, and the status rows of a signal run: orders by status, those in process without one.
 @query("validation_counts", WITH + """
 SELECT 'source_type' AS kind, coalesce(source_type, '') AS value, count(*) AS row_count FROM checked GROUP BY ALL
-UNION ALL SELECT 'reason', coalesce(reason_type, ''), count(*) FROM checked GROUP BY ALL""")
+UNION ALL SELECT 'reason', coalesce(reason_type, ''), count(*) FROM checked GROUP BY ALL
+UNION ALL SELECT 'input', CASE WHEN source_type = 'cedh_filtered_json' THEN 'signal' ELSE 'normal' END, count(*) FROM checked GROUP BY ALL
+UNION ALL SELECT 'status', CASE WHEN o_orderstatus = 'P' THEN 'unknown' ELSE o_orderstatus END, count(*) FROM orders GROUP BY ALL""")
 def validation_counts(spark, folder):
-    return cl.validation_counts(checked(spark, folder))
+    bag = cl.union_inputs(two_inputs(dirty(spark, folder)))
+    status = table(spark, folder, "orders").select(F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("status_type"))
+    return cl.validation_counts(cl.check_rows(bag, known_index(spark, folder)), status)
 
 
 @query("analysis_input_violations", RAW + """

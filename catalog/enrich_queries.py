@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from affinis.functions.colors import color_label, colors_from_text
 from affinis.operators import enrich as en
+from affinis.operators.paging import with_position
 from affinis.session import materialise
 from affinis.sources.identities import first_identities
 from catalog.fixtures import PAIRS_SQL, pairs
@@ -77,7 +78,8 @@ exact AS (SELECT c.*, card_name AS exact_card FROM cand c LEFT JOIN cards ON low
 dist AS (SELECT candidate, card_name, levenshtein(trim(regexp_replace(lower(candidate), '[^a-z0-9]+', ' ', 'g')),
                                                   trim(regexp_replace(lower(card_name), '[^a-z0-9]+', ' ', 'g'))) AS d
          FROM (SELECT DISTINCT candidate FROM cand) JOIN cards ON true),
-near AS (SELECT candidate, any_value(card_name) AS near_card FROM dist q WHERE d <= 2 AND d = (SELECT min(d) FROM dist r WHERE r.candidate = q.candidate)
+near AS (SELECT candidate, any_value(card_name) AS near_card FROM dist q
+         WHERE d <= greatest(2, 15 * length(trim(regexp_replace(lower(candidate), '[^a-z0-9]+', ' ', 'g'))) // 100) AND d = (SELECT min(d) FROM dist r WHERE r.candidate = q.candidate)
          GROUP BY candidate HAVING count(*) = 1),
 rungs AS (SELECT *, CASE WHEN exact_card IS NOT NULL THEN CASE WHEN pos = 0 THEN 0 ELSE 1 END
                          WHEN near_card IS NOT NULL THEN CASE WHEN pos = 0 THEN 2 ELSE 3 END END AS rung
@@ -194,3 +196,32 @@ def card_columns(spark, folder):
     return rows.select(
         "card_name", F.array_join(en.ordered_colors("color_identity"), "").alias("colors"), color_label("color_identity").alias("label"),
         F.array_join(colors_from_text(as_text), "").alias("parsed"), en.card_image("image_uris", "card_faces").alias("image"))
+
+
+# Names of 20 to 60 signs: a card is three parts and a word that a third of the cards have; a name drops 3 signs and changes up to 3 others.
+LONG_SQL = """
+parts AS (SELECT row_number() OVER (ORDER BY p_name) AS i, p_name FROM (SELECT DISTINCT p_name FROM part)),
+cards AS (SELECT a.i, a.p_name || CASE WHEN a.i % 3 = 0 THEN ' confederation' ELSE ' ' || a.i END || ' of ' || b.p_name AS card_name FROM parts a JOIN parts b ON b.i = a.i % 97 + 1),
+names AS (
+  SELECT i, CASE i % 4 WHEN 0 THEN c ELSE substr(c, 1, 4) || CASE i % 4 WHEN 1 THEN '' ELSE '0' END || substr(c, 6, 4) || CASE i % 4 WHEN 3 THEN '0' ELSE '' END || substr(c, 11) END AS candidate
+  FROM (SELECT i, substr(card_name, 1, length(card_name) - 3) AS c FROM cards)),
+dist AS (SELECT n.i, candidate, card_name, levenshtein(lower(candidate), lower(card_name)) AS d FROM names n JOIN cards ON abs(length(candidate) - length(card_name)) <= 9),
+near AS (SELECT candidate, card_name, d, min(d) OVER (PARTITION BY candidate) AS least FROM (SELECT DISTINCT candidate, card_name, d FROM dist) WHERE d <= greatest(2, 15 * length(candidate) // 100))
+"""
+
+
+@query("long_name_match", "WITH " + LONG_SQL + """
+SELECT candidate, any_value(card_name) AS card_name, any_value(d)::BIGINT AS edits FROM near WHERE d = least GROUP BY candidate HAVING count(*) = 1""")
+def long_name_match(spark, folder):
+    """The nearest card of every long name, with its distance."""
+    distinct = table(spark, folder, "part").select("p_name").distinct()
+    numbered = with_position(distinct, [F.col("p_name")], "i").withColumn("i", F.col("i") + 1)
+    other = numbered.select((F.col("i") - 1).alias("j"), F.col("p_name").alias("b_name"))
+    word = F.when(F.col("i") % 3 == 0, F.lit(" confederation")).otherwise(F.concat(F.lit(" "), F.col("i").cast("string")))
+    cards = materialise(numbered.withColumn("j", F.col("i") % 97).join(other, "j").select("i", F.concat("p_name", word, F.lit(" of "), "b_name").alias("card_name")))
+    c, kind = F.expr("substring(card_name, 1, length(card_name) - 3)"), F.col("i") % 4
+    zero = lambda on: F.when(on, F.lit("0")).otherwise(F.lit(""))
+    cut = F.concat(F.substring(c, 1, 4), zero(kind > 1), F.substring(c, 6, 4), zero(kind == 3), F.substring(c, 11, 1000))
+    names = cards.select(F.when(kind == 0, c).otherwise(cut).alias("candidate")).distinct()
+    found = en.nearest_cards(names, cards.select("card_name"))
+    return found.withColumn("edits", F.levenshtein(en.match_text("candidate"), en.match_text("card_name")).cast("bigint"))

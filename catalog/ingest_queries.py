@@ -200,16 +200,21 @@ def resume_pending(spark, folder):
     return dc.pending(index, done)
 
 
+# Entities of overdrawn suppliers, and those that an earlier run has a status of (every fifth), are done and are not attempted again.
 @query("signal_summary", SIGNAL_SQL + """
-SELECT count(*) AS total_records_in_index, (SELECT count(DISTINCT entity_slug) FROM outcome WHERE entity_slug IN (SELECT 's' || s_suppkey FROM supplier WHERE s_acctbal < 0)) AS skipped_count, count(*) FILTER (WHERE entity_slug <> '') AS attempted_count,
+, done AS (SELECT 's' || s_suppkey AS entity_slug FROM supplier WHERE s_acctbal < 0 OR s_suppkey % 5 = 0),
+todo AS (SELECT * FROM outcome WHERE entity_slug NOT IN (SELECT entity_slug FROM done))
+SELECT (SELECT count(*) FROM outcome) AS total_records_in_index, (SELECT count(*) FROM outcome WHERE entity_slug IN (SELECT entity_slug FROM done)) AS skipped_count,
+  count(*) FILTER (WHERE entity_slug <> '') AS attempted_count,
   count(*) FILTER (WHERE status_type = 'cedh_row_written') AS signal_row_count,
   count(*) FILTER (WHERE status_type IN ('no_cedh_route', 'no_cedh_decks')) AS no_signal_count,
   count(*) FILTER (WHERE status_type = 'missing_normal_metadata') AS missing_metadata_count,
-  count(*) FILTER (WHERE status_type IN ('invalid_commander_index_record', 'http_error', 'request_error', 'parse_error')) AS error_count FROM outcome""")
+  count(*) FILTER (WHERE status_type IN ('invalid_commander_index_record', 'http_error', 'request_error', 'parse_error')) AS error_count FROM todo""")
 def signal_summary(spark, folder):
     index, normal, responses = signal_inputs(spark, folder)
-    result = sg.classify_responses(index, sg.normal_metadata(normal, ["tag_slug"]), responses, F.lit(OBSERVED))
-    done = table(spark, folder, "supplier").where("s_acctbal < 0").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("entity_slug"))
+    supplier = table(spark, folder, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("entity_slug"), "s_acctbal", "s_suppkey")
+    done = dc.done_slugs(supplier.where("s_acctbal < 0"), supplier.where("s_suppkey % 5 = 0"))
+    result = sg.classify_responses(dc.pending(index, done), sg.normal_metadata(normal, ["tag_slug"]), responses, F.lit(OBSERVED))
     return sg.signal_summary(index, done, result)
 
 

@@ -116,21 +116,17 @@ def stored_shard_check(spark, folder):
 
 
 @query("shard_files", "WITH " + PAIRS_SQL + """
-SELECT 'tags/shard=' || tag_slug AS file, entity_slug, tag_n, row_number() OVER (PARTITION BY tag_slug ORDER BY tag_n DESC, entity_slug) - 1 AS place
-FROM pairs WHERE tag_slug IN (SELECT tag_slug FROM pairs GROUP BY tag_slug ORDER BY count(*) DESC, tag_slug LIMIT 3)""")
+SELECT 'tags/shard=' || tag_slug AS file, entity_slug, tag_n, row_number() OVER (PARTITION BY tag_slug ORDER BY tag_n DESC, entity_slug) - 1 AS place FROM pairs""")
 def shard_files(spark, folder):
-    """The files of the three largest tags, read by the names an index gives them, with each row's place in its shard."""
+    """The files of all tags, read in one scan and held against the names an index gives them, with each row's place in its shard."""
     out = folder_of(spark)
     rows = materialise(pairs(spark, folder))
     order = [F.col("tag_n").desc(), F.col("entity_slug")]
     sh.write_shards(sh.sharded(rows, "tag_slug"), f"{out}/tags", order)
-    largest = rows.groupBy("tag_slug").count().orderBy(F.col("count").desc(), "tag_slug").limit(3)
-    result = None
-    for entry in largest.select(F.concat(F.lit("tags/shard="), "tag_slug").alias("file")).collect():
-        one = rd.with_file_order(sh.read_shards(spark, f"{out}/{entry['file']}", "entity_slug string, tag_n bigint")).withColumn("file", F.lit(entry["file"]))
-        result = one if result is None else result.unionAll(one)
+    index = rows.select(F.concat(F.lit("tags/shard="), "tag_slug").alias("file")).distinct()
+    read = rd.with_file_order(sh.read_shards(spark, f"{out}/tags", "entity_slug string, tag_n bigint")).withColumn("file", F.concat(F.lit("tags/shard="), "shard"))
     place = F.row_number().over(Window.partitionBy("file").orderBy("ordinal")).cast("bigint") - 1
-    return result.select("file", "entity_slug", "tag_n", place.alias("place"))
+    return read.withColumn("place", place).join(index, "file").select("file", "entity_slug", "tag_n", "place")
 
 
 @query("copy_modes", "WITH " + PAIRS_SQL + """

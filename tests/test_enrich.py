@@ -1,5 +1,8 @@
+import itertools
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from affinis.functions.colors import color_label, colors_from_text, loose_colors, ordered_colors
@@ -70,6 +73,36 @@ def test_edits_grow_with_the_length_of_a_name(spark):
             assert edits >= {3, 4, 5, 6}
 
 
+def test_a_common_word_brings_no_candidates(spark):
+    """One word in a third of all cards: candidates of a name stay as few when the cards are many times as many."""
+    rnd = random.Random(11)
+    word = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    per_name = []
+    for size in (3_000, 24_000):
+        cards = [word(9) + (" dragon " if i % 3 == 0 else " " + word(6) + " ") + word(11) for i in range(size)]
+        names = [changed(rnd, c, 3) for c in cards[: size // 10]]
+        named, carded = en.texts_to_match(*(spark.createDataFrame([(x,) for x in xs], f"{c} string") for xs, c in ((names, "candidate"), (cards, "card_name"))), 15)
+        pairs = en.candidate_pairs(named, carded, 15, en.short_names(15))
+        found = pairs.join(named, "_name_id").join(carded, "_card_id").where("levenshtein(_name, _card, _k) >= 0").count()
+        assert found >= 0.95 * len(set(names))
+        per_name.append(pairs.count() / len(names))
+    assert per_name[1] < 2.5 * per_name[0] and per_name[1] < 20
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rarest_places(spark, seed):
+    rnd = random.Random(seed)
+    cases = []
+    for _ in range(30):
+        n, q = rnd.randint(4, 14), rnd.randint(1, 3)
+        count = rnd.randint(1, n // q)
+        cases.append(([rnd.randrange(4) for _ in range(n - q + 1)], n, q, count))
+    df = spark.createDataFrame(cases, "costs array<bigint>, n int, q int, count int")
+    for r in df.withColumn("at", en.rarest_places(F.col("costs"), F.col("n"), F.col("q"), F.col("count"))).collect():
+        ways = [w for w in itertools.combinations(range(r["n"] - r["q"] + 1), r["count"]) if all(b - a >= r["q"] for a, b in zip(w, w[1:]))]
+        assert tuple(r["at"]) == min((sum(r["costs"][p] for p in w), w) for w in ways)[1]
+
+
 def test_long_names_of_one_sign_and_ties(spark):
     long = "".join(random.Random(6).choice("abcdefgh") for _ in range(1000))
     cards = ["x" * 30, "x" * 40, long, "y" * 20 + "a" * 9 + "b", "y" * 20 + "a" * 9 + "c"]

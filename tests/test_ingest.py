@@ -96,7 +96,8 @@ def test_signal_outcomes(spark):
         "ok": (200, None, count(7)), "zero": (200, None, count(0)), "above": (200, None, count(101)), "lost": (404, None, None),
         "down": (500, None, None), "cut": (None, "timeout", None), "junk": (200, None, "<html>"), "nototal": (200, None, count(1)), "old": (200, None, '{"num_decks_avg": "5"}'),
     }
-    responses = spark.createDataFrame([(s, *v) for s, v in cases.items()], "entity_slug string, http_status int, transport_error string, body string")
+    again = [("ok", 500, None, None), ("ok", None, "timeout", None), ("lost", 500, None, None), ("down", 503, None, count(1)), ("cut", None, "timeout", None)]
+    responses = spark.createDataFrame([(s, *v) for s, v in cases.items()] + again, "entity_slug string, http_status int, transport_error string, body string")
     index = spark.createDataFrame([(s,) for s in [*cases, " ", "stranger"]], "entity_slug string")
     normal = spark.createDataFrame([(s, f"Name {s}" if s != "old" else " ", "0" if s == "nototal" else "100", 1) for s in cases] + [("ok", "Later", "5", 2)],
                                    "entity_slug string, entity_name string, total_n string, row int")
