@@ -33,6 +33,8 @@ from affinis.session import materialise
 LENGTH, GRAM, PART = 50, 24, 32
 #: Names that one task sorts at a time, about, and names settled together before they are dealt.
 BUCKET, SETTLED = 1_000_000, 1_000_000
+#: Buckets of names for each slice of documents, at most, when there are more than shuffle partitions.
+SLICES = 8
 #: Bytes of text handled at once.
 CHARS = 500_000
 
@@ -139,6 +141,24 @@ DEALT = "bucket int, kind tinyint, " + ", ".join(f"{c} binary" for c in COLUMNS)
 RUNS = "open boolean, doc long, tag long, starts binary, sizes binary"
 
 
+SLICED = "open boolean, slice int, doc binary, tag binary, start binary, size binary"
+
+
+def sliced(runs: dict[str, np.ndarray], open_: bool, slices: int) -> pa.Table:
+    """A row for each slice of documents: the runs of all its documents, packed. A bucket knows a little of very many documents, so it gives no row for each."""
+    runs = joined(runs)
+    part = ((mixed(runs["doc"].view(np.uint64)) >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(part, kind="stable")  # within a slice still by document, tag and start
+    part = part[order]
+    at = np.flatnonzero(np.diff(part, prepend=-1))
+    cut = list(zip(at.tolist(), [*at[1:].tolist(), len(part)]))
+    columns = {}
+    for c, t in (("doc", "<i8"), ("tag", "<u4"), ("start", "<u4"), ("size", "<u4")):
+        values = runs[c][order].astype(t)
+        columns[c] = packed([(np.diff(values[i:j], prepend=values.dtype.type(0)) if c in STEPWISE else values[i:j]).tobytes() for i, j in cut])
+    return pa.table({"open": pa.array(np.full(len(at), open_)), "slice": pa.array(part[at], pa.int32()), **columns})
+
+
 def by_document(runs: dict[str, np.ndarray], open_: bool) -> pa.Table:
     """A row for each document: starts and sizes of its runs, packed."""
     runs = joined(runs)
@@ -162,13 +182,26 @@ def unpacked(table: pa.Table, kind: int) -> dict[str, np.ndarray]:
     return out
 
 
-def sort_names(slices: DataFrame, groups: bool) -> DataFrame:
-    """(open, doc, tag, starts, sizes) from dealt() rows: runs of windows that are repeats and, with `groups`, the blocks of the smallest
+def gathered(table: pa.Table) -> pa.Table:
+    """sliced() rows of one slice, from all buckets, by document."""
+    out = []
+    for open_ in (False, True):
+        part = table.filter(pc.equal(table["open"], open_))
+        runs = {}
+        for c, t in (("doc", "<i8"), ("tag", "<u4"), ("start", "<u4"), ("size", "<u4")):
+            found = [np.frombuffer(x, dtype=t) for x in part[c].to_pylist()]
+            runs[c] = np.concatenate([np.cumsum(x, dtype=t) for x in found] if c in STEPWISE else found).astype(np.int64) if found else np.zeros(0, dtype=np.int64)
+        out.append(by_document(runs, open_))
+    return pa.concat_tables(out)
+
+
+def sort_names(names: DataFrame, groups: bool, slices: int) -> DataFrame:
+    """(open, doc, tag, starts, sizes) from dealt() rows, one row for each document and kind: runs of windows that are repeats and, with `groups`, the blocks of the smallest
     documents whose anchor is also that of another block and document. Kind 0 are names, kind 1 repeats found before."""
     def sort(table: pa.Table) -> pa.Table:
         left, repeats = settled(unpacked(table, 0))
         before = unpacked(table, 1)
-        found = [by_document({c: np.concatenate([repeats[c].astype(np.int64), before[c].astype(np.int64)]) for c in ("doc", "tag", "start", "size")}, False)]
+        found = [sliced({c: np.concatenate([repeats[c].astype(np.int64), before[c].astype(np.int64)]) for c in ("doc", "tag", "start", "size")}, False, slices)]
         if groups:
             order = np.argsort(left["kin"], kind="stable")
             left = {c: v[order] for c, v in left.items()}
@@ -176,10 +209,10 @@ def sort_names(slices: DataFrame, groups: bool) -> DataFrame:
                 at = np.flatnonzero(np.concatenate([[True], left["kin"][1:] != left["kin"][:-1]]))
                 number = np.repeat(np.arange(len(at)), np.diff(at, append=len(order)))
                 several = (np.minimum.reduceat(left["name"], at) != np.maximum.reduceat(left["name"], at)) & (np.minimum.reduceat(left["doc"], at) != np.maximum.reduceat(left["doc"], at))
-                found.append(by_document({c: v[several[number]].astype(np.int64) for c, v in left.items()}, True))
+                found.append(sliced({c: v[several[number]].astype(np.int64) for c, v in left.items()}, True, slices))
         return pa.concat_tables(found)
 
-    return slices.groupBy("bucket").applyInArrow(sort, RUNS)
+    return names.groupBy("bucket").applyInArrow(sort, SLICED).groupBy("slice").applyInArrow(gathered, RUNS)
 
 
 def settled_slices(found: Iterator[dict[str, np.ndarray]], buckets: int, key: str) -> Iterator[pa.RecordBatch]:
@@ -237,7 +270,7 @@ def named_windows(rows: DataFrame, buckets: int) -> DataFrame:
 
 
 def of_documents(runs: DataFrame) -> DataFrame:
-    """A row for each document with lists of packed starts and sizes. As many entries as there were buckets for it."""
+    """A row for each document with lists of packed starts and sizes, an entry from each of the sorts at most."""
     return runs.groupBy("doc", "tag").agg(F.collect_list(F.struct("starts", "sizes")).alias("runs")).select("doc", "tag", F.col("runs.starts").alias("starts"), F.col("runs.sizes").alias("sizes"))
 
 
@@ -251,12 +284,14 @@ def repeats(docs: DataFrame) -> DataFrame:
     checksum of the text, which tells rows of one id apart."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    first = materialise(sort_names(named_blocks(docs, max(partitions, size // 18 // BUCKET)), True))
+    buckets = max(partitions, size // 18 // BUCKET)
+    first = materialise(sort_names(named_blocks(docs, buckets), True, max(partitions, buckets // SLICES)))
     asked = materialise(of_documents(first.where("open")))
     windows = first.where("open").agg(F.sum(F.octet_length("starts"))).first()[0] or 0
     texts = bloom.possible(docs, "doc_id", sieve_of(asked), "maybe").where("maybe").select(F.col("doc_id").alias("doc"), "text")
     texts = texts.join(asked, "doc").where(F.crc32("text") == F.col("tag")).select("doc", "tag", "text", "starts", "sizes")
-    second = materialise(sort_names(named_windows(texts, max(partitions, windows * 5 // BUCKET)), False))
+    buckets = max(partitions, windows * 5 // BUCKET)
+    second = materialise(sort_names(named_windows(texts, buckets), False, max(partitions, buckets // SLICES)))
     return first.where("NOT open").union(second).select("doc", "tag", "starts", "sizes")
 
 
