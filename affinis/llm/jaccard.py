@@ -19,7 +19,6 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
@@ -42,22 +41,63 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection that spreads every bit over all others."""
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+    x = x ^ (x >> np.uint64(32))
+    for _ in range(2):
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+    return x
+
+
+_BASE = 0xD6E8FEB86659FD93
+#: A number for each byte, the same for both cases of A-Z; spaces count nothing.
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LETTERS = mixed(np.arange(1, 257, dtype=np.uint64) * _ODD[0])
+_LETTERS[65:91] = _LETTERS[97:123]
+_LETTERS[_SPACE] = 0
+
+
+@cache
+def _powers(upto: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, for texts of fewer than `upto` bytes."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(upto, base, dtype=np.uint64)
+        steps[0] = 1
+        out.append(np.multiply.accumulate(steps))
+    return tuple(out)
+
+
+def words(text: str) -> np.ndarray:
+    """A 64-bit hash of each word of a text, from sums over its bytes: no word is cut out."""
+    data = np.frombuffer(text.encode(), dtype=np.uint8)
+    letters = _LETTERS.take(data)
+    inside = np.zeros(len(data) + 1, dtype=bool)
+    np.not_equal(letters, 0, out=inside[1:])
+    start = np.flatnonzero(inside[1:] > inside[:-1])
+    if not len(start):
+        return np.zeros(0, dtype=np.uint64)
+    size = 1 << 16 if len(data) < 1 << 16 else 1 << len(data).bit_length()
+    powers, inverse = _powers(size) if size <= 1 << 20 else _powers.__wrapped__(size)  # tables for very long texts are not kept
+    letters *= powers[: len(data)]
+    w = np.add.reduceat(letters, start) * inverse.take(start)  # up to the next word; spaces count nothing
+    w ^= w >> np.uint64(32)
+    w *= _ODD[3]
+    return w ^ (w >> np.uint64(32))
 
 
 def shingles(text: str) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the runs of five words of a text; of fewer words, one for all; of none, none."""
-    words = text.encode().lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    w = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+    w = words(text)
+    if not len(w):
+        return w
     n = min(len(w), WORDS)
     total = np.full(len(w) - n + 1, n, dtype=np.uint64)
     for j in range(n):
-        total += mixed(w[j:len(w) - n + 1 + j] + _ODD[j]) * _ODD[j]
-    return np.unique(mixed(total))
+        total += w[j:len(w) - n + 1 + j] * _ODD[j]
+    total = np.sort(mixed(total))
+    new = np.ones(len(total), dtype=bool)
+    np.not_equal(total[1:], total[:-1], out=new[1:])
+    return total[new]
 
 
 def set_id(s: np.ndarray) -> int:
