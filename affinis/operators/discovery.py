@@ -74,19 +74,22 @@ def first_entities(index: DataFrame, limit: int | None, order: Sequence[str]) ->
     return index if limit is None else index.orderBy(*order).limit(limit)
 
 
-def ingest_summary(index: DataFrame, done: DataFrame, parsed: DataFrame) -> DataFrame:
-    """One row of figures on a tag ingest run over the pages of the pending entities."""
-    rows = F.coalesce(F.sum(F.when(F.col("error_type").isNull(), F.size("tags"))), F.lit(0))
-    return report([
+def parsed_figures() -> dict[str, Column]:
+    """Figures of read pages."""
+    good = F.col("error_type").isNull()
+    return {"attempted_count": count_rows(), "successful_count": F.count_if(good), "failed_count": F.count_if(~good),
+            "new_tag_row_count": F.coalesce(F.sum(F.when(good, F.size("tags"))), F.lit(0))}
+
+
+def ingest_summary(index: DataFrame, done: DataFrame, parsed: DataFrame, seen: dict[str, int] | None = None) -> DataFrame:
+    """One row of figures on a tag ingest run over the pages of the pending entities. `seen` has those of the pages if they were taken while the pages were stored."""
+    parts = [
         (index, {"total_records_in_index": count_rows()}),
         (index.join(done, "entity_slug", "left_semi"), {"skipped_count": count_rows()}),
-        (parsed, {
-            "attempted_count": count_rows(),
-            "successful_count": F.count_if(F.col("error_type").isNull()),
-            "failed_count": F.count_if(F.col("error_type").isNotNull()),
-            "new_tag_row_count": rows,
-        }),
-    ])
+    ]
+    if seen is None:
+        return report([*parts, (parsed, parsed_figures())])
+    return report(parts).select("*", *[F.lit(seen[n]).cast("bigint").alias(n) for n in parsed_figures()])
 
 
 def require_tag_rows(summary: DataFrame, earlier_rows: int = 0) -> None:

@@ -2,9 +2,23 @@
 
 from __future__ import annotations
 
+import datetime
+import re
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 
+def is_before(name: str, current: str) -> bool:
+    """Whether a snapshot is dated and older than the current one; when the current name is no date, any dated one but it counts as older."""
+    def dated(text: str) -> bool:
+        try:
+            return bool(re.fullmatch(r"[0-9]{4}-[0-9]{2}-[0-9]{2}", text)) and bool(datetime.date.fromisoformat(text))
+        except ValueError:
+            return False
+
+    return dated(name) and name != current and (not dated(current) or name < current)
+
+
 def snapshot_dates(sizes: DataFrame, name: str = "snapshot_date") -> DataFrame:
     """Sizes with the snapshot name read as a date; names that are no date drop out."""
     day = F.col(name).cast("string")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from affinis.config import PAIR_KEY
 from affinis.functions.numbers import finite_number, ratio
@@ -58,28 +58,45 @@ def trends(current: DataFrame, previous: DataFrame | None, current_name: str, pr
         return first_run(cur, current_name)
     prev = comparison_columns(snapshot_rows(previous, "previous snapshot", check))
     both = _marked(cur, "current").join(_marked(prev, "previous"), list(PAIR_KEY), "full_outer")
-
-    def side(column: str, name: str):
-        full = f"{column}_{name}"
-        return F.col(full) if full in both.columns else F.lit(None).cast("double")
-
     identity = [
         F.coalesce(*[F.col(f"{c}_{s}") for s in ("current", "previous") if f"{c}_{s}" in both.columns]).alias(c)
         for c in IDENTITY if c not in PAIR_KEY and (c in cur.columns or c in prev.columns)
     ]
-    status = (F.when(F.col("_in_previous").isNull(), NEW).when(F.col("_in_current").isNull(), REMOVED).otherwise(EXISTING))
+    return both.select(*PAIR_KEY, *identity, *_compared(both.columns, current_name, previous_name))
+
+
+def _compared(columns: Sequence[str], current_name: str, previous_name: str | None) -> list[Column]:
+    """Trend columns of a joined row of two snapshots."""
+    def side(column: str, name: str) -> Column:
+        full = f"{column}_{name}"
+        return F.col(full) if full in columns else F.lit(None).cast("double")
+
+    status = F.when(F.col("_in_previous").isNull(), NEW).when(F.col("_in_current").isNull(), REMOVED).otherwise(EXISTING)
     values = []
     for source, name in METRICS.items():
         now, before = side(source, "current"), side(source, "previous")
         change = before - now if name == "rank_within_tag_by_z" else now - before
         values += [now.alias(f"{name}_current"), before.alias(f"{name}_previous"), change.alias(f"{name}_delta")]
-    changes = [ratio(side(c, "current") - side(c, "previous"), side(c, "previous")).alias(f"{c}_pct_change")
-               for c in COUNT_METRICS]
-    return both.select(
-        *PAIR_KEY, *identity,
-        F.lit(current_name).alias("current_snapshot"), F.lit(previous_name).alias("previous_snapshot"),
-        status.alias("snapshot_status"), *values, *changes,
-    ).withColumn("rank_delta", F.col("rank_within_tag_by_z_delta"))
+    changes = [ratio(side(c, "current") - side(c, "previous"), side(c, "previous")).alias(f"{c}_pct_change") for c in COUNT_METRICS]
+    ranks = side("rank_within_tag_by_z", "previous") - side("rank_within_tag_by_z", "current")
+    return [F.lit(current_name).alias("current_snapshot"), F.lit(previous_name).alias("previous_snapshot"), status.alias("snapshot_status"),
+            *values, *changes, ranks.alias("rank_delta")]
+
+
+def attach_previous(current: DataFrame, previous: DataFrame | None, current_name: str, previous_name: str | None, check: bool = True) -> DataFrame:
+    """attach_trends() without trend rows in between: current rows and their trend columns from one left join with the previous snapshot. Where both
+    are dealt by pair key (see sources/snapshots.py), nothing is shuffled."""
+    current = snapshot_rows(current, "current snapshot", check)
+    cur = comparison_columns(current)
+    if previous is None:
+        return attach_trends(current, first_run(cur, current_name))
+    prev = _marked(comparison_columns(snapshot_rows(previous, "previous snapshot", check)), "previous")
+    texts = {f.name for f in current.schema.fields if f.dataType.typeName() == "string"}
+    metrics = [finite_number(c).alias(f"{c}_current") if c in texts else F.col(c).alias(f"{c}_current") for c in cur.columns if c in METRICS]
+    marked = current.select(*PAIR_KEY, F.struct(*[c for c in current.columns if c not in PAIR_KEY]).alias("_row"), *metrics, F.lit(True).alias("_in_current"))
+    both = marked.join(prev, list(PAIR_KEY), "left")
+    kept = [F.col(c) if c in PAIR_KEY else F.col("_row")[c].alias(c) for c in current.columns]
+    return both.select(*kept, *_compared(both.columns, current_name, previous_name))
 
 
 def _marked(df: DataFrame, name: str) -> DataFrame:

@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from affinis.config import AffinityConfig, PAIR_KEY
-from affinis.operators import affinity as af, aliases as al, cleaning as cl, enrich as en, explore as ex
+from affinis.operators import affinity as af, aliases as al, cleaning as cl, discovery as dc, enrich as en, explore as ex
 from affinis.operators import groups as gr, paging as pg, snapshots as sn, tiers as ti, trends as tr
-from affinis.session import materialise, scratch
-from affinis.sinks import records as rc, shards as sh
-from affinis.sources import snapshots as ss
+from affinis.session import materialise, scratch, stored
+from affinis.sinks import batches as bt, records as rc, shards as sh
+from affinis.sources import documents as dm, snapshots as ss
 
 # Columns of an entity in the published entity index.
 ENTITY_INDEX_COLUMNS = (
@@ -21,6 +21,10 @@ ENTITY_INDEX_COLUMNS = (
 )
 
 
+# Columns of a tag row as it is ingested.
+INGEST_SCHEMA = "entity_name string, entity_slug string, total_n bigint, tag_name string, tag_slug string, tag_n bigint, source_type string, observed_at string"
+
+
 def _save(tables: dict[str, DataFrame], root: str) -> None:
     for name, df in tables.items():
         rc.write_records(df, f"{root}/{name}", layout="parquet")
@@ -41,6 +45,26 @@ def run_cleaning(index: DataFrame, inputs: Sequence[tuple[str, DataFrame, Sequen
     return spark.read.parquet(f"{root}/validation_report")
 
 
+def run_ingest(index: DataFrame, pages: DataFrame, root: str, batch: str, observed_at: Column, url: Column, earlier_rows: int = 0) -> DataFrame:
+    """Read the landed pages (entity_slug, body) of the entities that have no result yet and add their rows and failures as a batch. Gives the summary.
+
+    The run may be repeated under its name: what it has committed is not added again. A non-empty index that has brought no row, in this run,
+    in earlier batches or in `earlier_rows`, is an error after all has been written.
+    """
+    spark = index.sparkSession
+    rows_path, failures_path = f"{root}/tag_rows", f"{root}/scrape_failures"
+    done = dc.done_slugs(bt.read_batches(spark, rows_path, INGEST_SCHEMA))
+    before = bt.committed_rows(spark, rows_path)
+    with scratch(spark):
+        parsed, seen = stored(dm.read_payloads(pages.join(dc.pending(index, done).select("entity_slug").distinct(), "entity_slug", "left_semi")), dc.parsed_figures())
+        summary = dc.ingest_summary(index, done, parsed, seen)
+        report = spark.createDataFrame(summary.collect(), summary.schema)  # one row, as it was before the rows are added
+        bt.append_batch(dm.payload_rows(parsed, observed_at).drop("tag_no"), rows_path, batch)
+        bt.append_batch(dm.payload_failures(parsed, url, observed_at), failures_path, batch)
+    dc.require_tag_rows(report, before + earlier_rows)
+    return report
+
+
 def run_analysis(clean: DataFrame, root: str, config: AffinityConfig = AffinityConfig()) -> DataFrame:
     """Score clean rows and write affinity rows, rankings, leaderboard, tag summary and run summary."""
     _save({"affinity_rows": af.analyse(clean, config)}, root)
@@ -52,14 +76,29 @@ def run_analysis(clean: DataFrame, root: str, config: AffinityConfig = AffinityC
     return affinity
 
 
-def run_trends(spark: SparkSession, snapshots: str, current: str, root: str) -> DataFrame:
-    """Compare a snapshot with the latest older one, if there is any, and write three tables."""
-    found = sn.previous_snapshot(ss.snapshot_sizes(spark, snapshots), current).first()["previous_snapshot"]
-    now = ss.read_snapshot(spark, snapshots, current)
-    before = ss.read_snapshot(spark, snapshots, found) if found else None
-    _save({"trend_rows": tr.trends(now, before, current, found, check=False)}, root)
+def run_trends(spark: SparkSession, snapshots: str, current: str, root: str, by_pair: str | None = None) -> DataFrame:
+    """Compare a snapshot with the latest older one that has rows, if there is any, and write three tables.
+
+    Which one that is comes from the names of the snapshots; only it is opened. With `by_pair`, both snapshots are kept there in buckets by pair key,
+    written when they are first used; comparing them, and every later comparison with one of them, shuffles neither.
+    """
+    older = sorted((n for n in ss.snapshot_names(spark, snapshots) if sn.is_before(n, current)), reverse=True)
+    found = next((n for n in older if not ss.read_snapshot(spark, snapshots, n, check=False).isEmpty()), None)
+
+    def rows_of(name: str) -> DataFrame:
+        rows = ss.read_snapshot(spark, snapshots, name)
+        if by_pair is None:
+            return rows
+        if name == current or name not in ss.by_pair_names(spark, by_pair):  # the current one may have been written anew
+            ss.store_by_pair(rows, by_pair, name)
+        return ss.open_by_pair(spark, by_pair, name)
+
+    now = rows_of(current)
+    before = rows_of(found) if found else None
+    _save({"trend_rows": tr.trends(now, before, current, found, check=False),
+           "affinity_rows_with_trends": tr.attach_previous(now, before, current, found, check=False)}, root)
     rows = spark.read.parquet(f"{root}/trend_rows")
-    _save({"affinity_rows_with_trends": tr.attach_trends(now, rows), "trend_summary": tr.trend_summary(rows, now, before)}, root)
+    _save({"trend_summary": tr.trend_summary(rows, now, before)}, root)
     return rows
 
 
@@ -69,16 +108,26 @@ def replace_empty_snapshot(spark: SparkSession, snapshots: str, current: str, ta
 
     `tables` are folders under `snapshots`, the first of which tells whether a snapshot is empty; without any, `snapshots` is the table.
     `reports` (snapshot_date, clean_tag_row_count as text) go before counted rows. With reports, a snapshot that neither a report nor a
-    table knows is an error; having none to fall back on always is. Rows are stored before they are written to the same table.
+    table knows is an error; having none to fall back on always is. Rows are stored before they are written to the same table. Snapshots are looked
+    at from the newest on, until one has rows.
     """
     paths = [f"{snapshots}/{t}" for t in tables] or [snapshots]
-    sizes = ss.snapshot_sizes(spark, paths[0])
-    if reports is not None:
-        sizes = sn.sized_by_reports(sizes, reports)
-        if sizes.where(F.col("snapshot_date") == current).isEmpty():
-            raise FileNotFoundError(f"there is no snapshot {current}")
-    report = spark.createDataFrame(sn.fallback_report(sizes, current).collect(), sn.fallback_report(sizes, current).schema)  # one row, as it was before the change
-    got = report.first()
+    stored = ss.snapshot_names(spark, paths[0])
+    told = {} if reports is None else {r[0]: r[1] for r in reports.select("snapshot_date", sn.reported_size(F.col("clean_tag_row_count"), F.lit(None).cast("bigint"))).collect()}
+    if reports is not None and current not in stored and told.get(current) is None:
+        raise FileNotFoundError(f"there is no snapshot {current}")
+
+    def size(name: str) -> int:
+        return told[name] if told.get(name) is not None else ss.snapshot_size(spark, paths[0], name) if name in stored else 0
+
+    sizes = [(current, size(current))]
+    for name in sorted((n for n in {*stored, *told} if sn.is_before(n, current)), reverse=True) if sizes[0][1] == 0 else ():
+        sizes.append((name, size(name)))
+        if sizes[-1][1]:
+            break
+    made = sn.fallback_report(spark.createDataFrame(sizes, "snapshot_date string, row_count bigint"), current)
+    got = made.first()
+    report = spark.createDataFrame([got], made.schema)  # one row, as it was before the change
     if got["current_row_count"] == 0:
         if not got["fallback_used"]:
             raise RuntimeError(f"snapshot {current} is empty and no older snapshot holds rows")
@@ -143,6 +192,10 @@ def run_publish(rows: DataFrame, summary: DataFrame | None, root: str, config: A
         stored = reduce(DataFrame.unionAll, [
             sh.stored_sizes(spark, f"{root}/{family}", family, layout=layout) if rows_of.take(1) else wanted.limit(0) for rows_of, _, family in families
         ] + [sh.stored_sizes(spark, f"{root}/leaderboard", "leaderboard", shard="page", layout=layout) if paged.take(1) else wanted.limit(0)])
+        if layout == "clustered":
+            _save({"shard_files": reduce(DataFrame.unionAll, [
+                sh.file_index(spark, f"{root}/{family}", shard=shard).select(F.lit(family).alias("family"), "shard", "file", "row_count")
+                for family, shard in [*((f, "shard") for _, _, f in families), ("leaderboard", "page")] if rc.exists(spark, f"{root}/{family}/_SUCCESS")])}, root)
         _save({"shard_faults": sh.differing_shards(wanted.unionByName(page_sizes), stored)}, root)
         faults = spark.read.parquet(f"{root}/shard_faults")
         if not faults.isEmpty():

@@ -74,6 +74,22 @@ def stored_sizes(spark: SparkSession, path: str, family: str, *, shard: str = "s
     return stored.groupBy(F.col(shard).cast("string").alias("shard")).agg(count_rows().alias("row_count")).select(F.lit(family).alias("family"), "shard", "row_count")
 
 
+def file_index(spark: SparkSession, path: str, *, shard: str = "shard") -> DataFrame:
+    """(shard, file, row_count) of a family in the clustered layout: the files that hold rows of each shard, so that one can be read without opening the others."""
+    kind = "bigint" if shard == "page" else "string"
+    stored = spark.read.schema(f"{shard} {kind}").parquet(path)
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    return stored.groupBy(F.col(shard).cast("string").alias("shard"), name.alias("file")).agg(count_rows().alias("row_count"))
+
+
+def read_clustered_shard(spark: SparkSession, path: str, index: DataFrame, shard: str, column: str = "shard") -> DataFrame:
+    """Rows of one shard of a family in the clustered layout, from the files that its index names; no rows and no columns' statistics of other files are read."""
+    files = [r["file"] for r in index.where(F.col("shard") == shard).select("file").orderBy("file").collect()]  # the files of one shard
+    if not files:
+        raise KeyError(f"{path} has no shard {shard!r}")
+    return spark.read.parquet(*[f"{path}/{name}" for name in files]).where(F.col(column).cast("string") == shard)
+
+
 def differing_shards(wanted: DataFrame, stored: DataFrame) -> DataFrame:
     """(family, shard, wanted_rows, stored_rows) of shards whose files do not hold what they should; empty when all is there."""
     both = wanted.withColumnRenamed("row_count", "wanted_rows").join(stored.withColumnRenamed("row_count", "stored_rows"), ["family", "shard"], "full")

@@ -26,24 +26,24 @@ def _file_system(spark: SparkSession, path: str):
     return jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm_path
 
 
-def _names(spark: SparkSession, path: str) -> list[str]:
+def file_names(spark: SparkSession, path: str) -> list[str]:
     if not exists(spark, path):
         return []
     system, jvm_path = _file_system(spark, path)
     return sorted(f.getPath().getName() for f in system.listStatus(jvm_path))
 
 
-def _put(spark: SparkSession, path: str, text: str) -> None:
-    """A new small file; that it is there already is an error, so of two writers of one version one fails."""
+def put_text(spark: SparkSession, path: str, text: str, again: bool = False) -> None:
+    """A new small file. That it is there already is an error, so of two writers of one version one fails; with `again` it is written over."""
     system, jvm_path = _file_system(spark, path)
-    out = system.create(jvm_path, False)
+    out = system.create(jvm_path, again)
     try:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
 
 
-def _get(spark: SparkSession, path: str) -> str:
+def get_text(spark: SparkSession, path: str) -> str:
     row = spark.read.text(path, wholetext=True).first()
     return row[0] if row else ""
 
@@ -54,9 +54,9 @@ def _numbers(names: list[str]) -> list[int]:
 
 def current_path(spark: SparkSession, path: str) -> str:
     """Where the rows of a table lie now. A pointer whose file is cut short names no folder and does not count."""
-    names = _names(spark, f"{path}/{_FOLDER}")
+    names = file_names(spark, f"{path}/{_FOLDER}")
     for number in reversed(_numbers(names)):
-        folder = _get(spark, f"{path}/{_FOLDER}/{number:06d}{_POINTER}")
+        folder = get_text(spark, f"{path}/{_FOLDER}/{number:06d}{_POINTER}")
         if folder in names:
             return f"{path}/{_FOLDER}/{folder}"
     return path
@@ -70,12 +70,12 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 def replace_table(df: DataFrame, path: str, figures: dict[str, Column] | None = None) -> dict[str, int]:
     """Make `df` the rows of the table at `path`, which it may be made of. Gives `figures` of the rows, taken while they are written."""
     spark = df.sparkSession
-    names = _names(spark, f"{path}/{_FOLDER}")
+    names = file_names(spark, f"{path}/{_FOLDER}")
     number = max(_numbers(names), default=0) + 1
     folder = f"{number:06d}-{uuid.uuid4().hex}"
     rows, seen = watched(df, figures or {"rows": F.count(F.lit(1))})
     rows.write.parquet(f"{path}/{_FOLDER}/{folder}")
-    _put(spark, f"{path}/{_FOLDER}/{number:06d}{_POINTER}", folder)
+    put_text(spark, f"{path}/{_FOLDER}/{number:06d}{_POINTER}", folder)
     tidy(spark, path)
     return seen.get
 
@@ -85,14 +85,14 @@ def tidy(spark: SparkSession, path: str) -> None:
     when no replacement is under way."""
     now = current_path(spark, path)
     if now == path:
-        for name in _names(spark, f"{path}/{_FOLDER}"):
+        for name in file_names(spark, f"{path}/{_FOLDER}"):
             remove(spark, f"{path}/{_FOLDER}/{name}")
         return
     folder = now.rsplit("/", 1)[1]
     pointer = folder.split("-")[0] + _POINTER
-    for name in _names(spark, path):
+    for name in file_names(spark, path):
         if name != _FOLDER:
             remove(spark, f"{path}/{name}")
-    for name in _names(spark, f"{path}/{_FOLDER}"):
+    for name in file_names(spark, f"{path}/{_FOLDER}"):
         if name not in (folder, pointer):
             remove(spark, f"{path}/{_FOLDER}/{name}")

@@ -27,10 +27,29 @@ def read_sitemaps(spark: SparkSession, path: str) -> DataFrame:
     return sitemap_locations(docs, "value")
 
 
+# Pieces of a sitemap file between two "<" signs: name of a tag with its sign of closing, and the text behind the tag.
+_TAG = r"(?s)^(/?)(?:[\w.\-]+:)?([\w.\-]+)[^>]*?(/?)>(.*)$"
+
+
 def read_large_sitemap(spark: SparkSession, path: str) -> DataFrame:
-    """Locations of one large sitemap file, read in splits."""
-    rows = spark.read.format("xml").option("rowTag", "url").schema("loc string").load(path)
-    return rows.select(strip("loc").alias("loc")).where("loc <> ''")
+    """Locations of one large sitemap or sitemap index, read in splits: the file is cut at every "<", and a piece that opens an element whose local
+    name is `loc` holds its text. A file with unequal numbers of opened and closed elements, a tag without an end, or CDATA or comments
+    with tags in them, which a split cannot tell from elements, is an error."""
+    pieces = spark.read.option("lineSep", "<").text(path).where("value <> ''").select(F.col("value").alias("piece"))
+    pieces = pieces.select("piece", F.substring("piece", 1, 1).isin("?", "!").alias("aside"))
+    tag = lambda group: F.regexp_extract("piece", _TAG, group)
+    closed = (F.col("piece").startswith("!--") & F.col("piece").contains("-->")) | (F.col("piece").startswith("!DOCTYPE") & F.col("piece").contains(">")) | F.col("piece").startswith("?")
+    tags = pieces.select("piece", "aside", closed.alias("closed"), tag(1).alias("end"), tag(2).alias("name"), tag(3).alias("empty"), tag(4).alias("text"))
+    step = F.when(F.col("aside") | (F.col("empty") == "/"), 0).when(F.col("end") == "/", -1).otherwise(1)
+    unread = (F.col("aside") & ~F.col("closed")) | (~F.col("aside") & (F.col("name") == "") & (F.trim("piece", F.lit(" \t\r\n\ufeff")) != ""))
+    faults = tags.groupBy("name").agg(F.sum(step).alias("open"), F.count_if(unread).alias("unread"), F.count(F.lit(1)).alias("n")).where("open <> 0 AND name <> '' OR unread > 0")
+    bad = faults.take(1)
+    if bad:
+        raise ValueError(f"{path} is no whole sitemap: {bad[0].asDict()}")
+    found = tags.where(~F.col("aside") & (F.col("name") == "loc") & (F.col("end") == "") & (F.col("text") != ""))
+    # Entities are read by the XML parser, text by text.
+    text = F.when(F.col("text").contains("&"), F.expr("xpath_string(concat('<t>', text, '</t>'), 't')")).otherwise(F.col("text"))
+    return found.select(strip(text).alias("loc")).where("loc <> ''")
 
 
 _ITEM = "struct<tag_name:string,tag_slug:string,tag_n:bigint,error:string>"

@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 from affinis.functions.text import page_url
 from affinis.operators import cleaning as cl, discovery as dc, signals as sg
 from affinis.sources import documents as dm
-from affinis.session import materialise
+from affinis.plans.jobs import INGEST_SCHEMA, run_ingest
+from affinis.session import materialise, new_path
+from affinis.sinks import batches as bt, records as rc
 from catalog.fixtures import OBSERVED, PAIRS_SQL, pairs
 from catalog.registry import query, rounded, table
 
@@ -238,3 +240,45 @@ def ingest_summary(spark, folder):
 def trial_limit(spark, folder):
     index = table(spark, folder, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("entity_slug"), "s_suppkey")
     return dc.first_entities(index, 7, ["s_suppkey"])
+
+
+# Three large files, one element a line: a plain sitemap, one with a prefix, and an index of sitemaps.
+@query("large_sitemap", """
+SELECT kind, url || CASE kind WHEN 'index' THEN '/map.xml' ELSE '' END AS loc FROM pages, (VALUES ('plain'), ('prefixed'), ('index')) k(kind)""")
+def large_sitemap(spark, folder):
+    """Every location of every file, read in splits."""
+    out = new_path(spark, "sitemaps")
+    url = F.replace(F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    kinds = {"plain": ("", "urlset", "url", ""), "prefixed": ("m:", "urlset", "url", ":m"), "index": ("", "sitemapindex", "sitemap", "")}
+    result = None
+    for kind, (p, root, item, space) in kinds.items():
+        loc = F.concat(url, F.lit("/map.xml")) if kind == "index" else url
+        lines = table(spark, folder, "pages").select(F.col("page_id").alias("no"), F.concat(
+            F.lit(f"<{p}{item}><{p}loc>\n "), loc, F.lit(f" </{p}loc><{p}lastmod>2026-05-07</{p}lastmod><{p}note/></{p}{item}>")).alias("value"))
+        ends = spark.createDataFrame([(-1, f'<?xml version="1.0"?><!-- made --><{p}{root} xmlns{space}="http://maps.example/0.9">'), (1 << 60, f"</{p}{root}>")], "no bigint, value string")
+        # one file: that is what is tested
+        lines.unionByName(ends).repartitionByRange(1, "no").sortWithinPartitions("no").select("value").write.text(f"{out}/{kind}")
+        one = dm.read_large_sitemap(spark, f"{out}/{kind}").select(F.lit(kind).alias("kind"), "loc")
+        result = one if result is None else result.unionAll(one)
+    return result
+
+
+# The pages of half of the suppliers come first; the second batch fails once with half of its rows written, and is then run twice.
+@query("ingest_batches", PAYLOAD_SQL + """
+SELECT batch, entity_slug, tag_slug, CASE kind WHEN 1 THEN 1000 + total_n ELSE total_n END AS total_n, tag_n
+FROM (SELECT *, CASE WHEN substr(entity_slug, 2)::BIGINT % 20 < 10 THEN 'first' ELSE 'second' END AS batch FROM kinds) WHERE kind IN (0, 1, 6, 7, 8)""")
+def ingest_batches(spark, folder):
+    """Rows of an ingest in batches, none twice and none lost, with the batch that each came in."""
+    out = new_path(spark, "ingest")
+    index = table(spark, folder, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("entity_slug"))
+    pages = materialise(payloads(spark, folder))
+    early = F.substring("entity_slug", 2, 20).cast("bigint") % 20 < 10
+    url = page_url(URL_TEMPLATE, "entity_slug")
+    run_ingest(index, pages.where(early), out, "first", F.lit(OBSERVED), url)
+    half = dm.payload_rows(dm.read_payloads(pages.where(~early)), F.lit(OBSERVED)).drop("tag_no").where("tag_n % 2 = 0")
+    rc.write_records(half, f"{out}/tag_rows/batch=second")  # a run that ended before its batch was committed
+    for _ in range(2):
+        run_ingest(index, pages, out, "second", F.lit(OBSERVED), url)
+    rows = bt.read_batches(spark, f"{out}/tag_rows", INGEST_SCHEMA)
+    batch = F.regexp_extract(F.col("_metadata.file_path"), "batch=([^/]*)", 1)
+    return rows.select(batch.alias("batch"), "entity_slug", "tag_slug", "total_n", "tag_n")

@@ -129,6 +129,25 @@ def shard_files(spark, folder):
     return read.withColumn("place", place).join(index, "file").select("file", "entity_slug", "tag_n", "place")
 
 
+# The tag of the most rows, and the least of them by name.
+@query("clustered_shard", "WITH " + PAIRS_SQL + """
+SELECT entity_slug, tag_slug, tag_n, row_number() OVER (ORDER BY tag_n DESC, entity_slug) - 1 AS place, true AS others_unread FROM pairs
+WHERE tag_slug = (SELECT tag_slug FROM pairs GROUP BY tag_slug ORDER BY count(*) DESC, tag_slug LIMIT 1)""")
+def clustered_shard(spark, folder):
+    """One shard looked up in the clustered layout by its file index, with each row's place, and whether no file but those of the index was opened."""
+    out = folder_of(spark)
+    rows = materialise(pairs(spark, folder))
+    order = [F.col("tag_n").desc(), F.col("entity_slug")]
+    sh.write_shards(sh.sharded(rows, "tag_slug"), f"{out}/tags", order, layout="clustered")
+    index = materialise(sh.file_index(spark, f"{out}/tags"))
+    shard = index.groupBy("shard").agg(F.sum("row_count").alias("n")).orderBy(F.col("n").desc(), "shard").first()["shard"]
+    found = sh.read_clustered_shard(spark, f"{out}/tags", index, shard)
+    opened = {name.rsplit("/", 1)[1] for name in found.inputFiles()}
+    only = opened == {r["file"] for r in index.where(F.col("shard") == shard).collect()}
+    place = F.row_number().over(Window.partitionBy("shard").orderBy(*order)).cast("bigint") - 1  # one shard, the one asked for
+    return found.select("entity_slug", "tag_slug", "tag_n", place.alias("place"), F.lit(only).alias("others_unread"))
+
+
 @query("copy_modes", "WITH " + PAIRS_SQL + """
 SELECT mode, (SELECT count(*) FROM pairs) AS row_count, mode = 'keep' AS other_kept FROM (VALUES ('keep'), ('clean')) m(mode)""")
 def copy_modes(spark, folder):

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from affinis.operators import affinity as af, snapshots as sn, trends as tr
-from affinis.session import materialise
+from affinis.session import materialise, new_path
+from affinis.sources import snapshots as ss
 from catalog.fixtures import HALVES, HALVES_SQL, MIDDLE, STRICT, YEARS_SQL, halves, years
 from catalog.registry import query, rounded
 
@@ -39,6 +40,14 @@ def both(spark, folder):
     return one(CURRENT), one(PREVIOUS)
 
 
+def stored_by_pair(spark, folder):
+    """Both snapshots, written in buckets and opened again."""
+    root = new_path(spark, "by-pair")
+    for name, rows in zip((CURRENT, PREVIOUS), both(spark, folder)):
+        ss.store_by_pair(rows, root, name)
+    return ss.open_by_pair(spark, root, CURRENT), ss.open_by_pair(spark, root, PREVIOUS)
+
+
 def trend_frame(spark, folder):
     current, previous = both(spark, folder)
     return tr.trends(current, previous, CURRENT, PREVIOUS, check=False)
@@ -104,3 +113,20 @@ def snapshot_fallback(spark, folder):
     told = F.when(F.col("snapshot_date") < MIDDLE, F.col("row_count").cast("string")).otherwise("n/a")
     reports = sizes.select("snapshot_date", told.alias("clean_tag_row_count"))
     return sn.fallback_report(sn.sized_by_reports(sizes.unionByName(empty), reports), "2002-01-01")
+
+
+@query("stored_trend_rows", TRENDS + "SELECT * FROM trend_rows")
+def stored_trend_rows(spark, folder):
+    """Both snapshots stored in buckets by pair key and compared where they lie."""
+    return rounded(tr.trends(*stored_by_pair(spark, folder), CURRENT, PREVIOUS, check=True))
+
+
+@query("stored_affinity_with_trends", TRENDS + """
+SELECT c.entity_slug, c.tag_slug, c.total_n, c.tag_n, round(c.z, 6) AS z, c.analysis_eligible, t.snapshot_status, t.total_n_delta, t.tag_n_delta,
+       t.z_delta, t.rank_delta, t.tag_n_pct_change
+FROM c_affinity c JOIN trend_rows t USING (entity_slug, tag_slug) WHERE t.snapshot_status <> 'removed_pair'""")
+def stored_affinity_with_trends(spark, folder):
+    """Rows of the current snapshot with their trends, from the snapshots in buckets."""
+    rows = tr.attach_previous(*stored_by_pair(spark, folder), CURRENT, PREVIOUS)
+    return rounded(rows.select("entity_slug", "tag_slug", "total_n", "tag_n", "z", "analysis_eligible", "snapshot_status",
+                               "total_n_delta", "tag_n_delta", "z_delta", "rank_delta", "tag_n_pct_change"))

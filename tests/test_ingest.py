@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from affinis.functions.urls import set_code_from_uri, slug_from_url
 from affinis.operators import discovery as dc, signals as sg
+from affinis.plans import jobs
+from affinis.sinks import batches as bt
 from affinis.sources import documents as dm
 
 HOSTS = ["pages.example", "www.pages.example"]
@@ -117,3 +119,70 @@ def test_signal_outcomes(spark):
 def test_set_code_of_a_card_address(spark):
     got = spark.range(1).select(set_code_from_uri(F.lit("https://c.example/CARD/KHM!/1/x")), set_code_from_uri(F.lit("https://c.example/set/khm"))).first()
     assert got[:] == ("khm", None)
+
+
+MAP = '<?xml version="1.0"?>\n<!-- <none> -->\n<m:urlset xmlns:m="http://maps.example/0.9">{}</m:urlset>\n'
+
+
+@pytest.mark.parametrize("body, locs", [
+    ("<m:url><m:loc>\n https://a.example/x?a=1&amp;b=&lt;2 </m:loc><m:loc/><m:loc> </m:loc></m:url>", ["https://a.example/x?a=1&b=<2"]),
+    ("<m:url><m:loc type='t'>u</m:loc><m:location>no</m:location><m:loc\n>v > w</m:loc></m:url>", ["u", "v > w"]),
+    ("", []),
+])
+def test_large_sitemaps_are_read_in_splits(spark, tmp_path, body, locs):
+    path = tmp_path / "map.xml"
+    path.write_text(MAP.replace("<!-- <none> -->", "<!-- none -->").format(body))
+    assert sorted(r["loc"] for r in dm.read_large_sitemap(spark, str(path)).collect()) == sorted(locs)
+
+
+@pytest.mark.parametrize("text", [
+    MAP.format("<m:url><m:loc>cut</m:url>"), MAP.format("")[:-20], "no xml at all", MAP.replace("<!-- <none> -->", "").format("<m:loc><![CDATA[x]]></m:loc>"),
+    MAP.format("<m:loc>x</m:loc>"), MAP.replace("<!-- <none> -->", "").format("<m:loc>a</m:loc><m:loc"),
+])
+def test_broken_large_sitemaps_are_an_error(spark, tmp_path, text):
+    path = tmp_path / "map.xml"
+    path.write_text(text)
+    with pytest.raises(ValueError):
+        dm.read_large_sitemap(spark, str(path))
+
+
+def test_splits_of_a_large_sitemap_lose_nothing(spark, tmp_path):
+    path = tmp_path / "map.xml"
+    path.write_text("<urlset>" + "".join(f"<url><loc>https://a.example/{i}</loc></url>" for i in range(4000)) + "</urlset>")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        got = dm.read_large_sitemap(spark, str(path))
+        assert got.rdd.getNumPartitions() > 4 and sorted(int(r["loc"].rsplit("/", 1)[1]) for r in got.collect()) == list(range(4000))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_an_ingest_may_be_repeated(spark, tmp_path):
+    root = str(tmp_path)
+    index = spark.createDataFrame([(f"e-{i}",) for i in range(4)], "entity_slug string")
+    pages = spark.createDataFrame([("e-0", payload()), ("e-1", "{"), ("e-2", payload(links=[{"count": 1, "slug": "b", "value": "B"}, {"count": 2, "slug": "c", "value": "C"}]))], "entity_slug string, body string")
+    run = lambda which, batch: jobs.run_ingest(index, which, root, batch, now(), F.lit("u")).first().asDict()
+    first = run(pages.limit(2), "day 1/a")
+    assert first == {"total_records_in_index": 4, "skipped_count": 0, "attempted_count": 2, "successful_count": 1, "failed_count": 1, "new_tag_row_count": 1}
+    for _ in range(3):
+        second = run(pages, "day 2")
+    assert second["skipped_count"] == 2 and second["attempted_count"] == 1
+    rows = bt.read_batches(spark, f"{root}/tag_rows", jobs.INGEST_SCHEMA)
+    assert sorted(r["tag_slug"] for r in rows.collect()) == ["a", "b", "c"] and bt.committed_rows(spark, f"{root}/tag_rows") == 3
+    assert spark.read.json(f"{root}/scrape_failures/batch=*").where("entity_slug = 'e-1'").count() == 2  # attempted in both runs
+    with pytest.raises(RuntimeError):
+        jobs.run_ingest(index, pages.where("entity_slug = 'e-1'"), f"{root}/other", "one", now(), F.lit("u"))
+
+
+def test_uncommitted_batches_are_not_read(spark, tmp_path):
+    root = str(tmp_path / "t")
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "entity_slug string, n int")
+    bad = rows.withColumn("n", F.when(F.col("n") == 2, F.raise_error(F.lit("disk is gone")).cast("int")).otherwise(1))
+    with pytest.raises(Exception, match="disk is gone"):
+        bt.append_batch(bad, root, "x")
+    assert bt.read_batches(spark, root, rows.schema).count() == 0
+    rows.write.json(f"{root}/batch=y")  # written, never committed
+    (tmp_path / "t" / "_ledger").mkdir(exist_ok=True)
+    (tmp_path / "t" / "_ledger" / "y").write_text("")
+    assert bt.append_batch(rows, root, "x") == 2 and bt.append_batch(rows, root, "x") is None and bt.append_batch(rows, root, "y") == 2
+    assert bt.read_batches(spark, root, rows.schema).count() == 4

@@ -201,7 +201,7 @@ def test_an_unfinished_version_is_not_read_and_goes(spark, pairs, tmp_path):
     assert vs.replace_table(pairs.limit(2), path) == {"rows": 2} and vs.read_table(spark, path).count() == 2
     assert len(list((tmp_path / "table" / "_versions").glob("[0-9]*"))) == 2
     with pytest.raises(Exception, match="exist"):
-        vs._put(spark, vs.current_path(spark, path).rsplit("-", 1)[0] + ".current", "twice")
+        vs.put_text(spark, vs.current_path(spark, path).rsplit("-", 1)[0] + ".current", "twice")
 
 
 def test_enrichment_counts_while_writing_and_survives_a_failure(spark, pairs, tmp_path):

@@ -2,6 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from affinis.operators import snapshots as sn, trends as tr
+from affinis.operators.checks import repeated_keys
+from affinis.sources import snapshots as ss
 
 SCHEMA = ("entity_name string, entity_slug string, tag_name string, tag_slug string, source_type string, total_n bigint, tag_n bigint, "
           "tag_affinity_pct double, z double, rank_within_tag_by_z int")
@@ -92,3 +94,42 @@ def test_reports_tell_the_size_where_they_can(spark):
     reports = spark.createDataFrame([("2026-05-07", " 0 "), ("2026-05-14", "many"), ("2026-05-21", "8"), ("2026-05-28", None)], "snapshot_date string, clean_tag_row_count string")
     got = {r["snapshot_date"]: r["row_count"] for r in sn.sized_by_reports(sizes, reports).collect()}
     assert got == {"2026-05-07": 0, "2026-05-14": 3, "2026-05-21": 8}
+
+
+def test_stored_by_pair_nothing_is_shuffled(spark, frames, tmp_path):
+    """Snapshots in buckets are checked, compared and attached without an exchange; rows are those of the plain way."""
+    root = str(tmp_path / "by-pair")
+    for name, rows in zip(("2026-05-21", "2026-05-14"), frames):
+        ss.store_by_pair(rows, root, name, 3)
+    ss.store_by_pair(frames[0], root, "2026-05-21", 5)  # written again; the table stays at three buckets
+    now, before = (ss.open_by_pair(spark, root, name) for name in ("2026-05-21", "2026-05-14"))
+    assert ss.by_pair_names(spark, root) == ["2026-05-14", "2026-05-21"] and len(list((tmp_path / "by-pair" / "2026-05-21").glob("buckets=*"))) == 1
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = tr.trends(now, before, "2026-05-21", "2026-05-14"), tr.attach_previous(now, before, "2026-05-21", "2026-05-14")
+        for df in made:
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan, plan
+        assert "Exchange" not in repeated_keys(now)._jdf.queryExecution().executedPlan().toString()
+        plain = tr.trends(*frames, "2026-05-21", "2026-05-14")
+        assert sorted(map(str, made[0].collect())) == sorted(map(str, plain.collect()))
+        attached = tr.attach_trends(frames[0], plain)
+        assert sorted(map(str, made[1].select(*attached.columns).collect())) == sorted(map(str, attached.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    with pytest.raises(FileNotFoundError):
+        ss.open_by_pair(spark, root, "2026-05-07")
+
+
+def test_first_run_is_attached_as_before(frames):
+    plain = tr.attach_trends(frames[0], tr.trends(frames[0], None, "2026-05-21", None))
+    one = tr.attach_previous(frames[0], None, "2026-05-21", None)
+    assert one.columns == plain.columns and sorted(map(str, one.collect())) == sorted(map(str, plain.collect()))
+
+
+@pytest.mark.parametrize("name, current, before", [
+    ("2026-05-07", "2026-05-14", True), ("2026-05-14", "2026-05-14", False), ("2026-05-21", "2026-05-14", False), ("latest", "2026-05-14", False),
+    ("2026-02-30", "2026-05-14", False), ("2026-05-21", "newest", True), ("newest", "newest", False), ("2026-05-07", "2026-13-01", True),
+])
+def test_older_snapshots(name, current, before):
+    assert sn.is_before(name, current) is before
