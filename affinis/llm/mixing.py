@@ -1,44 +1,59 @@
 """Mixing sources: token weights raked to target shares of source, language and topic, then documents sampled by them.
 
 Documents are first added up to cells of (source, language, topic). Raking multiplies the weights of the cells until each of the three
-margins has its target shares: a pass scales every margin in turn, by a window over the cells of each of its values. Cells are as
-few as the combinations that occur, however many documents there are; they stay a table and are never collected.
+margins has its target shares: a pass scales every margin in turn, by grouped sums (one row for each of its values) joined back. Two sets of numbers go
+through the same passes: `weight`, which meets the target shares as they are, and `expected`, the tokens to be drawn, of which no cell
+can give more than it has. A value whose documents do not suffice for its share of the budget gives all it has, and the others share the rest; a cell that
+is cut at its tokens is made up for by the other cells of its margins. Passes end when every margin is met, or after PASSES, where the cells'
+own limits or contradicting targets leave a gap. Cells are as few as the combinations that occur, however many documents there are; they
+stay a table and are never collected.
+
+Draws are calibrated: documents have a fixed place in their cell by a hash, and each cell is cut where the tokens before the cut come nearest to what is expected.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from affinis.session import materialise
+from affinis.session import materialise, stored
 
 MARGINS = ("source", "lang", "topic")
-#: Passes of raking; shares are the margins' own, flattened by this power; share of all tokens that is to be kept.
-PASSES, FLATTEN, BUDGET = 12, 0.7, 0.6
-#: Steps by which the scale of probabilities is found: each narrows it to one of so many parts.
-STEPS, PARTS = 3, 64
+#: Passes of raking at most, and the relative gap of all margins, as each is come to in a pass, that ends them.
+PASSES, GAP = 20, 0.002
+#: Shares are the margins' own, flattened by this power; share of all tokens that is to be kept.
+FLATTEN, BUDGET = 0.7, 0.6
+#: Steps by which a scale is found: each narrows it to one of so many parts.
+STEPS, PARTS = 4, 64
+#: Places in a cell that a cut can be at.
+BINS = 4096
 
 
-def topic_of(text: Column) -> Column:
-    """A rough topic by form: licences, tables, shouting, short notes, long reads, prose."""
-    words = F.size(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)))
-    return (F.when(text.isNull() | (words == 0), "none").when(F.contains(text, F.lit("Licensed under")), "licence").when(F.contains(text, F.lit(" | ")), "table")
+def words_of(text: Column) -> Column:
+    return F.when(text.isNull(), 0).otherwise(F.size(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)))).cast("bigint")
+
+
+def topic_of(text: Column, words: Column) -> Column:
+    """A rough topic by form: licences, tables, short notes, long reads, prose."""
+    return (F.when(words == 0, "none").when(F.contains(text, F.lit("Licensed under")), "licence").when(F.contains(text, F.lit(" | ")), "table")
             .when(words < 40, "note").when(words >= 1000, "long").otherwise("prose"))
 
 
-def tokens_of(text: Column) -> Column:
-    """Tokens, counted as words."""
-    return F.when(text.isNull(), 0).otherwise(F.size(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)))).cast("bigint")
+def place_of(doc_id: Column, text: Column, seed: int) -> Column:
+    """A number from 0 up to BINS that is fixed for an id; a row without one goes by its text."""
+    own = F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(text, F.lit("")))))
+    return F.floor(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), own)), 1, 8), 16, 10).cast("bigint") * BINS / (1 << 32)).cast("int")
 
 
-def uniform(doc_id: Column, seed: int) -> Column:
-    """A number from 0 up to 1 that is fixed for an id."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), doc_id.cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+def about(seed: int) -> Column:
+    """Struct (cell, tokens, place) of a document; null sources and languages are a value of their own. Words are counted once."""
+    text, named = F.col("text"), [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in MARGINS[:2]]
+    return F.element_at(F.transform(F.array(words_of(text)), lambda n: F.struct(
+        F.struct(*named, topic_of(text, n).alias("topic")).alias("cell"), n.alias("tokens"), place_of(F.col("doc_id"), text, seed).alias("place"))), 1)
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, lang, topic, tokens); null sources and languages are a value of their own."""
-    text = F.col("text")
-    return docs.select("doc_id", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in MARGINS[:2]], topic_of(text).alias("topic"), tokens_of(text).alias("tokens"))
+def described(docs: DataFrame, seed: int = 7) -> DataFrame:
+    """(doc_id, source, lang, topic, tokens, place) of every document."""
+    return docs.select("doc_id", F.explode(F.array(about(seed))).alias("d")).select("doc_id", "d.cell.*", "d.tokens", "d.place")
 
 
 def own_shares(cells: DataFrame, margin: str, flatten: float = FLATTEN) -> DataFrame:
@@ -48,61 +63,82 @@ def own_shares(cells: DataFrame, margin: str, flatten: float = FLATTEN) -> DataF
     return sizes.select(margin, (F.col("power") / total).alias("share"))
 
 
-def raked(cells: DataFrame, targets: dict[str, DataFrame], passes: int = PASSES) -> DataFrame:
-    """`cells` (source, lang, topic, tokens) with `weight`, whose sums by margin have the target shares as nearly as `passes` brings
-    them. A value without a target keeps its share of what it has: none. Cells without tokens have weight 0."""
-    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
-    rows = cells.withColumn("weight", F.col("tokens").cast("double"))
-    for margin, shares in targets.items():
-        rows = rows.join(shares.select(margin, F.col("share").alias(f"share_{margin}")), margin, "left")
-    for start in range(0, passes, 4):  # a table after every few passes keeps plans short
-        for _ in range(start, min(passes, start + 4)):
-            for margin in targets:
-                now = F.sum("weight").over(Window.partitionBy(margin))
-                rows = rows.withColumn("weight", F.when(now > 0, F.col("weight") * F.coalesce(f"share_{margin}", F.lit(0.0)) * total / now).otherwise(0.0))
-        rows = materialise(rows)
-    return rows.select(*MARGINS, "tokens", "weight")
-
-
-def calibrated(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
-    """`cells` with `rate`, the probability of their documents: in proportion to weight / tokens, at most 1, such that the
-    share `budget` of all tokens is expected (all that have a weight, if those are fewer)."""
-    ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)
-    rows = materialise(cells.withColumn("ratio", ratio))
-    top = rows.agg(F.sum("tokens"), F.min(F.when(F.col("ratio") > 0, F.col("ratio")))).first()
-    goal, low, high = budget * float(top[0] or 0), 0.0, 1 / (top[1] or 1.0)
-    for _ in range(STEPS):  # what is expected grows with the scale; each step looks at PARTS scales at once
+def reachable(cells: DataFrame, shares: DataFrame, margin: str, goal: float) -> DataFrame:
+    """(margin, share, target): tokens to draw of each value. In proportion to the shares where the value has so many, else all it has, `goal` together."""
+    sizes = cells.groupBy(margin).agg(F.sum("tokens").alias("n"))
+    rows = materialise(sizes.join(shares.select(margin, "share"), margin, "left").withColumn("share", F.coalesce("share", F.lit(0.0))))
+    top = rows.agg(F.max(F.when(F.col("share") > 0, F.col("n") / F.col("share")))).first()[0] or 1.0  # here every value gives all it has
+    low, high = 0.0, float(top)
+    for _ in range(STEPS):  # what is drawn grows with the scale; each step looks at PARTS scales at once
         scales = [low + (high - low) * i / PARTS for i in range(1, PARTS + 1)]
-        sums = rows.agg(*[F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("ratio") * s)) for s in scales]).first()
-        at = next((i for i, s in enumerate(sums) if (s or 0) >= goal), PARTS - 1)
+        sums = rows.agg(*[F.sum(F.least(F.col("n"), F.col("share") * scale)) for scale in scales]).first()
+        at = next((i for i, total in enumerate(sums) if (total or 0) >= goal), PARTS - 1)
         low, high = (scales[at - 1] if at else low), scales[at]
-    return rows.withColumn("rate", F.least(F.lit(1.0), F.col("ratio") * high)).drop("ratio")
+    return rows.select(margin, "share", F.least(F.col("n").cast("double"), F.col("share") * high).alias("target"))
 
 
-def rates(rows: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET) -> DataFrame:
-    """(source, lang, topic, tokens, weight, rate) of the cells of described() rows. Targets default to own_shares()."""
+def raked(cells: DataFrame, shares: dict[str, DataFrame], budget: float = BUDGET, passes: int = PASSES) -> DataFrame:
+    """`cells` (source, lang, topic, tokens) with `weight`, whose sums by margin have the target shares, and `expected`, at most `tokens`, whose sums have what
+    reachable() leaves of the share `budget` of all tokens. A value without a target has none; cells without tokens have weight 0."""
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    rows = cells.withColumn("weight", F.col("tokens").cast("double")).withColumn("expected", budget * F.col("tokens"))
+    goals = {margin: materialise(reachable(cells, of, margin, budget * total)) for margin, of in shares.items()}
+    last = float("inf")
+    for number in range(passes):
+        gap = 0.0
+        for margin, goal in goals.items():
+            sums = rows.groupBy(margin).agg(F.sum("weight").alias("w"), F.sum("expected").alias("e")).join(goal, margin)
+            off = lambda got, want: F.when(want > 0, F.abs(got / want - 1)).otherwise(0.0)
+            sums = sums.withColumn("off", F.greatest(off(F.col("w"), F.col("share") * total), off(F.col("e"), F.col("target"))))
+            weight = F.when(F.col("w") > 0, F.col("weight") * F.col("share") * total / F.col("w")).otherwise(0.0)
+            expected = F.when(F.col("e") > 0, F.least(F.col("tokens").cast("double"), F.col("expected") * F.col("target") / F.col("e"))).otherwise(0.0)
+            scaled = rows.join(sums, margin).select(*MARGINS, "tokens", weight.alias("weight"), expected.alias("expected"), "off")
+            # A small table after every step: a plan that read itself twice a step would double with each of them.
+            rows, seen = stored(scaled, {"off": F.coalesce(F.max("off"), F.lit(0.0))})
+            rows, gap = rows.drop("off"), max(gap, seen["off"])
+        if gap <= GAP or number > 2 and gap > 0.95 * last:  # met, or as near as the cells' limits let it come
+            break
+        last = gap
+    return rows
+
+
+def cuts(rows: DataFrame, by_cell: DataFrame) -> DataFrame:
+    """`by_cell` with `cut`: documents of the cell in places before it are drawn. A cell has at most BINS sums of tokens by place."""
+    sums = rows.groupBy(*MARGINS, "place").agg(F.sum("tokens").alias("n"))
+    upto = sums.withColumn("upto", F.sum("n").over(Window.partitionBy(*MARGINS).orderBy("place")))
+    near = upto.join(by_cell.select(*MARGINS, "expected"), list(MARGINS)).groupBy(*MARGINS, "expected").agg(
+        F.min(F.struct(F.abs(F.col("upto") - F.col("expected")).alias("off"), (F.col("place") + 1).alias("cut"))).alias("best"))
+    # No document at all may be nearer than the first.
+    cut = F.when(F.col("expected") <= F.col("best.off"), 0).otherwise(F.col("best.cut"))
+    return by_cell.join(near.select(*MARGINS, cut.alias("cut")), list(MARGINS))
+
+
+def rates(rows: DataFrame, shares: dict[str, DataFrame] | None = None, budget: float = BUDGET) -> DataFrame:
+    """(source, lang, topic, tokens, weight, expected, cut) of the cells of described() rows, which are read several times. Shares default to own_shares()."""
     cells = materialise(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")))
-    return calibrated(raked(cells, targets or {m: own_shares(cells, m) for m in MARGINS}), budget)
+    return materialise(cuts(rows, raked(cells, shares or {m: own_shares(cells, m) for m in MARGINS}, budget)))
 
 
 def mixed(docs: DataFrame, seed: int = 7, budget: float = BUDGET) -> DataFrame:
     """One row for each row of `docs`: doc_id, source, lang, topic, tokens, weight (of the document's tokens), rate and kept.
 
-    Of a document without tokens weight and rate are 0 and it is not kept. Rows that repeat a doc_id stay or go together if of one
-    cell; rows without one share one draw. Other columns are not read; an empty table gives no rows.
+    `rate` is the share of its cell's tokens that is drawn. Of a document without tokens weight and rate are 0 and it is not kept. Rows that repeat a doc_id
+    stay or go together if of one cell; so do rows without an id that have one text. Other columns are not read; an empty table gives no rows.
     """
-    rows = described(docs)
+    rows = materialise(described(docs, seed))
     by_cell = rates(rows, budget=budget).withColumnRenamed("tokens", "cell_tokens")
-    share = F.when(F.col("cell_tokens") > 0, F.col("tokens") * F.col("weight") / F.col("cell_tokens")).otherwise(0.0)
+    some = F.col("cell_tokens") > 0
+    share = F.when(some, F.col("tokens") * F.col("weight") / F.col("cell_tokens")).otherwise(0.0)
+    rate = F.when(some, F.col("expected") / F.col("cell_tokens")).otherwise(0.0)
     return rows.join(by_cell, list(MARGINS)).select(
-        "doc_id", *MARGINS, "tokens", share.alias("weight"), "rate", (uniform(F.col("doc_id"), seed) < F.col("rate")).alias("kept"))
+        "doc_id", *MARGINS, "tokens", share.alias("weight"), rate.alias("rate"), ((F.col("place") < F.col("cut")) & (F.col("tokens") > 0)).alias("kept"))
 
 
 def sampled(docs: DataFrame, seed: int = 7, budget: float = BUDGET) -> DataFrame:
-    """The documents that mixed() keeps, all columns as they are."""
-    by_cell = rates(described(docs), budget=budget).select(*[F.col(m).alias(f"cell_{m}") for m in MARGINS], F.col("rate").alias("cell_rate"))
-    values = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in MARGINS[:2]] + [topic_of(F.col("text"))]
-    match = values[0] == F.col("cell_source")
-    for value, margin in zip(values[1:], MARGINS[1:]):
-        match = match & (value == F.col(f"cell_{margin}"))
-    return docs.join(by_cell, match).where(uniform(F.col("doc_id"), seed) < F.col("cell_rate")).select(*docs.columns)
+    """The documents that mixed() keeps, all columns as they are, whatever their names. Rows are as for mixed(): those without words go, those that repeat an id
+    stay or go together; an empty table stays empty."""
+    by_cell = rates(materialise(described(docs, seed)), budget=budget).select(F.struct(*MARGINS).alias("cell"), "cut")
+    # Only these columns meet in the join, so no name of `docs` can clash.
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.explode(F.array(about(seed))).alias("d"))
+    drawn = packed.select("row", "d.cell", "d.tokens", "d.place").join(by_cell, "cell").where((F.col("place") < F.col("cut")) & (F.col("tokens") > 0))
+    return drawn.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
