@@ -38,7 +38,8 @@ BYTE_SIGNS = dict(zip(_PLAIN, map(chr, _PLAIN))) | {b: chr(256 + i) for i, b in
 
 
 class WordIds(dict):
-    """Ids of texts by a tokenizer whose tokens never cross white space: each word is looked up or given to the library once.
+    """Ids of texts by a tokenizer, each word looked up or given to the library once where its tokens never cross white space and small ASCII letters stand for
+    capitals; `wordwise` says whether it passes the probes of that. Otherwise whole texts are given to the library.
 
     Remembers the last `room` to twice as many words, in two generations. A word of small letters alone that is normalised
     already goes straight to the library's merges, past its normaliser and splitter, which would not change it; a full stop or
@@ -54,10 +55,14 @@ class WordIds(dict):
         self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4  # bytes of an id
         self.room, self.old = room, {}
-        probes = ["thing", "thing.", "é", "zürich,", "日本", "thing", "Thing."]
+        probes = ["thing", "thing.", "é", "zürich,", "日本", "thing", "Thing.", "Hello", "HELLO", "hello", "ÉCOLE"]
         self.shortcut = hasattr(self.model, "tokenize")
         self.shortcut = self.shortcut and all(self.fast(w) == self.whole(w) for w in probes)
         self.clear()
+        self.wordwise = False
+        texts = ["hello Hello HELLO", "the thing of the thing. Of it", "a  b\tc\nd", " thing", "thing ", "New York new york", "Zürich, é, 日本 École"]
+        self.wordwise = all(self.by_word(t) == self.whole(t) for t in texts)
+        self.clear()
 
     def whole(self, text: str) -> bytes:
         return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -88,11 +93,11 @@ class WordIds(dict):
         self[word] = found
         return found
 
+    def by_word(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, (text.lower() if text.isascii() else text).split()))
+
     def of(self, texts: list[str]) -> list[bytes]:
-        return [
-            self.whole(t) if any(c in t for c in SEPARATORS) else b"".join(map(self.__getitem__, (t.lower() if t.isascii() else t).split()))
-            for t in texts
-        ]
+        return [self.by_word(t) if self.wordwise and not any(c in t for c in SEPARATORS) else self.whole(t) for t in texts]
 
 
 @functools.cache

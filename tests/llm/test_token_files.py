@@ -8,6 +8,8 @@ import pytest
 from affinis.llm import huffman, token_files
 from helpers import ODD_TEXTS, empty, families, frame
 from tokenizers import Tokenizer
+from tokenizers.models import WordLevel
+from tokenizers.pre_tokenizers import Split, WhitespaceSplit
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -70,3 +72,27 @@ def test_no_documents_and_rows_without_ids(spark, tmp_path):
     docs = spark.createDataFrame([(None, "a"), (3, "b"), (3, "b"), (1, None)], "doc_id long, text string")
     rows = sorted((r["start"], r["doc_id"]) for r in token_files.report(docs, str(tmp_path / "odd"), PATH, 2).collect())
     assert [d for _, d in rows] == [None, 1, 3, 3] and [s for s, _ in rows] == [0, 2, 3, 5]
+
+
+def other_tokenizers(tmp_path):
+    """A tokenizer that tells capitals apart, one with a token over a space, and a byte-level one whose tokens hold the space before a word."""
+    vocabulary = {w: i for i, w in enumerate(["[UNK]", "hello", "Hello", "HELLO", "world", "new york", "new", "york", "thing", "."])}
+    for name, splits in (("cased", True), ("spaced", False)):
+        made = Tokenizer(WordLevel(vocabulary, unk_token="[UNK]"))
+        if splits:
+            made.pre_tokenizer = WhitespaceSplit()
+        else:
+            made.pre_tokenizer = Split("|", "removed")
+        made.save(str(tmp_path / name))
+        yield str(tmp_path / name)
+    yield public_tokenizers.path("byte_bpe_50k.json")
+
+
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    for path in other_tokenizers(tmp_path):
+        words = token_files.WordIds(path)
+        assert not words.wordwise
+        texts = ["Hello world", "hello HELLO Hello", "new york", "new york|hello", " the thing.  A\nthing", "", "é Zürich"]
+        whole = Tokenizer.from_file(path)
+        assert words.of(texts) == [words.packed(whole.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert token_files.WordIds(public_tokenizers.path("word_bpe_49k.json")).wordwise
