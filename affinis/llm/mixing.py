@@ -23,7 +23,7 @@ PASSES, GAP = 20, 0.002
 #: Shares are the margins' own, flattened by this power; share of all tokens that is to be kept.
 FLATTEN, BUDGET = 0.7, 0.6
 #: Steps by which a scale is found: each narrows it to one of so many parts.
-STEPS, PARTS = 4, 64
+STEPS, PARTS = 3, 256
 #: Places in a cell that a cut can be at.
 BINS = 4096
 
@@ -69,11 +69,11 @@ def reachable(cells: DataFrame, shares: DataFrame, margin: str, goal: float) ->
     rows = materialise(sizes.join(shares.select(margin, "share"), margin, "left").withColumn("share", F.coalesce("share", F.lit(0.0))))
     top = rows.agg(F.max(F.when(F.col("share") > 0, F.col("n") / F.col("share")))).first()[0] or 1.0  # here every value gives all it has
     low, high = 0.0, float(top)
-    for _ in range(STEPS):  # what is drawn grows with the scale; each step looks at PARTS scales at once
-        scales = [low + (high - low) * i / PARTS for i in range(1, PARTS + 1)]
-        sums = rows.agg(*[F.sum(F.least(F.col("n"), F.col("share") * scale)) for scale in scales]).first()
-        at = next((i for i, total in enumerate(sums) if (total or 0) >= goal), PARTS - 1)
-        low, high = (scales[at - 1] if at else low), scales[at]
+    for _ in range(STEPS):  # what is drawn grows with the scale; each step looks at PARTS scales at once, as rows: so many sums would be compiled for seconds
+        scale = F.lit(low) + F.lit(high - low) * F.col("i") / PARTS
+        drawn = rows.select("n", "share", F.explode(F.sequence(F.lit(1), F.lit(PARTS))).alias("i")).groupBy("i").agg(F.sum(F.least(F.col("n"), F.col("share") * scale)).alias("n"))
+        at = drawn.where(F.col("n") >= goal).agg(F.min("i")).first()[0] or PARTS
+        low, high = low + (high - low) * (at - 1) / PARTS, low + (high - low) * at / PARTS
     return rows.select(margin, "share", F.least(F.col("n").cast("double"), F.col("share") * high).alias("target"))
 
 
@@ -87,11 +87,15 @@ def raked(cells: DataFrame, shares: dict[str, DataFrame], budget: float = BUDGET
     for number in range(passes):
         gap = 0.0
         for margin, goal in goals.items():
-            sums = rows.groupBy(margin).agg(F.sum("weight").alias("w"), F.sum("expected").alias("e")).join(goal, margin)
+            full = F.col("expected") >= F.col("tokens")
+            sums = rows.groupBy(margin).agg(F.sum("weight").alias("w"), F.sum("expected").alias("e"), F.sum(F.when(full, F.col("expected")).otherwise(0.0)).alias("f")).join(goal, margin)
             off = lambda got, want: F.when(want > 0, F.abs(got / want - 1)).otherwise(0.0)
             sums = sums.withColumn("off", F.greatest(off(F.col("w"), F.col("share") * total), off(F.col("e"), F.col("target"))))
             weight = F.when(F.col("w") > 0, F.col("weight") * F.col("share") * total / F.col("w")).otherwise(0.0)
-            expected = F.when(F.col("e") > 0, F.least(F.col("tokens").cast("double"), F.col("expected") * F.col("target") / F.col("e"))).otherwise(0.0)
+            # Where more is to be drawn, cells that give all they have cannot give more: the others alone are scaled.
+            more = (F.col("target") > F.col("e")) & (F.col("e") > F.col("f"))
+            scale = F.when(more, (F.col("target") - F.col("f")) / (F.col("e") - F.col("f"))).otherwise(F.col("target") / F.col("e"))
+            expected = F.when(F.col("e") > 0, F.least(F.col("tokens").cast("double"), F.col("expected") * scale)).otherwise(0.0)
             scaled = rows.join(sums, margin).select(*MARGINS, "tokens", weight.alias("weight"), expected.alias("expected"), "off")
             # A small table after every step: a plan that read itself twice a step would double with each of them.
             rows, seen = stored(scaled, {"off": F.coalesce(F.max("off"), F.lit(0.0))})
