@@ -376,6 +376,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """`docs` with one document of each component, the one of the smallest doc_id, all columns as they are. Rows that repeat a
-    doc_id stay or go together; rows without one stay."""
+    doc_id stay or go together; rows without one stay. Ids are integers, as for near_duplicates(); null, empty and blank texts stay, an empty table stays empty."""
     gone = near_duplicates(docs).where("component_id < doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

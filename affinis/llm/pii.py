@@ -155,7 +155,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs`, all columns and rows, with the spans in its texts blanked. Null texts stay null."""
+    """`docs`, all columns and rows, with the spans in its texts blanked. Null texts stay null, whatever the id; an empty table stays empty."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         at = batch.schema.get_field_index(text_col)
         new = pa.array([t and blanked(t, spans_of(t)) for t in batch[at].to_pylist()], type=batch.schema.field(at).type)
