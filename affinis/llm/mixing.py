@@ -13,6 +13,8 @@ Draws are calibrated: documents have a fixed place in their cell by a hash, and
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from affinis.session import materialise, stored
@@ -63,43 +65,57 @@ def own_shares(cells: DataFrame, margin: str, flatten: float = FLATTEN) -> DataF
     return sizes.select(margin, (F.col("power") / total).alias("share"))
 
 
+def goals(cells: DataFrame, shares: dict[str, DataFrame], goal: float) -> DataFrame:
+    """(margin, value, share, target): tokens to draw of each value of the margins, which are looked at together. In proportion to the shares where the
+    value has so many, else all it has, `goal` tokens in each margin."""
+    sizes = [cells.groupBy(m).agg(F.sum("tokens").alias("n")).join(of.select(m, "share"), m, "left").select(
+        F.lit(m).alias("margin"), F.col(m).alias("value"), "n", F.coalesce("share", F.lit(0.0)).alias("share")) for m, of in shares.items()]
+    rows = materialise(reduce(DataFrame.unionAll, sizes))
+    # From no tokens up to the scale at which every value gives all it has. What is drawn grows with the scale; a step looks at PARTS scales at once, as rows.
+    most = F.max(F.when(F.col("share") > 0, F.col("n") / F.col("share")))
+    bounds = rows.groupBy("margin").agg(F.coalesce(most, F.lit(1.0)).alias("high")).withColumn("low", F.lit(0.0))
+    for _ in range(STEPS):
+        part = (F.col("high") - F.col("low")) / PARTS
+        tried = rows.join(bounds, "margin").withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(PARTS))))
+        drawn = tried.groupBy("margin", "low", "high", "i").agg(F.sum(F.least(F.col("n"), F.col("share") * (F.col("low") + part * F.col("i")))).alias("n"))
+        found = drawn.groupBy("margin", "low", "high").agg(F.coalesce(F.min(F.when(F.col("n") >= goal, F.col("i"))), F.lit(PARTS)).alias("at"))
+        bounds = found.select("margin", (F.col("low") + part * (F.col("at") - 1)).alias("low"), (F.col("low") + part * F.col("at")).alias("high"))
+    target = F.least(F.col("n").cast("double"), F.col("share") * F.col("high"))
+    return materialise(rows.join(bounds, "margin").select("margin", "value", "share", target.alias("target")))
+
+
+def goals_of(all_goals: DataFrame, margin: str) -> DataFrame:
+    return all_goals.where(F.col("margin") == margin).select(F.col("value").alias(margin), "share", "target")
+
+
 def reachable(cells: DataFrame, shares: DataFrame, margin: str, goal: float) -> DataFrame:
-    """(margin, share, target): tokens to draw of each value. In proportion to the shares where the value has so many, else all it has, `goal` together."""
-    sizes = cells.groupBy(margin).agg(F.sum("tokens").alias("n"))
-    rows = materialise(sizes.join(shares.select(margin, "share"), margin, "left").withColumn("share", F.coalesce("share", F.lit(0.0))))
-    top = rows.agg(F.max(F.when(F.col("share") > 0, F.col("n") / F.col("share")))).first()[0] or 1.0  # here every value gives all it has
-    low, high = 0.0, float(top)
-    for _ in range(STEPS):  # what is drawn grows with the scale; each step looks at PARTS scales at once, as rows: so many sums would be compiled for seconds
-        scale = F.lit(low) + F.lit(high - low) * F.col("i") / PARTS
-        drawn = rows.select("n", "share", F.explode(F.sequence(F.lit(1), F.lit(PARTS))).alias("i")).groupBy("i").agg(F.sum(F.least(F.col("n"), F.col("share") * scale)).alias("n"))
-        at = drawn.where(F.col("n") >= goal).agg(F.min("i")).first()[0] or PARTS
-        low, high = low + (high - low) * (at - 1) / PARTS, low + (high - low) * at / PARTS
-    return rows.select(margin, "share", F.least(F.col("n").cast("double"), F.col("share") * high).alias("target"))
+    """(margin, share, target) of one margin's values, as goals() has them."""
+    return goals_of(goals(cells, {margin: shares}, goal), margin)
 
 
 def raked(cells: DataFrame, shares: dict[str, DataFrame], budget: float = BUDGET, passes: int = PASSES) -> DataFrame:
     """`cells` (source, lang, topic, tokens) with `weight`, whose sums by margin have the target shares, and `expected`, at most `tokens`, whose sums have what
-    reachable() leaves of the share `budget` of all tokens. A value without a target has none; cells without tokens have weight 0."""
+    goals() leaves of the share `budget` of all tokens. A value without a target has none; cells without tokens have weight 0."""
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     rows = cells.withColumn("weight", F.col("tokens").cast("double")).withColumn("expected", budget * F.col("tokens"))
-    goals = {margin: materialise(reachable(cells, of, margin, budget * total)) for margin, of in shares.items()}
+    wanted = goals(cells, shares, budget * total)
     last = float("inf")
     for number in range(passes):
-        gap = 0.0
-        for margin, goal in goals.items():
+        rows = rows.withColumn("off", F.lit(0.0))
+        for margin in shares:
             full = F.col("expected") >= F.col("tokens")
-            sums = rows.groupBy(margin).agg(F.sum("weight").alias("w"), F.sum("expected").alias("e"), F.sum(F.when(full, F.col("expected")).otherwise(0.0)).alias("f")).join(goal, margin)
+            sums = rows.groupBy(margin).agg(F.sum("weight").alias("w"), F.sum("expected").alias("e"), F.sum(F.when(full, F.col("expected")).otherwise(0.0)).alias("f"))
             off = lambda got, want: F.when(want > 0, F.abs(got / want - 1)).otherwise(0.0)
-            sums = sums.withColumn("off", F.greatest(off(F.col("w"), F.col("share") * total), off(F.col("e"), F.col("target"))))
+            sums = sums.join(goals_of(wanted, margin), margin).withColumn("by", F.greatest(off(F.col("w"), F.col("share") * total), off(F.col("e"), F.col("target"))))
             weight = F.when(F.col("w") > 0, F.col("weight") * F.col("share") * total / F.col("w")).otherwise(0.0)
             # Where more is to be drawn, cells that give all they have cannot give more: the others alone are scaled.
             more = (F.col("target") > F.col("e")) & (F.col("e") > F.col("f"))
             scale = F.when(more, (F.col("target") - F.col("f")) / (F.col("e") - F.col("f"))).otherwise(F.col("target") / F.col("e"))
             expected = F.when(F.col("e") > 0, F.least(F.col("tokens").cast("double"), F.col("expected") * scale)).otherwise(0.0)
-            scaled = rows.join(sums, margin).select(*MARGINS, "tokens", weight.alias("weight"), expected.alias("expected"), "off")
-            # A small table after every step: a plan that read itself twice a step would double with each of them.
-            rows, seen = stored(scaled, {"off": F.coalesce(F.max("off"), F.lit(0.0))})
-            rows, gap = rows.drop("off"), max(gap, seen["off"])
+            rows = rows.join(sums, margin).select(*MARGINS, "tokens", weight.alias("weight"), expected.alias("expected"), F.greatest("off", "by").alias("off"))
+        # A small table after every pass. A pass is one plan, in which each margin's sums are of what the margin before it leaves.
+        rows, seen = stored(rows, {"off": F.coalesce(F.max("off"), F.lit(0.0))})
+        rows, gap = rows.drop("off"), seen["off"]
         if gap <= GAP or number > 2 and gap > 0.95 * last:  # met, or as near as the cells' limits let it come
             break
         last = gap
