@@ -101,8 +101,9 @@ def raked(cells: DataFrame, shares: dict[str, DataFrame], budget: float = BUDGET
     wanted = goals(cells, shares, budget * total)
     last = float("inf")
     for number in range(passes):
-        gap = 0.0
-        for margin in shares:
+        gap, names = 0.0, list(shares)
+        rows = rows.withColumn("off", F.lit(0.0))
+        for margin in names:
             full = F.col("expected") >= F.col("tokens")
             sums = rows.groupBy(margin).agg(F.sum("weight").alias("w"), F.sum("expected").alias("e"), F.sum(F.when(full, F.col("expected")).otherwise(0.0)).alias("f"))
             off = lambda got, want: F.when(want > 0, F.abs(got / want - 1)).otherwise(0.0)
@@ -112,10 +113,12 @@ def raked(cells: DataFrame, shares: dict[str, DataFrame], budget: float = BUDGET
             more = (F.col("target") > F.col("e")) & (F.col("e") > F.col("f"))
             scale = F.when(more, (F.col("target") - F.col("f")) / (F.col("e") - F.col("f"))).otherwise(F.col("target") / F.col("e"))
             expected = F.when(F.col("e") > 0, F.least(F.col("tokens").cast("double"), F.col("expected") * scale)).otherwise(0.0)
-            scaled = rows.join(sums, margin).select(*MARGINS, "tokens", weight.alias("weight"), expected.alias("expected"), "by")
-            # A small table after every step: a plan that read itself twice a step would double with each of them, and the driver keeps what it plans.
-            rows, seen = stored(scaled, {"by": F.coalesce(F.max("by"), F.lit(0.0))})
-            rows, gap = rows.drop("by"), max(gap, seen["by"])
+            rows = rows.join(sums, margin).select(*MARGINS, "tokens", weight.alias("weight"), expected.alias("expected"), F.greatest("off", "by").alias("off"))
+            # A small table after every second margin and at the end of a pass: a plan that reads itself twice a step doubles with each, and the driver keeps what it plans.
+            if names.index(margin) % 2 or margin == names[-1]:
+                rows, seen = stored(rows, {"off": F.coalesce(F.max("off"), F.lit(0.0))})
+                gap = max(gap, seen["off"])
+        rows = rows.drop("off")
         if gap <= GAP or number > 2 and gap > 0.95 * last:  # met, or as near as the cells' limits let it come
             break
         last = gap
