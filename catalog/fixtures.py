@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from affinis.config import AffinityConfig, SignalTags
 from catalog.registry import table
 
+#: Line items in a task where they meet their orders.
+DEALT = 100_000
 SIGNALS = SignalTags("brand-1", ("brand-2", "brand-3", "brand-4", "brand-5", "brand-6"), "Brand#1")
 STRICT = AffinityConfig(min_total_n=450, min_tag_n=20, signals=SIGNALS)
 OBSERVED = "2026-05-07T00:00:00+00:00"
@@ -91,6 +93,9 @@ def dated_pairs(spark: SparkSession, folder: str, snapshot) -> DataFrame:
     line = table(spark, folder, "lineitem").select("l_partkey", "l_orderkey")
     part = table(spark, folder, "part").select("p_partkey", "p_brand")
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    # The join is dealt in as many tasks as the rows ask for, since each also holds the distinct orders of its rows; dealt by size, a few long keys fill few tasks.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-line.count() // DEALT))
+    line, orders = line.repartition(parts, "l_orderkey"), orders.repartition(parts, "o_orderkey")
     base = (
         line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))

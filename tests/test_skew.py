@@ -2,11 +2,15 @@
 
 import contextlib
 import io
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from affinis.operators import affinity as af, cleaning as cl, explore as ex
+from affinis.sinks import shards as sh
+from affinis.sources import documents as dm
+from catalog import QUERIES, fixtures
 
 SETTINGS = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
@@ -84,3 +88,45 @@ def test_strongest_tags_of_a_hot_entity_are_cut_before_the_shuffle(spark):
     best = ex.best_tags(rows)
     assert sorted(r["tag_slug"] for r in best.collect() if r["entity_slug"] == "hot") == ["19995", "19996", "19997", "19998", "19999"]
     assert "WindowGroupLimit" in plan_of(best)
+
+
+def small_tables(spark, root, n=1000):
+    spark.range(n).selectExpr("id % 50 l_partkey", "id % 400 l_orderkey", "id % 40 l_suppkey").write.parquet(f"{root}/lineitem.parquet")
+    spark.range(50).selectExpr("id p_partkey", "'Brand#' || (id % 5) p_brand").write.parquet(f"{root}/part.parquet")
+    spark.range(400).selectExpr("id o_orderkey", "id % 7 o_custkey", "DATE'1997-01-01' o_orderdate").write.parquet(f"{root}/orders.parquet")
+    spark.range(40).selectExpr("id s_suppkey").write.parquet(f"{root}/supplier.parquet")
+    return str(root)
+
+
+def tasks_of(files):
+    """Numbers of the tasks that wrote the files."""
+    return {re.search(r"part-(\d+)", f)[1] for f in files}
+
+
+def test_rows_of_snapshots_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    """The join of line items with orders has more tasks where there are more rows, however few bytes they have."""
+    monkeypatch.setattr(fixtures, "DEALT", 10)
+    rows = fixtures.years(spark, small_tables(spark, tmp_path))
+    assert re.search(r"hashpartitioning\(l_orderkey#\d+L?, 100\), REPARTITION_BY_NUM", plan_of(rows))
+    assert sum(r["tag_n"] for r in rows.collect()) == 400
+
+
+def test_folders_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    """Shards of few bytes, but many folders, are written by several tasks."""
+    monkeypatch.setattr(sh, "FOLDERS", 5)
+    rows = spark.range(200).selectExpr("'s' || (id % 40) entity_slug", "'t' || id tag_slug", "id tag_n")
+    for layout in ("json", "parquet"):
+        sh.write_shards(sh.sharded(rows, "entity_slug"), f"{tmp_path}/{layout}", sh.entity_order(rows), layout=layout)
+        back = sh.read_shards(spark, f"{tmp_path}/{layout}", "entity_slug string, tag_n bigint", layout=layout)
+        assert len(tasks_of(back.inputFiles())) > 4
+        assert back.selectExpr("sum(tag_n)").first()[0] == 199 * 100 and back.where("shard <> entity_slug").isEmpty()
+    out = QUERIES["wrapped_scan"](spark, small_tables(spark, tmp_path))
+    assert len(tasks_of(out.inputFiles())) > 4 and out.count() == 40
+
+
+def test_the_guard_reads_pages_that_are_stored(spark, tmp_path, monkeypatch):
+    """All four runs read the same stored pages; they are not made anew from the line items."""
+    files, read = [], dm.read_payloads
+    monkeypatch.setattr(dm, "read_payloads", lambda pages: files.extend(pages.inputFiles()) or read(pages))
+    QUERIES["zero_rows_guard"](spark, small_tables(spark, tmp_path))
+    assert files and not any("lineitem" in f for f in files)
