@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from affinis.functions.text import safe_slug
 from affinis.operators import discovery as dc
 from affinis.plans.jobs import run_publish
-from affinis.session import new_path
+from affinis.session import materialise, new_path
 from affinis.sinks import records as rc, shards as sh
 from affinis.sources import documents as dm, records as rd
 from catalog.affinity_queries import analysis_summary, tag_summary
@@ -117,13 +117,13 @@ FROM got, (VALUES ('all pages'), ('broken pages'), ('broken pages, earlier rows'
 def zero_rows_guard(spark, folder):
     """The guard over four runs; a refusal is told as a row."""
     index = table(spark, folder, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("entity_slug"))
-    pages = payloads(spark, folder)
+    pages = materialise(payloads(spark, folder))
     kind = F.substring("entity_slug", 2, 20).cast("bigint") % 10
     broken = pages.where(kind.isin(2, 3, 4, 5, 9))
     runs = [("all pages", index, pages, 0), ("broken pages", index, broken, 0), ("broken pages, earlier rows", index, broken, 1), ("empty index", index.limit(0), pages.limit(0), 0)]
     told = []
     for run, entries, read, earlier in runs:
-        summary = dc.ingest_summary(entries, dc.done_slugs(index.limit(0)), dm.read_payloads(read))
+        summary = materialise(dc.ingest_summary(entries, dc.done_slugs(index.limit(0)), dm.read_payloads(read)))  # one row, looked at twice
         try:
             dc.require_tag_rows(summary, earlier)
             refused = False
