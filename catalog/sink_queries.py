@@ -169,9 +169,10 @@ def wrapped_scan(spark, folder):
     """An object for each entity that holds its records under a key, read as wrapped files."""
     out = folder_of(spark)
     record = F.struct("entity_slug", "tag_slug", "total_n", "tag_n")
-    wrapped = pairs(spark, folder).groupBy("entity_slug").agg(F.collect_list(record).alias("rows"))
+    wrapped = materialise(pairs(spark, folder).groupBy("entity_slug").agg(F.collect_list(record).alias("rows")))
     # one file for each object: a wrapped file is read whole
-    wrapped.select(F.col("entity_slug").alias("shard"), F.to_json(F.struct("rows")).alias("value")).repartition("shard").write.partitionBy("shard").text(out)
+    lines = wrapped.select(F.col("entity_slug").alias("shard"), F.to_json(F.struct("rows")).alias("value"))
+    lines.repartition(sh.folder_tasks(lines), "shard").write.partitionBy("shard").text(out)
     return rd.read_records(spark, out, "entity_slug string, tag_slug string, total_n bigint, tag_n bigint", layout="wrapped")
 
 
