@@ -172,7 +172,7 @@ def wrapped_scan(spark, folder):
     wrapped = materialise(pairs(spark, folder).groupBy("entity_slug").agg(F.collect_list(record).alias("rows")))
     # one file for each object: a wrapped file is read whole
     lines = wrapped.select(F.col("entity_slug").alias("shard"), F.to_json(F.struct("rows")).alias("value"))
-    lines.repartition(sh.folder_tasks(lines), "shard").write.partitionBy("shard").text(out)
+    lines.repartition(*sh.folder_tasks(lines), "shard").write.partitionBy("shard").text(out)
     return rd.read_records(spark, out, "entity_slug string, tag_slug string, total_n bigint, tag_n bigint", layout="wrapped")
 
 
