@@ -12,7 +12,7 @@ from affinis.sinks import shards as sh
 from catalog.fixtures import DIRTY_SQL, PAIRS_SQL, STRICT, affinity_sql, pairs
 from catalog.registry import joined, query, rounded, table
 from catalog.set_queries import SETS_SQL, analysed, enriched, entities
-from catalog.trend_queries import CURRENT, PREVIOUS, TRENDS, both, trend_frame
+from catalog.trend_queries import CURRENT, PREVIOUS, TRENDS, both, by_pair, trend_frame
 from catalog.cleaning_queries import cleaned
 
 SCORED = "WITH " + PAIRS_SQL + "," + affinity_sql()
@@ -33,6 +33,7 @@ WHERE {search_sql(['c.entity_name', 'c.entity_slug', 'c.tag_name', 'c.tag_slug']
 def explore_leaderboard(spark, folder):
     current, previous = both(spark, folder)
     current = materialise(current)
+    current = by_pair(current, current.count())
     rows = tr.attach_trends(current, tr.trends(current, previous, CURRENT, PREVIOUS, check=False))
     found = ex.filter_rows(ex.with_trend_fields(rows), "BRAND-2", "4", 2, "0.5", 3, "existing")
     return rounded(ex.sort_rows(found, "z", ties=ROW).select(*ROW, "total_n", "tag_n", "z", "trend_status", "rank_delta"))

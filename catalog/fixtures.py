@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from affinis.config import AffinityConfig, SignalTags
 from catalog.registry import table
 
-#: Line items in a task where they meet their orders.
-DEALT = 100_000
+#: Line items, or rows made of them, in a task where they are joined and grouped by customer.
+DEALT = 200_000
 SIGNALS = SignalTags("brand-1", ("brand-2", "brand-3", "brand-4", "brand-5", "brand-6"), "Brand#1")
 STRICT = AffinityConfig(min_total_n=450, min_tag_n=20, signals=SIGNALS)
 OBSERVED = "2026-05-07T00:00:00+00:00"
@@ -26,13 +26,18 @@ def slug_of_brand(c):
     return F.lower(F.replace(c, F.lit("#"), F.lit("-")))
 
 
-def _pairs_of(base: DataFrame, letter: str, *by: str) -> DataFrame:
-    """Distinct orders per (entity, tag) and per entity, out of (by..., ent, tag_name, ord) rows."""
-    seen = base.select(*by, "ent", "tag_name", "ord").distinct()
-    pair = seen.groupBy(*by, "ent", "tag_name").agg(F.count(F.lit(1)).alias("tag_n"))
-    total = base.groupBy(*by, "ent").agg(F.countDistinct("ord").alias("total_n"))
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Tasks that so many rows ask for, as many as shuffle partitions at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // DEALT))
+
+
+def _pairs_of(base: DataFrame, letter: str) -> DataFrame:
+    """Distinct orders per (entity, tag) and per entity, out of (ent, tag_name, ord) rows."""
+    seen = base.select("ent", "tag_name", "ord").distinct()
+    pair = seen.groupBy("ent", "tag_name").agg(F.count(F.lit(1)).alias("tag_n"))
+    total = base.groupBy("ent").agg(F.countDistinct("ord").alias("total_n"))
     slug = F.concat(F.lit(letter), F.col("ent").cast("string"))
-    return pair.join(total, [*by, "ent"]).withColumn("entity_slug", slug).drop("ent")
+    return pair.join(total, ["ent"]).withColumn("entity_slug", slug).drop("ent")
 
 
 def _clean_columns(df: DataFrame, label: str, *by: str) -> DataFrame:
@@ -93,18 +98,28 @@ def dated_pairs(spark: SparkSession, folder: str, snapshot) -> DataFrame:
     line = table(spark, folder, "lineitem").select("l_partkey", "l_orderkey")
     part = table(spark, folder, "part").select("p_partkey", "p_brand")
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    # The join is dealt in as many tasks as the rows ask for, since each also holds the distinct orders of its rows; dealt by size, a few long keys fill few tasks.
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-line.count() // DEALT))
-    line, orders = line.repartition(parts, "l_orderkey"), orders.repartition(parts, "o_orderkey")
+    # Every step is dealt in as many tasks as the rows ask for, as each task also holds the groups of its rows; dealt by size, few bytes of many rows fill few tasks.
+    # The side with one row per key is hashed and the other streams by, so a task sorts nothing and a key of many rows takes no memory.
+    parts = tasks_for(spark, max(line.count(), orders.count()))
+    if part.count() > DEALT:
+        line, part = line.repartition(parts, "l_partkey"), part.repartition(parts, "p_partkey").hint("shuffle_hash")
+    line = line.join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "p_brand")
     base = (
-        line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(part, F.col("l_partkey") == F.col("p_partkey"))
+        line.repartition(parts, "l_orderkey")
+        .join(orders.repartition(parts, "o_orderkey").hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey"))
         .select(
             snapshot(F.col("o_orderdate").cast("date").cast("string")).alias("snapshot_date"),
             F.col("o_custkey").alias("ent"),
             F.col("p_brand").alias("tag_name"), F.col("l_orderkey").alias("ord"))
     )
-    return _clean_columns(_pairs_of(base, "c", "snapshot_date"), "Customer", "snapshot_date")
+    by = ("snapshot_date", "ent")
+    # Rows of one order lie in one task, so each order is told apart there, before the rows are dealt by customer.
+    seen = base.distinct()
+    pair = seen.repartition(parts, *by).groupBy(*by, "tag_name").agg(F.count(F.lit(1)).alias("tag_n"))
+    total = seen.select(*by, "ord").distinct().repartition(parts, *by).groupBy(*by).agg(F.count(F.lit(1)).alias("total_n"))
+    slug = F.concat(F.lit("c"), F.col("ent").cast("string"))
+    both = pair.join(total.hint("shuffle_hash"), list(by)).withColumn("entity_slug", slug).drop("ent")
+    return _clean_columns(both, "Customer", "snapshot_date")
 
 
 def half_of(day):

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from affinis.config import PAIR_KEY
 from affinis.operators import affinity as af, snapshots as sn, trends as tr
 from affinis.session import materialise, new_path
 from affinis.sources import snapshots as ss
-from catalog.fixtures import HALVES, HALVES_SQL, MIDDLE, STRICT, YEARS_SQL, halves, years
+from catalog.fixtures import HALVES, HALVES_SQL, MIDDLE, STRICT, YEARS_SQL, halves, tasks_for, years
 from catalog.registry import query, rounded
 
 PREVIOUS, CURRENT = HALVES
@@ -31,20 +32,26 @@ TRENDS = WITH + f""", trend_rows AS (
 """
 
 
-def both(spark, folder):
-    rows = materialise(halves(spark, folder))
+def scored(rows, name):
+    return af.analyse(rows.where(F.col("snapshot_date") == name).drop("snapshot_date"), STRICT, check=False)
+
 
-    def one(name):
-        return af.analyse(rows.where(F.col("snapshot_date") == name).drop("snapshot_date"), STRICT, check=False)
+def by_pair(rows, n):
+    """Rows dealt by pair key in as many tasks as n rows ask for; a join by that key goes on from there. Dealt by size, few bytes of many rows fill few tasks."""
+    return rows.repartition(tasks_for(rows.sparkSession, n), *PAIR_KEY)
 
-    return one(CURRENT), one(PREVIOUS)
+
+def both(spark, folder):
+    rows = materialise(halves(spark, folder))
+    n = rows.count()
+    return by_pair(scored(rows, CURRENT), n), by_pair(scored(rows, PREVIOUS), n)
 
 
 def stored_by_pair(spark, folder):
     """Both snapshots, written in buckets and opened again."""
-    root = new_path(spark, "by-pair")
-    for name, rows in zip((CURRENT, PREVIOUS), both(spark, folder)):
-        ss.store_by_pair(rows, root, name)
+    root, rows = new_path(spark, "by-pair"), materialise(halves(spark, folder))
+    for name in (CURRENT, PREVIOUS):
+        ss.store_by_pair(scored(rows, name), root, name, tasks_for(spark, rows.count()))
     return ss.open_by_pair(spark, root, CURRENT), ss.open_by_pair(spark, root, PREVIOUS)
 
 
@@ -67,7 +74,7 @@ SELECT entity_slug, tag_slug, entity_name, tag_name, source_type, '{CURRENT}' AS
   NULL::INT AS rank_within_tag_by_z_delta, NULL::INT AS rank_delta, NULL::DOUBLE AS total_n_pct_change, NULL::DOUBLE AS tag_n_pct_change
 FROM c_affinity""")
 def trend_first_run(spark, folder):
-    current, _ = both(spark, folder)
+    current = scored(materialise(halves(spark, folder)), CURRENT)
     return rounded(tr.trends(current, None, CURRENT, None, check=False))
 
 
@@ -78,6 +85,7 @@ FROM c_affinity c JOIN trend_rows t USING (entity_slug, tag_slug) WHERE t.snapsh
 def affinity_with_trends(spark, folder):
     current, previous = both(spark, folder)
     current = materialise(current)
+    current = by_pair(current, current.count())
     rows = tr.attach_trends(current, tr.trends(current, previous, CURRENT, PREVIOUS, check=False))
     return rounded(rows.select("entity_slug", "tag_slug", "total_n", "tag_n", "z", "analysis_eligible", "snapshot_status",
                                "total_n_delta", "tag_n_delta", "z_delta", "rank_delta", "tag_n_pct_change"))

@@ -111,6 +111,20 @@ def test_rows_of_snapshots_are_dealt_by_their_number(spark, tmp_path, monkeypatc
     assert sum(r["tag_n"] for r in rows.collect()) == 400
 
 
+def test_joins_and_groupings_of_snapshots_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    """No step between the line items and the pairs of two snapshots is dealt by bytes, and the rows stay those of the SQL: a line's customer, order and brand."""
+    monkeypatch.setattr(fixtures, "DEALT", 40)
+    folder = small_tables(spark, tmp_path)
+    plan = plan_of(fixtures.halves(spark, folder))
+    assert "ENSURE_REQUIREMENTS" not in plan and "SortMergeJoin" not in plan
+    assert re.search(r"hashpartitioning\(l_partkey#\d+L?, 25\), REPARTITION_BY_NUM", plan) and re.search(r"hashpartitioning\(snapshot_date#\d+, ent#\d+L?, 25\)", plan)
+    assert {(r["entity_slug"], r["total_n"]) for r in fixtures.halves(spark, folder).collect()} == {(f"c{i}", 58 if i == 0 else 57) for i in range(7)}
+    trend = QUERIES["trend_rows"](spark, folder)
+    joins = plan_of(trend).split("SortMergeJoin", 1)[1]
+    assert re.search(r"hashpartitioning\(entity_slug#\d+, tag_slug#\d+, (\d+)\), REPARTITION_BY_NUM", joins)
+    assert trend.count() == fixtures.halves(spark, folder).count()
+
+
 def test_folders_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
     """Shards of few bytes, but many folders, are written by several tasks."""
     monkeypatch.setattr(sh, "FOLDERS", 5)
