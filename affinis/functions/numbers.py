@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F, types as T
 
-from affinis.functions.text import bind, col, strip
+from affinis.functions.text import bind, col, strip, strip_bare
+
+
+def whole_number(stripped: Column) -> Column:
+    return F.replace(stripped, F.lit(","), F.lit("")).try_cast("bigint")
 
 
 def count_from_text(c: Column | str) -> Column:
     """'1,234' gives 1234; anything that is no whole number gives null."""
-    return F.replace(strip(c), F.lit(","), F.lit("")).try_cast("bigint")
+    return whole_number(strip(c))
 
 
 def truncated(c: Column | str) -> Column:
@@ -37,7 +41,7 @@ def count_of(c: Column | str, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.BooleanType):
         return F.lit(None).cast("bigint")
     if isinstance(dtype, T.StringType):
-        return count_from_text(c)
+        return whole_number(strip_bare(c))
     if isinstance(dtype, T.VariantType):
         return count_from_variant(c)
     if isinstance(dtype, (T.DoubleType, T.FloatType, T.DecimalType)):

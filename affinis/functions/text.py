@@ -24,6 +24,14 @@ def strip(c: Column | str) -> Column:
     return F.btrim(col(c), F.lit(BLANKS))
 
 
+def strip_bare(c: Column | str) -> Column:
+    """strip() for a plain column of mostly bare texts. One that begins and ends with a visible ASCII sign stays as it is; only the others are searched for blanks."""
+    text = col(c)
+    last = F.substring(text, -1, 1)
+    visible = (text >= "!") & (text < "\x7f") & (last >= "!") & (last < "\x7f")
+    return F.when(visible, text).otherwise(strip(text))
+
+
 def blank_to_null(c: Column | str) -> Column:
     """The stripped text, null when nothing is left."""
     return F.nullif(strip(c), F.lit(""))

@@ -35,4 +35,9 @@ def valid_iso(c: Column | str) -> Column:
         .when(piece(5, 1) == "-", piece(1, 10).try_cast("date").isNotNull())
         .otherwise(F.concat_ws("-", piece(1, 4), piece(5, 2), piece(7, 2)).try_cast("date").isNotNull())
     )
-    return F.coalesce(F.when(text.rlike(_ISO), exists), F.lit(False))
+    full = F.coalesce(F.when(text.rlike(_ISO), exists), F.lit(False))
+    # A plain day, as most texts are, needs no pattern: between its dashes and before its last digit the cast takes nothing but digits.
+    bare = col(c)
+    last = F.substring(bare, 10, 1)
+    plain = (F.length(bare) == 10) & (F.substring(bare, 5, 1) == "-") & (F.substring(bare, 8, 1) == "-") & (last >= "0") & (last <= "9")
+    return F.when(plain & bare.try_cast("date").isNotNull(), F.lit(True)).otherwise(full)

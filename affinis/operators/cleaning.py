@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -11,7 +13,7 @@ from affinis.config import (
     CLEAN_COLUMNS, CLEAN_KEY, NORMAL_SOURCE, SIGNAL_NAME, SIGNAL_SLUG, SIGNAL_SOURCE, TEXT_COLUMNS,
 )
 from affinis.functions.numbers import count_of
-from affinis.functions.text import bind, blank_to_null, strip
+from affinis.functions.text import bind, blank_to_null, strip_bare
 from affinis.functions.times import valid_iso
 from affinis.operators.keep_first import first_per_key, ordinal
 from affinis.operators.reports import count_rows, report
@@ -44,7 +46,7 @@ def normalise(raw: DataFrame) -> DataFrame:
     types = {f.name: f.dataType for f in raw.schema.fields}
 
     def text(name: str):
-        return strip(F.col(name).cast("string")) if name in types else F.lit(None).cast("string")
+        return strip_bare(F.col(name).cast("string")) if name in types else F.lit(None).cast("string")
 
     def count(name: str):
         return count_of(name, types[name]) if name in types else F.lit(None).cast("bigint")
@@ -73,7 +75,9 @@ def broken_rules():
     ]
     fields = F.array_compact(F.array(*[F.when(test, F.lit(code)) for code, test in rules]))
     above = F.array(F.lit("tag_n:above_total_n"))
-    return bind(fields, lambda f: F.when((F.size(f) == 0) & (tag > total), above).otherwise(f))
+    broken = bind(fields, lambda f: F.when((F.size(f) == 0) & (tag > total), above).otherwise(f))
+    # The list is made by functions that Spark does not compile, so only rows that break a rule come to it; the tests alone are compiled.
+    return F.when(reduce(or_, [test for _, test in rules]) | (tag > total), broken).otherwise(F.array().cast("array<string>"))
 
 
 def known_slugs(index: DataFrame) -> DataFrame:
@@ -151,7 +155,10 @@ def clean(checked: DataFrame, order: Sequence[str], keep: Callable[[DataFrame, d
     checked = keep(checked, checked_figures())
     invalid = checked.where("reason_type IS NOT NULL").select(*lineage, "reason_type", "reason", "raw_record")
     valid = checked.where("reason_type IS NULL").select(*CLEAN_COLUMNS, ordinal(order).alias("_place"))
-    counted = keep(valid.groupBy(*CLEAN_COLUMNS).agg(F.min("_place").alias("_place"), (count_rows() - 1).alias("_copies")),
+    # Spark sorts rows to find the least struct of a group. Sorted by the key first, they need no second sort for the first row of each key; then the numbers, which compare fastest.
+    by = [*CLEAN_KEY, "tag_n", "total_n", "observed_at"]
+    by += [c for c in CLEAN_COLUMNS if c not in by]
+    counted = keep(valid.groupBy(*by).agg(F.min("_place").alias("_place"), (count_rows() - 1).alias("_copies")),
                    {"exact_duplicate_row_count": F.coalesce(F.sum("_copies"), F.lit(0))})
     # Copies are equal in every column, so they are written from their count; no row is looked up again.
     copies = repeated(counted, "_copies", "_place").select(*CLEAN_COLUMNS)
