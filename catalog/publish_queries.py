@@ -30,11 +30,12 @@ def published(spark, folder, **options) -> str:
 
 
 def stored_rows(spark, out: str, family: str, schema: str, index: DataFrame, shard: str = "shard") -> DataFrame:
-    """All rows of a family whose file is in its index, read in one scan, with the place of each in its file."""
-    rows = rd.with_file_order(sh.read_shards(spark, f"{out}/{family}", schema, shard=shard)).withColumn(
+    """All rows of a family whose file is in its index, with the place of each in its file."""
+    rows = sh.of_shards(spark, f"{out}/{family}", schema, rd.with_file_order, shard=shard).withColumn(
         "file", F.concat(F.lit(f"{family}/{shard}="), F.col(shard).cast("string")))
     place = F.row_number().over(Window.partitionBy("file").orderBy("ordinal")).cast("bigint") - 1
-    return rows.withColumn("place", place).join(index.select("file"), "file")
+    # The rows are dealt by file for their place; an index of very many files is dealt likewise, and not broadcast by way of the driver.
+    return rows.withColumn("place", place).join(index.select("file").hint("merge"), "file")
 
 
 # The order of the rows in a shard, as its place.
